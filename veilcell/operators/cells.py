@@ -86,8 +86,15 @@ class Forest:
 
     def dimension(self, k: int, combos: Sequence[tuple[int, ...]]) -> Trees:
         """Node tables for these k-column subsets; subsets of them must be present already."""
-        if k not in self.trees:
-            self.trees[k] = self._grow(k, sorted(set(combos)))
+        wanted = tuple(sorted(set(combos)))
+        built = self.trees.get(k)
+        if built is None or not set(wanted) <= set(built.combos):
+            self.trees[k] = self._grow(k, wanted)
+        elif wanted != built.combos:  # keep the subsets asked for, without growing them again
+            ids = [built.combos.index(c) for c in wanted]
+            renumber = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("combo")).cast("int") - 1
+            nodes = built.nodes.where(F.col("combo").isin(ids)).withColumn("combo", renumber)
+            self.trees[k] = replace(built, combos=wanted, nodes=nodes)
         return self.trees[k]
 
     def grow_for(self, column_sets: Iterable[Sequence[int]]) -> None:
