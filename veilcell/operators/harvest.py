@@ -23,6 +23,7 @@ from .ranking import running_total
 UNIT_CHUNK = 100_000  # rows one input row may be expanded to in a task
 POOL_CHUNKS = 1024
 
+SLAB_BATCH = 200_000  # nodes per call of the totals function
 EXACT_LIMIT = 3_000_000_000
 
 
@@ -44,38 +45,39 @@ def expand_counts(df: DataFrame, keys: Sequence[str], first: str, end: str, name
 # -- node totals ----------------------------------------------------------------
 
 def slab_totals(k: int, base: int, levels: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Function giving harvested totals inside one slab of a tree: a few levels below one node, deepest first.
+    """Function giving harvested totals inside slabs of trees, deepest level first.
 
+    A slab is a few levels below one node; a call takes a batch of whole slabs.
     It is defined inside so that it travels to the workers by value.
     """
-    def totals(slab: pd.DataFrame) -> pd.DataFrame:
-        slab = slab.sort_values(["level", "path"], ignore_index=True)
-        level = slab["level"].to_numpy() - base
-        path = slab["path"].to_numpy()
-        noisy = slab["noisy"].to_numpy()
-        split = slab["split"].to_numpy()
-        leaf_total = np.where(slab["live"].to_numpy(), noisy, 0)
-        total = np.where(split, slab["known_total"].to_numpy(), leaf_total)
-        inner = np.where(split, slab["known_inner"].to_numpy(), 0)
-        before = np.zeros(len(slab), dtype=np.int64)
+    cells = [f"c{d}" for d in range(1, k + 1)]
+    tops = [f"t{d}" for d in range(1, k + 1)]
+
+    def totals(batch: pd.DataFrame) -> pd.DataFrame:
+        tag = batch.groupby(["combo", *tops], sort=False).ngroup().to_numpy().astype(np.int64)
+        batch = batch.assign(slab=tag << 32).sort_values(["level", "slab", "path"], ignore_index=True)
+        level, slab = batch["level"].to_numpy() - base, batch["slab"].to_numpy()
+        path, noisy = batch["path"].to_numpy(), batch["noisy"].to_numpy()
+        split = batch["split"].to_numpy()
+        total = np.where(split, batch["known_total"].to_numpy(), np.where(batch["live"].to_numpy(), noisy, 0))
+        inner = np.where(split, batch["known_inner"].to_numpy(), 0)
+        before = np.zeros(len(batch), dtype=np.int64)
         bounds = np.searchsorted(level, np.arange(levels + 2))
         for depth in range(levels - 1, -1, -1):
             mine, below = slice(bounds[depth], bounds[depth + 1]), slice(bounds[depth + 1], bounds[depth + 2])
-            owner = np.searchsorted(path[mine], path[below] >> k)
+            owner = np.searchsorted(slab[mine] + path[mine], slab[below] + (path[below] >> k))
             sums = np.zeros(bounds[depth + 1] - bounds[depth], dtype=np.int64)
             np.add.at(sums, owner, total[below])
             running = np.cumsum(total[below]) - total[below]
-            first = np.searchsorted(owner, owner)
-            before[below] = running - running[first] if len(running) else running
-            target, ok = noisy[mine], split[mine]
-            safe = np.maximum(sums, 1)
+            before[below] = running - running[np.searchsorted(owner, owner)] if len(running) else running
+            target, safe = noisy[mine], np.maximum(sums, 1)
             rough = np.ceil(sums.astype(float) * (target / safe)).astype(np.int64) - 1
             small = (target <= EXACT_LIMIT) & (sums <= EXACT_LIMIT)
             scaled = np.where(target % safe == 0, target, np.where(small, target - 1, rough))
-            total[mine] = np.where(ok, np.where(2 * sums < target, target, scaled), total[mine])
-            inner[mine] = np.where(ok, sums, inner[mine])
-        slab = slab.assign(total=total, inner=inner, before=before)
-        return slab[["combo", "level", *[f"c{d}" for d in range(1, k + 1)], "total", "inner", "before"]]
+            total[mine] = np.where(split[mine], np.where(2 * sums < target, target, scaled), total[mine])
+            inner[mine] = np.where(split[mine], sums, inner[mine])
+        done = batch.assign(total=total, inner=inner, before=before)
+        return done[["combo", "level", *cells, "total", "inner", "before"]]
 
     return totals
 
@@ -104,9 +106,10 @@ def harvested_totals(forest: Forest, trees: Trees) -> DataFrame:
         schema = ", ".join(["combo int", "level int", *[f"{c} bigint" for c in cells],
                             "total bigint", "inner bigint", "before bigint"])
 
-        # One group is one slab: below 2^(BATCH_BITS + 1) nodes by construction.
-        result = slab.groupBy("combo", *[f"t{d}" for d in range(1, k + 1)]).applyInPandas(
-            slab_totals(k, base, levels), schema)
+        # A slab has fewer than 2^(BATCH_BITS + 1) nodes; small slabs share a call.
+        spread = max(1, members.count() // SLAB_BATCH + 1) if base else len(trees.combos)
+        slab = slab.withColumn("batch", F.pmod(F.xxhash64("combo", *[f"t{d}" for d in range(1, k + 1)]), F.lit(spread)))
+        result = slab.groupBy("batch").applyInPandas(slab_totals(k, base, levels), schema)
         result = forest.ws.cut(result, f"totals{k}")
         # The lowest branches of the slab above learn here what their children yield.
         known = result.where(F.col("level") == base).select(

@@ -20,6 +20,7 @@ from .ranking import group_ranks
 
 PASS_BITS = 16  # cells per bin and pass stay below 2^16
 MAX_PASSES = 64
+BIN_BATCH = 16  # bins per call of the splitting function
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,7 @@ def patch(ws: Workspace, left: MicroTable, right: MicroTable, limit: int) -> Mic
 # -- range-refined join ---------------------------------------------------------
 
 def split_bins(limits: Sequence[tuple[float, bool]], bits: int, ratio: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Function splitting one bin over its cell counts, ``bits`` halvings per column at most.
+    """Function splitting bins over their cell counts, ``bits`` halvings per column at most.
 
     ``limits`` holds the root upper bound and integrality of each stitch column.
     A bin is halved at the middle of its next column while both halves hold
@@ -85,7 +86,10 @@ def split_bins(limits: Sequence[tuple[float, bool]], bits: int, ratio: float) ->
     def balanced(a: int, b: int) -> bool:
         return min(a, b) > 0 and min(a, b) / max(a, b) >= ratio
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([one_bin(frame) for _, frame in batch.groupby("bin", sort=False)])
+
+    def one_bin(frame: pd.DataFrame) -> pd.DataFrame:
         cells = frame[[f"f{i}" for i in range(size)]].to_numpy()
         left, right = frame["left_rows"].to_numpy(), frame["right_rows"].to_numpy()
         first = frame.iloc[0]
@@ -158,8 +162,10 @@ def stitch_bins(ws: Workspace, rows: DataFrame, columns: Sequence[StitchColumn])
         placed = ranged.select("side", "pos", "bin", *[f"n{c.index}" for c in columns], *cells)
         counts = placed.groupBy("bin", *cell_cols).agg(F.count_if(F.col("side") == "l").alias("left_rows"),
                                                        F.count_if(F.col("side") == "r").alias("right_rows"))
-        # One group is one bin: at most 2^PASS_BITS cells.
-        mapping = ws.cut(counts.join(state, "bin").groupBy("bin").applyInPandas(
+        # A bin has at most 2^PASS_BITS cells; a few bins share a call.
+        spread = state.count() // BIN_BATCH + 1
+        batched = counts.join(state, "bin").withColumn("batch", F.pmod(F.xxhash64("bin"), F.lit(spread)))
+        mapping = ws.cut(batched.groupBy("batch").applyInPandas(
             split_bins(limits, bits, STITCH_MIN_RATIO), schema), "binmap")
         moved = placed.join(mapping.select("bin", *cell_cols, "new_bin", "done"), ["bin", *cell_cols]).select(
             "side", "pos", F.col("new_bin").alias("bin"), "done", *[f"n{c.index}" for c in columns])
