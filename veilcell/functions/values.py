@@ -126,10 +126,10 @@ def decode_value(kind: str, code: Column, data_type: T.DataType) -> Column:
 
 
 def common_prefix(left: Column, right: Column) -> Column:
-    longest = F.least(F.length(left), F.length(right))
-    same = F.filter(F.sequence(F.lit(0), longest),
-                    lambda n: F.substring(left, F.lit(1), n) == F.substring(right, F.lit(1), n))
-    return F.substring(left, F.lit(1), F.array_max(same))
+    """Longest shared start of two texts, compared character by character."""
+    same = F.zip_with(F.split(left, ""), F.split(right, ""), lambda a, b: a.eqNullSafe(b))
+    first_difference = F.array_position(same, F.lit(False)).cast("int")
+    return F.when(first_difference == 0, left).otherwise(F.substring(left, F.lit(1), first_difference - 1))
 
 
 def generalized_text(low: Column, high: Column, code: Column) -> Column:

@@ -285,7 +285,9 @@ class Forest:
         reach = F.coalesce(F.max("__closed").over(above), F.lit(0).cast("bigint"))
         kept = coded.withColumn("__reach", reach).where(F.col("__reach") <= F.col("__start"))
         kept = kept.drop("__start", "__closed", "__reach", *[f"t{d}" for d in range(1, k + 1)])
-        return kept.withColumn("noisy", self._unique_noisy(k, combos, kept)) if self.data.unique_ids else kept
+        if k == 1 or not self.data.unique_ids:  # counted later, on the flattened tree or per entity
+            return kept
+        return kept.withColumn("noisy", self._unique_noisy(k, combos, kept))
 
     def _stubs(self, k: int, combos: Sequence[tuple[int, ...]], nodes: DataFrame) -> DataFrame:
         """stub = every subnode is missing, a stub itself, or too weak to be refined further."""
@@ -364,9 +366,10 @@ class Forest:
         inside = nodes.where((depth_in >= 0) & (F.call_function("shiftright", F.col("c1"), depth_in) == top_cell))
         rebased = inside.withColumn(
             "c1", F.col("c1") - F.call_function("shiftleft", top_cell, depth_in)).withColumn("level", depth_in)
-        outlying = any(mark != "root" for _, mark in by_mark)
-        if self.data.unique_ids and outlying:
-            rebased = self._attach_outliers(rebased, by_mark)
+        if self.data.unique_ids:
+            if any(mark != "root" for _, mark in by_mark):
+                rebased = self._attach_outliers(rebased, by_mark)
+            rebased = rebased.withColumn("noisy", self._unique_noisy(1, trees.combos, rebased))
         rebased = self.ws.cut(rebased, "nodes1")
         depth = rebased.agg(F.max("level")).first()[0]
         flat = replace(trees, nodes=rebased, depth=depth)
@@ -387,11 +390,7 @@ class Forest:
             out = out.withColumn(field, F.col(field) + extra[0] + extra[1])
         seeds = [F.when(touches[m], constant(m, "s0")).otherwise(zero) for m in ("low", "high")]
         out = out.withColumn("s0", F.col("s0").bitwiseXOR(seeds[0]).bitwiseXOR(seeds[1]))
-        out = out.withColumn("strength", self._strength("n", "s"))
-        return out.withColumn("noisy", self._unique_noisy(1, self._single_combos(), out))
-
-    def _single_combos(self) -> list[tuple[int, ...]]:
-        return [(c.index,) for c in self.data.columns]
+        return out.withColumn("strength", self._strength("n", "s"))
 
     def per_column(self, value) -> Column:
         return F.element_at(F.array(*[F.lit(value(r)) for r in self.roots]), F.col("combo") + 1)
