@@ -249,10 +249,16 @@ class Forest:
         return xor.bitwiseXOR(F.col(count)) if self.data.implicit_ids else xor
 
     def _strength(self, count: str, seed: str) -> Column:
-        parts = [F.col(f"{count}{a}") - suppression_margin(self._set_seed(f"{count}{a}", f"{seed}{a}"), self.config)
+        parts = [self._kind_strength(F.col(f"{count}{a}"), self._set_seed(f"{count}{a}", f"{seed}{a}"))
                  for a in range(self.data.id_kinds)]
         return (F.least(*parts) if len(parts) > 1 else parts[0]).cast("double")
 
+    def _kind_strength(self, count: Column, seed: Column) -> Column:
+        """Count less its margin; counts below every threshold fail anyway, so they skip the hashing."""
+        cfg = self.config
+        least = min(cfg.low_threshold, cfg.singularity_threshold, cfg.range_threshold)
+        return F.when(count < least, count.cast("double")).otherwise(count - suppression_margin(seed, cfg))
+
     def _decide(self, k: int, combos: Sequence[tuple[int, ...]], stats: DataFrame, base: int, levels: int) -> DataFrame:
         """Split flags and existence. A cell is a node when all cells above it split."""
         cfg = self.config
@@ -454,7 +460,7 @@ class Forest:
         counted = combined_count(per_kind, keys).select(
             *keys, F.greatest(F.col("noisy_count"), F.lit(self.config.low_threshold).cast("bigint")).alias("noisy"))
         if k == 1:
-            margin = F.col("entities") - suppression_margin(F.col("seed"), self.config)
+            margin = self._kind_strength(F.col("entities"), F.col("seed"))
             renewed = totals.groupBy(*keys).agg(F.min(margin).cast("double").alias("strength"))
             counted = counted.join(renewed, keys)
             nodes = nodes.drop("strength")

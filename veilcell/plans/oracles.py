@@ -138,6 +138,11 @@ def noisy_or_zero() -> str:
 
 # -- trees -----------------------------------------------------------------------
 
+def tree_strength(n: str, seed: str, config: SynthConfig = CONFIG) -> str:
+    least = min(config.low_threshold, config.singularity_threshold, config.range_threshold)
+    return f"(case when {n} < {least} then {n}::double else {strength(n, seed, config)} end)"
+
+
 def label(mid: str, size: str) -> str:
     return f"(round(log2({size}))::int::varchar || ':' || cast(floor({mid} / {size} * 1099511627776e0) as decimal(38, 0))::varchar)"
 
@@ -168,7 +173,7 @@ def tree_ctes(name: str, table: str, column: str, ident: str, p: str, config: Sy
               from {p}base, {p}snap, generate_series(0, {LEVELS}) t(l)),
     {p}stats as ({grouped}),
     {p}flag as materialized (select *, mn < mx and strength >= {low} and (level <= {config.depth_threshold} or rows_ - 1 >= lim) as split
-             from (select *, {strength('n', 's', config)} as strength,
+             from (select *, {tree_strength('n', 's', config)} as strength,
                    {row_limit(str(seed), f'(select count(*) from {p}base)', config.depth_row_fraction)} as lim from {p}stats)),
     {p}real as materialized (select n.* from {p}flag n join (
                select c.level, c.cell, count(a.level) as up from {p}flag c left join {p}flag a
@@ -191,7 +196,7 @@ def tree_ctes(name: str, table: str, column: str, ident: str, p: str, config: Sy
              from {p}cells, {p}root where level = tl),
     {p}sub as (select level - tl as level, cell - (tc << (level - tl)) as cell, rows_, n, s, mn, mx, split, lo, size, amin, amax
              from {p}real, {p}root where level >= tl and cell >> (level - tl) = tc),
-    {p}nodes as materialized (select *, {strength('n', 's', config)} as strength from (
+    {p}nodes as materialized (select *, {tree_strength('n', 's', config)} as strength from (
              select level, cell, rows_ + (mn = amin)::int * ln + (mx = amax)::int * hn as rows_,
                n + (mn = amin)::int * ln + (mx = amax)::int * hn as n,
                xor(xor(s, case when mn = amin then ls else 0 end), case when mx = amax then hs else 0 end) as s,
@@ -215,7 +220,7 @@ def tree_2d(columns: tuple[str, str] = ("o_totalprice", "o_custkey")) -> str:
         for d in (1, 2) for b in (0, 1))
 
     def half(d: int) -> str:
-        ok = [f"{strength(f'h{d}{b}n', f'h{d}{b}s')} >= {cfg.low_threshold}" for b in (0, 1)]
+        ok = [f"{tree_strength(f'h{d}{b}n', f'h{d}{b}s')} >= {cfg.low_threshold}" for b in (0, 1)]
         return f"case when {ok[0]} and not ({ok[1]}) then 0 when {ok[1]} and not ({ok[0]}) then 1 else -1 end as half{d}"
 
     def live(p: str, d: int) -> str:
@@ -234,7 +239,7 @@ def tree_2d(columns: tuple[str, str] = ("o_totalprice", "o_custkey")) -> str:
       from orders, xroot, yroot, generate_series(0, 16) t(l)),
     dstats as materialized (select level, c1, c2, count(*) as n, bit_xor(e) as s, min(x) as mn1, max(x) as mx1, min(y) as mn2,
         max(y) as mx2, {halves} from dcells group by level, c1, c2),
-    dlive as materialized (select *, {strength('n', 's')} as strength from dstats),
+    dlive as materialized (select *, {tree_strength('n', 's')} as strength from dstats),
     dflag as materialized (select *, (mn1 < mx1 or mn2 < mx2) and strength >= {cfg.low_threshold} and not stub as split from (
         select c.*, case when strength < {cfg.low_threshold} then true
           else not {live('x', 1)} and not {live('y', 2)} end as stub from dlive c)),
