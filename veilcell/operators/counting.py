@@ -23,12 +23,6 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(renamed, match, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def with_entities(df: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """One row per (row, id kind): kind number and hashed entity (0 = none)."""
-    hashes = [F.struct(F.lit(i).alias("kind"), entity_hash(F.col(c)).alias("entity")) for i, c in enumerate(ids)]
-    return df.select("*", F.inline(F.array(*hashes)))
-
-
 def unique_entity_counts(df: DataFrame, keys: Sequence[str], entity: Column) -> DataFrame:
     """Entity count and set seed when every row is its own entity."""
     hashed = df.withColumn("__entity", entity_hash(entity))
@@ -39,8 +33,15 @@ def unique_entity_counts(df: DataFrame, keys: Sequence[str], entity: Column) ->
 
 
 def entity_contributions(df: DataFrame, keys: Sequence[str], ids: Sequence[str]) -> DataFrame:
-    """Rows per (group, id kind, entity); entity 0 collects the rows without one."""
-    return with_entities(df, ids).groupBy(*keys, "kind", "entity").agg(F.count(F.lit(1)).alias("contribution"))
+    """Rows per (group, id kind, entity); entity 0 collects the rows without one.
+
+    Ids are counted first and hashed afterwards: one hash per entity and group, not per row.
+    """
+    raw = [F.struct(F.lit(i).alias("kind"), F.nullif(F.col(c).cast("string"), F.lit("")).alias("id"))
+           for i, c in enumerate(ids)]
+    counted = df.select(*keys, F.inline(F.array(*raw))).groupBy(*keys, "kind", "id").agg(
+        F.count(F.lit(1)).alias("contribution"))
+    return counted.select(*keys, "kind", entity_hash(F.col("id")).alias("entity"), "contribution")
 
 
 def entity_totals(contributions: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -104,9 +105,11 @@ def heaviest(contributions: DataFrame, keys: Sequence[str], config: SynthConfig)
     map task, so a group with very many entities sends little over the network.
     """
     needed = max(config.outliers.upper + config.top.upper, 1)
-    order = Window.partitionBy(*keys, "kind").orderBy(F.col("contribution").desc(), F.col("entity").desc())
-    ranked = (contributions.where("entity <> 0").withColumn("rank", F.row_number().over(order))
-              .where(F.col("rank") <= needed))
+    # Rows without an entity rank last and go afterwards: a filter up front would hash every input row.
+    order = Window.partitionBy(*keys, "kind").orderBy(
+        F.col("entity") == 0, F.col("contribution").desc(), F.col("entity").desc())
+    ranked = (contributions.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= needed)
+              .where("entity <> 0"))
     entry = F.struct("rank", "contribution", "entity")
     return ranked.groupBy(*keys, "kind").agg(F.sort_array(F.collect_list(entry)).alias("heavy"))
 

@@ -22,6 +22,7 @@ from .ranking import running_total
 
 UNIT_CHUNK = 100_000  # rows one input row may be expanded to in a task
 POOL_CHUNKS = 1024
+BIN_DRAWS = 65_536  # draws per weight bin, roughly
 
 SLAB_BATCH = 200_000  # nodes per call of the totals function
 EXACT_LIMIT = 3_000_000_000
@@ -250,48 +251,56 @@ def refine(harvest: Harvest, trees: Trees, nodes: DataFrame) -> DataFrame:
     spread = F.pmod(F.xxhash64("lo", "hi"), F.lit(POOL_CHUNKS))
     dim_pool = ws.cut(running_total(dim_pool, ["node", "dim"], spread, ["lo", "hi"], "weight", "start"), f"dimpool{k}")
 
-    widths = sub_pool.groupBy("node").agg(*[F.expr(f"sum(if(slot = {s}, weight, 0L)) as ws{s}") for s in range(k)]).join(
-        dim_pool.groupBy("node").agg(*[F.expr(f"sum(if(dim = {d}, weight, 0L)) as wd{d}") for d in dims]), "node")
+    # Per node: total weight and number of entries of every pool.
+    widths = sub_pool.groupBy("node").agg(*[F.expr(e) for s in range(k) for e in (
+        f"sum(if(slot = {s}, weight, 0L)) as ws{s}", f"count_if(slot = {s}) as ns{s}")]).join(
+        dim_pool.groupBy("node").agg(*[F.expr(e) for d in dims for e in (
+            f"sum(if(dim = {d}, weight, 0L)) as wd{d}", f"count_if(dim = {d}) as nd{d}")]), "node")
     widths = widths.where(" and ".join([f"ws{s} > 0" for s in range(k)] + [f"wd{d} > 0" for d in dims]))
+    facts = [f"{n}s{s}" for s in range(k) for n in "wn"] + [f"{n}d{d}" for d in dims for n in "wn"]
     turns = f"(end - first + {k - 1}) div {k}"
     ready = nodes.join(widths, "node").select(
-        "node", "combo", "level", *cell_names(k), "first", "end", "before", "chain",
-        *[F.expr(f"ws{s}") for s in range(k)], *[F.expr(f"wd{d}") for d in dims], F.expr(turns).alias("turns"))
+        "node", "combo", "level", *cell_names(k), "first", "end", "before", "chain", *facts, F.expr(turns).alias("turns"))
     plain = nodes.join(widths.select("node"), "node", "left_anti").select(
         "combo", "level", *cell_names(k), *sub_ranges, "first", "end", "before", "chain")
 
     units = expand_counts(ready, ["node"], "first", "end", "at").withColumn("turn", F.expr("at - first"))
     units = units.withColumn("slot", F.expr(f"cast(turn % {k} as int)")).withColumn("dim", F.expr(f"{k} - slot"))
-    sizes = {"slot": F.element_at(F.array(*[F.col(f"ws{s}") for s in range(k)]), F.col("slot") + 1),
-             "dim": F.element_at(F.array(*[F.col(f"wd{d}") for d in dims]), F.col("dim"))}
-    for name, size in sizes.items():
-        units = units.withColumn(f"{name}_draw", index_draw(size, F.col("node"), F.col("turn"), F.lit(name)))
-        units = units.withColumn(f"{name}_bin", F.call_function("div", F.col(f"{name}_draw"), bin_width(size)))
+    sizes = {"slot": [F.element_at(F.array(*[F.col(f"{n}s{s}") for s in range(k)]), F.col("slot") + 1) for n in "wn"],
+             "dim": [F.element_at(F.array(*[F.col(f"{n}d{d}") for d in dims]), F.col("dim")) for n in "wn"]}
+    for name, (weight, entries) in sizes.items():
+        units = units.withColumn(f"{name}_draw", index_draw(weight, F.col("node"), F.col("turn"), F.lit(name)))
+        units = units.withColumn(f"{name}_bin", F.call_function("div", F.col(f"{name}_draw"), bin_width(weight, entries)))
     units = units.select("node", "combo", "level", *cell_names(k), F.col("at").alias("first"),
                          (F.col("at") + 1).alias("end"), "before", "chain", "slot", "dim",
                          "slot_draw", "slot_bin", "dim_draw", "dim_bin")
 
-    bins = ready.select("node", "turns", *[f"ws{s}" for s in range(k)], *[f"wd{d}" for d in dims])
-    matched = _pick(units, sub_pool, bins, "slot", sizes["slot"], sub_ranges)
+    bins = ready.select("node", "turns", *facts)
+    matched = _pick(units, sub_pool, bins, "slot", bin_width(*sizes["slot"]), sub_ranges)
     dim_pool = dim_pool.withColumnsRenamed({"lo": "d_lo", "hi": "d_hi"})
-    matched = _pick(matched, dim_pool, bins, "dim", sizes["dim"], ["d_lo", "d_hi"])
+    matched = _pick(matched, dim_pool, bins, "dim", bin_width(*sizes["dim"]), ["d_lo", "d_hi"])
     ranges = [F.expr(f"if(dim = {d}, d_{n}, {n}{d})").alias(f"{n}{d}") for d in dims for n in ("lo", "hi")]
     refined = matched.select("combo", "level", *cell_names(k), *ranges, "first", "end", "before", "chain")
     return plain.unionByName(refined)
 
 
-def bin_width(size: Column) -> Column:
-    """Weight units per bin: about one draw per bin, and at least one unit."""
-    return F.greatest(F.call_function("div", size, F.col("turns")), F.lit(1).cast("bigint"))
+def bin_width(weight: Column, entries: Column) -> Column:
+    """Weight units per bin: about one pool entry per bin, and no bin with very many draws.
+
+    A pool gives at most twice as many entry pieces as it has bins, and a draw
+    meets two pieces on average, however uneven the weights are.
+    """
+    bins = F.greatest(entries, F.call_function("div", F.col("turns"), F.lit(BIN_DRAWS)), F.lit(1).cast("bigint"))
+    return F.greatest(F.call_function("div", weight, bins), F.lit(1).cast("bigint"))
 
 
-def _pick(units: DataFrame, pool: DataFrame, bins: DataFrame, name: str, size: Column, values: Sequence[str]) -> DataFrame:
+def _pick(units: DataFrame, pool: DataFrame, bins: DataFrame, name: str, width: Column, values: Sequence[str]) -> DataFrame:
     """Joins each draw to the pool entry whose weight interval holds it.
 
-    Entries are cut into bins of the weight axis, so the join is an equi-join in
-    which a bin meets about one draw, never all entries with all draws.
+    Entries are cut into bins of the weight axis, so this is an equi-join on the
+    bin, never all entries of a pool with all its draws.
     """
-    spans = pool.join(bins, "node").withColumn("__width", bin_width(size))
+    spans = pool.join(bins, "node").withColumn("__width", width)
     spans = spans.select("node", name, *values, "start", (F.col("start") + F.col("weight")).alias("stop"), F.expr(
         "explode(sequence(start div __width, (start + weight - 1) div __width))").alias(f"{name}_bin"))
     joined = units.join(spans, ["node", name, f"{name}_bin"])
