@@ -391,6 +391,22 @@ def stitch_join(spark, folder):
         F.col("s0").alias("price"), F.col("s1").alias("customer"), F.col("s2").alias("quantity"))
 
 
+def stitch_bin_sizes(spark, folder):
+    """Final price ranges of order prices against the same prices with a customer surcharge, and their merged length."""
+    ws = Workspace(spark)
+    orders = load(spark, folder, "orders")
+    plain = orders.select(F.lit("l").alias("side"), F.col("o_orderkey").cast("string").alias("pos"), F.col("o_totalprice").alias("n0"))
+    raised = orders.select(F.lit("r").alias("side"), F.col("o_orderkey").cast("string").alias("pos"),
+                           (F.col("o_totalprice") + 500 * (F.col("o_custkey") % 7)).alias("n0"))
+    column = stitching.StitchColumn(0, 0.0, float(1 << 19), False)
+    bins = stitching.stitch_bins(ws, plain.unionByName(raised), [column])
+    left, right = F.count_if(F.col("side") == "l"), F.count_if(F.col("side") == "r")
+    sized = bins.groupBy("bin").agg(left.alias("left_rows"), right.alias("right_rows"))
+    steps = F.expr("substring(bin, 2)")
+    return sized.select(F.length(steps).alias("level"), F.coalesce(F.conv(steps, 2, 10).cast("bigint"), F.lit(0)).alias("cell"),
+                        "left_rows", "right_rows", F.bround((F.col("left_rows") + F.col("right_rows")) / 2, 0).cast("bigint").alias("merged"))
+
+
 # -- end to end ----------------------------------------------------------------------------
 
 def synthesize_events(spark, folder):
@@ -420,5 +436,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     entity_counts, low_count_groups, noisy_unique_counts, entity_contributions, flattened_counts, private_groups,
     tree_nodes_1d, tree_nodes_2d, tree_nodes_by_entity, root_facts, harvest_1d, refined_buckets, inspected_nodes,
     synthetic_rows, column_entropies, pair_dependence, total_dependences, plan_quality, sampled_rows, dependence_report,
-    cluster_search, feature_ranking, column_roles, complete_rows, patch_join, stitch_join, synthesize_events,
+    cluster_search, feature_ranking, column_roles, complete_rows, patch_join, stitch_join, stitch_bin_sizes, synthesize_events,
     synthesize_manual, synthesize_independent, synthesize_target)}

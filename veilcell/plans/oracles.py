@@ -328,6 +328,23 @@ def entity_tree_sql() -> str:
       """.replace("counted2", "counted_e").replace("counted as (select level, cell, mid", "counted_e as (select level, cell, mid")
 
 
+def stitch_bins_sql() -> str:
+    """A range is halved while both halves hold similar counts on the two sides and neither side has a single row."""
+    return f"""
+      with v as (select 'l' as side, o_totalprice as x from orders union all
+                 select 'r', o_totalprice + 500 * (o_custkey % 7) from orders),
+        c as materialized (select l::int as level, least(floor(x / 524288e0 * pow(2e0, l)), pow(2e0, l) - 1)::bigint as cell,
+          count(*) filter (where side = 'l') as a, count(*) filter (where side = 'r') as b
+          from v, generate_series(0, {LEVELS}) t(l) group by 1, 2),
+        h as (select level - 1 as level, cell >> 1 as cell, count(*) as parts,
+          bool_and(least(a, b) > 0 and least(a, b)::double / greatest(a, b) >= 0.7e0) as fair from c where level > 0 group by 1, 2),
+        f as materialized (select c.*, coalesce(h.parts = 2 and h.fair and a <> 1 and b <> 1, false) as opened
+          from c left join h on c.level = h.level and c.cell = h.cell)
+      select level, cell, a as left_rows, b as right_rows, round_even((a + b) / 2, 0)::bigint as merged from f n
+      where not opened and level = (select count(*) from f u where u.opened and u.level < n.level
+        and u.cell = n.cell >> (n.level - u.level))"""
+
+
 def corr(i: int, j: int) -> str:
     return f"abs(corr({MEASURES[i]}, {MEASURES[j]}))"
 
@@ -475,4 +492,5 @@ def oracle_queries() -> dict[str, str]:
               from (select *, (ok + top + 1) // 2 as m from s where ok < top))
       select code, substr(lo, 1, ok) || '*' || code as shown from s where ok = top"""
     out["tree_nodes_by_entity"] = entity_tree_sql()
+    out["stitch_bin_sizes"] = stitch_bins_sql()
     return out
