@@ -275,6 +275,13 @@ def harvest_1d(spark, folder):
     return inspection.bucket_table(harvest.Harvest(forest), (0,)).select("level", "c1", "lo1", "hi1", "count")
 
 
+def node_totals_2d(spark, folder):
+    """Rows every node of a two-column tree yields, what its children yield, and its offset in its parent."""
+    forest = _order_forest(spark, folder, ["o_totalprice", "o_custkey"])
+    totals = harvest.harvested_totals(forest, forest.dimension(2, [(0, 1)]))
+    return totals.select("level", "c1", "c2", "total", F.col("inner").alias("children"), F.col("before").alias("offset_rows"))
+
+
 def refined_buckets(spark, folder):
     forest = _order_forest(spark, folder, ["o_totalprice", "o_orderstatus"])
     forest.grow_for([(0, 1)])
@@ -434,7 +441,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     value_parsing, seed_texts, noise_values, row_limits, rounding, range_tests, text_ranges, numeric_codes,
     decoded_fields, string_codes, root_ranges, cell_counts, content_digests, csv_texts, csv_round_trip, csv_inferred,
     entity_counts, low_count_groups, noisy_unique_counts, entity_contributions, flattened_counts, private_groups,
-    tree_nodes_1d, tree_nodes_2d, tree_nodes_by_entity, root_facts, harvest_1d, refined_buckets, inspected_nodes,
+    tree_nodes_1d, tree_nodes_2d, tree_nodes_by_entity, root_facts, harvest_1d, node_totals_2d, refined_buckets, inspected_nodes,
     synthetic_rows, column_entropies, pair_dependence, total_dependences, plan_quality, sampled_rows, dependence_report,
     cluster_search, feature_ranking, column_roles, complete_rows, patch_join, stitch_join, stitch_bin_sizes, synthesize_events,
     synthesize_manual, synthesize_independent, synthesize_target)}

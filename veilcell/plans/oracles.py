@@ -328,6 +328,21 @@ def entity_tree_sql() -> str:
       """.replace("counted2", "counted_e").replace("counted as (select level, cell, mid", "counted_e as (select level, cell, mid")
 
 
+def node_totals_sql() -> str:
+    ctes, deepest = [tree_2d()], 16
+    ctes.append(f"t{deepest + 1} as (select 0 as level, 0::bigint as c1, 0::bigint as c2, 0::bigint as inr, 0::bigint as total where false)")
+    for lv in range(deepest, -1, -1):
+        ctes.append(f"""t{lv} as materialized (select n.level, n.c1, n.c2, coalesce(k.inr, 0)::bigint as inr,
+          (case when not split then case when strength >= {CONFIG.low_threshold} then noisy else 0 end
+             when 2 * coalesce(k.inr, 0) < noisy or noisy % k.inr = 0 then noisy else noisy - 1 end)::bigint as total
+          from dnodes n left join (select c1 >> 1 as c1, c2 >> 1 as c2, sum(total)::bigint as inr from t{lv + 1} group by 1, 2) k
+            on n.c1 = k.c1 and n.c2 = k.c2 where n.level = {lv})""")
+    union = " union all ".join(f"select * from t{lv}" for lv in range(deepest + 1))
+    return ("with " + ",\n".join(ctes) + f"""
+      select level, c1, c2, total, inr as children, coalesce(sum(total) over (partition by level, c1 >> 1, c2 >> 1
+        order by c1 & 1, c2 & 1 rows between unbounded preceding and 1 preceding), 0)::bigint as offset_rows from ({union})""")
+
+
 def stitch_bins_sql() -> str:
     """A range is halved while both halves hold similar counts on the two sides and neither side has a single row."""
     return f"""
@@ -492,5 +507,6 @@ def oracle_queries() -> dict[str, str]:
               from (select *, (ok + top + 1) // 2 as m from s where ok < top))
       select code, substr(lo, 1, ok) || '*' || code as shown from s where ok = top"""
     out["tree_nodes_by_entity"] = entity_tree_sql()
+    out["node_totals_2d"] = node_totals_sql()
     out["stitch_bin_sizes"] = stitch_bins_sql()
     return out
