@@ -49,8 +49,9 @@ def value_parsing(spark, folder):
     price = F.when(n % 7 == 0, F.lit("n/a")).otherwise(price)
     moment = (F.when(n % 3 == 0, F.date_format("o_orderdate", "yyyy/MM/dd HH:mm:ss"))
               .when(n % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.lit("soon")))
-    return o.select("o_orderkey", val.parse_boolean(flag).alias("flag"), val.parse_integer(number).alias("whole"),
-                    val.parse_real(price).alias("amount"), val.parse_timestamp(moment).cast("timestamp_ntz").alias("moment"))
+    none = F.lit(-1)  # NULL integers read differently in data frame libraries
+    return o.select("o_orderkey", F.coalesce(val.parse_boolean(flag).cast("string"), F.lit("NULL")).alias("flag"),
+                    F.coalesce(val.parse_integer(number), none).alias("whole"), val.parse_real(price).alias("amount"), val.parse_timestamp(moment).cast("timestamp_ntz").alias("moment"))
 
 
 def seed_texts(spark, folder):
@@ -138,7 +139,8 @@ def decoded_fields(spark, folder):
     whole, number = field("integer", "o_orderkey")[0], field("real", "o_totalprice")[0]
     moment = field("timestamp", "o_orderdate")[0]
     flag = val.decode_value("boolean", u, types["o_orderkey"])
-    return o.select("o_orderkey", whole.alias("whole"), micro(number).alias("amount"),
+    none = F.lit(-1)
+    return o.select("o_orderkey", F.coalesce(whole, none).alias("whole"), F.coalesce(micro(number), none).alias("amount"),
                     F.date_trunc("second", moment).cast("timestamp_ntz").alias("moment"), flag.alias("flag"))
 
 
@@ -152,7 +154,8 @@ def string_codes(spark, folder):
 def root_ranges(spark, folder):
     li = load(spark, folder, "lineitem").select(*MEASURES, (-F.col("l_tax")).alias("negative"),
                                                 F.lit(0.0).alias("zero"), F.lit(None).cast("double").alias("none"))
-    return encoding.root_ranges(encoding.column_extents(li, li.columns))
+    found = encoding.root_ranges(encoding.column_extents(li, li.columns))
+    return found.select("column", *[(F.col(c) + 0.0).alias(c) for c in found.columns[1:]])  # no negative zeros
 
 
 def cell_counts(spark, folder):
@@ -224,7 +227,7 @@ def flattened_counts(spark, folder):
     e = e.withColumn("slot", F.date_format("ts", "yyyy-MM-dd HH"))
     bucket = hs.hash_text(F.concat_ws("|", "event_type", "slot"))
     return counting.flattened_counts(e, ["event_type", "slot"], ["visitor"], CONFIG, bucket).select(
-        "event_type", "slot", "noisy_count", micro(F.col("noise_scale")).alias("noise_scale"),
+        "event_type", "slot", "noisy_count", F.coalesce(micro(F.col("noise_scale")), F.lit(-1)).alias("noise_scale"),
         micro(F.col("strength")).alias("strength"))
 
 
@@ -253,7 +256,7 @@ def tree_nodes_2d(spark, folder):
     forest = _order_forest(spark, folder, ["o_totalprice", "o_custkey"])
     return forest.dimension(2, [(0, 1)]).nodes.select(
         "level", "c1", "c2", "rows", "mn1", "mx1", "mn2", "mx2", micro(F.col("strength")).alias("strength"),
-        F.expr("if(strength >= 3, stub, null)").alias("stub"), "split", "half1", "half2",
+        F.expr("strength >= 3 and stub").alias("stub"), "split", "half1", "half2",
         F.col("noisy").alias("noisy_count"))
 
 

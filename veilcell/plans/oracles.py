@@ -371,8 +371,9 @@ def oracle_queries() -> dict[str, str]:
 
     out["value_parsing"] = """
       select o_orderkey,
-        case o_orderkey % 8 when 0 then true when 1 then true when 2 then false when 4 then false when 6 then true when 7 then false end as flag,
-        case when o_orderkey % 5 <> 0 then o_orderkey end as whole,
+        case o_orderkey % 8 when 0 then 'true' when 1 then 'true' when 2 then 'false' when 4 then 'false' when 6 then 'true'
+          when 7 then 'false' else 'NULL' end as flag,
+        case when o_orderkey % 5 <> 0 then o_orderkey else -1 end as whole,
         case when o_orderkey % 7 <> 0 then (o_orderkey + 1000) * 1000e0 + o_orderkey % 1000 + 0.25e0 end as amount,
         case when o_orderkey % 3 < 2 then o_orderdate end as moment from orders"""
     out["seed_texts"] = f"""
@@ -407,7 +408,7 @@ def oracle_queries() -> dict[str, str]:
     out["decoded_fields"] = f"""
       with d as (select *, lo + u * (hi - lo) as code from (select *, case when o_orderkey % 4 = 0 then lo else lo + 64 end as hi
                  from (select *, floor(o_totalprice / 64) * 64e0 as lo, {u} as u from orders)))
-      select o_orderkey, case when lo <> 64000 then trunc(code)::bigint end as whole, case when lo <> 64000 then {micro('code')} end as amount,
+      select o_orderkey, case when lo <> 64000 then trunc(code)::bigint else -1 end as whole, case when lo <> 64000 then {micro('code')} else -1 end as amount,
         case when lo <> 64000 then date_trunc('second', make_timestamp(trunc((code - 5364662400e0) * 1e6)::bigint))::timestamp end as moment,
         u >= 0.5e0 as flag from d"""
     out["string_codes"] = " union all ".join(
@@ -420,7 +421,8 @@ def oracle_queries() -> dict[str, str]:
     keep = '"column", lo, hi, null_code'
     out["root_ranges"] = f"""
       with ext as (select *, {NULL_CODE} as null_code from ({extents}))
-      {snapped('ext', 'least(lo, null_code)', 'greatest(hi, null_code)', keep)}"""
+      select "column", lo + 0e0 as lo, hi + 0e0 as hi, null_code + 0e0 as null_code, root_lo + 0e0 as root_lo, root_size
+      from ({snapped('ext', 'least(lo, null_code)', 'greatest(hi, null_code)', keep)})"""
     out["cell_counts"] = """
       select l::int as level, least(floor(l_extendedprice / 131072e0 * pow(2e0, l)), pow(2e0, l) - 1)::bigint as cell,
         count(*) as rows, min(l_extendedprice) as lowest from lineitem, generate_series(0, 14) t(l) group by 1, 2"""
@@ -460,7 +462,7 @@ def oracle_queries() -> dict[str, str]:
       with contrib as materialized (select event_type, slot, 0 as kind, {entity('v')} as entity, count(*) as contribution
           from (select *, {visitor} as v, strftime(ts, '%Y-%m-%d %H') as slot from events) group by all),
         {flatten_ctes('event_type, slot', bucket)}
-      select event_type, slot, {noisy_or_zero()} as noisy_count, case when not failed then {micro(reported('nsd'))} end as noise_scale,
+      select event_type, slot, {noisy_or_zero()} as noisy_count, case when not failed then {micro(reported('nsd'))} else -1 end as noise_scale,
         {micro('strength')} as strength from counted"""
     bucket = h("l_returnflag || '|' || size::varchar")
     source = "(select *, floor(l_quantity / 10)::bigint as size from lineitem)"
@@ -476,7 +478,7 @@ def oracle_queries() -> dict[str, str]:
       select 'o_totalprice' as name, 'real' as kind, nc as null_code, lo as root_lo, lo + size as root_hi from root"""
     out["tree_nodes_2d"] = f"""with {tree_2d()}
       select level, c1, c2, n as rows, mn1, mx1, mn2, mx2, {micro('strength')} as strength,
-        case when strength >= {low} then stub end as stub, split, half1, half2, noisy as noisy_count from dnodes"""
+        strength >= {low} and stub as stub, split, half1, half2, noisy as noisy_count from dnodes"""
     out["harvest_1d"] = harvest_sql()
     out["column_entropies"] = f"""with {order_tree()},
         e as (select sum(-(noisy / total) * log2(noisy / total)) as entropy from (select noisy::double as noisy,
