@@ -1,5 +1,4 @@
 import random
-from math import ceil, floor
 
 from pyspark.sql import functions as F
 
@@ -142,4 +141,3 @@ def test_money_rounding(spark):
 
 def test_combinations():
     assert geo.column_combinations([0, 1, 2], 2) == [(0, 1), (0, 2), (1, 2)] and geo.column_combinations([0], 0) == []
-    assert ceil(1.2) == 2 and floor(1.2) == 1

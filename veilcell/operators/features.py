@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, RobustScaler, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import OneHotEncoder, RobustScaler, StringIndexer, VarianceThresholdSelector, VectorAssembler, VectorSlicer
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,7 +95,6 @@ def encode_features(df: DataFrame, columns: Sequence[str], roles: dict[str, str]
         names += slots
         source.update(dict.fromkeys(slots, c))
     encoded = model.transform(work)
-    from pyspark.ml.feature import VarianceThresholdSelector
     varied = VarianceThresholdSelector(featuresCol="__all", outputCol="features",
                                        varianceThreshold=VARIANCE_LIMIT).fit(encoded)
     names = [names[i] for i in varied.selectedFeatures]
@@ -131,9 +130,8 @@ def select_features(df: DataFrame, target: str, one_hot: bool = False, folds: in
     encoded, names, source = encode_features(rows, columns, roles, one_hot)
     label = F.col(target)
     if roles[target] == "categorical":
-        encoded = StringIndexer(inputCol="__target", outputCol="label").fit(
-            encoded.withColumn("__target", label.cast("string"))).transform(
-            encoded.withColumn("__target", label.cast("string")))
+        encoded = encoded.withColumn("__target", label.cast("string"))
+        encoded = StringIndexer(inputCol="__target", outputCol="label").fit(encoded).transform(encoded)
         estimator = DecisionTreeClassifier(featuresCol="chosen", maxDepth=8, seed=1)
         judge = MulticlassClassificationEvaluator(metricName="accuracy")
     else:

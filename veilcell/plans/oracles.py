@@ -74,7 +74,7 @@ def reported(sd: str) -> str:
 
 def row_limit(seed: str, rows: str, fraction: int) -> str:
     limit = f"floor({rows}::double / {fraction})::bigint"
-    spread = f"floor({rows}::double / {fraction} / 20)::bigint" if False else f"floor(({limit})::double / 20)::bigint"
+    spread = f"floor(({limit})::double / 20)::bigint"
     return f"({limit} - {spread} + {mix(salted(seed), 'precision_limit')} % (2 * {spread} + 1))"
 
 
