@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, mixing, ngram_join, winnowing
+from . import exact_dedup, html, language, mixing, ngram_join, privacy, quality, quotations, tokens, winnowing
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
+    "op2_quality": quality.op2_quality,
     "op3_language_id": language.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_privacy": privacy.op5_privacy,
+    "op6_html_extraction": html.op6_html_extraction,
+    "op7_token_counts": tokens.op7_token_counts,
     "op8_decontamination": winnowing.op8_decontamination,
+    "op9_quotation_linking": quotations.op9_quotation_linking,
     "op10_mixing": mixing.op10_mixing,
 }
 
