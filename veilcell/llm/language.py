@@ -76,18 +76,29 @@ class LetterModel:
         return out
 
 
-def fit_letters(rows: DataFrame, text: str, language: str, documents: int = SAMPLE_DOCUMENTS) -> LetterModel:
-    """Fits on a bounded sample: ``documents`` rows per declared language by hash, SAMPLE_CHARACTERS of each."""
+def fit_letters(rows: DataFrame, text: str, language: str, key: str, documents: int = SAMPLE_DOCUMENTS) -> LetterModel:
+    """Fits on a sample of about ``documents`` rows per declared language, SAMPLE_CHARACTERS of each.
+
+    The rows are drawn by a hash of key and text below the share that gives that
+    many, so nothing is sorted and the driver gets no more however large the table
+    is. The 64 most frequent languages are told apart.
+    """
     known = rows.where(F.col(language).isNotNull() & (F.length(language) > 0) & F.col(text).isNotNull())
-    names = sorted(r[0] for r in known.groupBy(language).count().orderBy(F.desc("count"), language).limit(64).collect())
+    sizes = {r[0]: r["count"] for r in known.groupBy(language).count().orderBy(F.desc("count"), language).limit(64).collect()}
+    names = sorted(sizes)
     counts = np.zeros((len(names), BINS))
+    if not names:
+        return LetterModel(names, counts)
+    share = F.lit(0.0)
+    for name in names:
+        share = F.when(F.col(language) == name, F.lit(documents / sizes[name])).otherwise(share)
     begin = F.greatest(F.lit(1), F.floor((F.length(text) - SAMPLE_CHARACTERS) / 2).cast("int") + 1)
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), key, text), F.lit(1 << 40)) < share * float(1 << 40)
+    sample = (known.where(drawn).limit(2 * documents * len(names))
+              .select(F.col(language).alias("language"), F.col(text).substr(begin, F.lit(SAMPLE_CHARACTERS)).alias("text")).collect())
     for i, name in enumerate(names):
-        some = (known.where(F.col(language) == name)
-                .select(F.col(text).substr(begin, F.lit(SAMPLE_CHARACTERS)).alias("text"), F.xxhash64(text).alias("h"))
-                .orderBy("h", "text").limit(documents))
-        sample = pa.array([r.text for r in some.select("text").collect()], pa.string())
-        counts[i] = np.bincount(_trigrams(sample)[1], minlength=BINS)
+        own = pa.array([r.text for r in sample if r.language == name], pa.string())
+        counts[i] = np.bincount(_trigrams(own)[1], minlength=BINS)
     return LetterModel(names, counts)
 
 
@@ -198,7 +209,7 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """All documents and all pages; a page has doc_id -1 - page_id, so that ids stay apart."""
     ws = Workspace(spark)
     docs, pages = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "pages"))
-    model = fit_letters(docs, "text", "lang")
+    model = fit_letters(docs, "text", "lang", "doc_id")
     of_docs = identify(ws, docs.withColumn("page_id", F.lit(None).cast("bigint")), model, ["doc_id", "page_id"], "text", "lang", ["source"])
     suffix, registered, host = host_levels(F.col("url"))
     rows = pages.select((-1 - F.col("page_id")).alias("doc_id"), "page_id", visible(F.col("html")).alias("text"),

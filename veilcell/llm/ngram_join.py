@@ -29,7 +29,7 @@ from .texts import gram_hashes, groups, mix, slices, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
-RECALL = 0.99
+RECALL = 0.999
 LEVELS = 4
 LEAF = 64  # sets below which a node is no longer split
 BLOCK = 128  # sets compared with each other in one step

@@ -94,7 +94,7 @@ def calibrate(features: np.ndarray, labels: np.ndarray, weights: np.ndarray, pen
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> CompressionModel:
-    """Fits on at most ``rows`` labelled documents of each class, chosen by hash outside the held-out fold.
+    """Fits on about ``rows`` labelled documents of each class, drawn by hash outside the held-out fold.
 
     Rows without label or text are left out; several labels of a document count
     by their largest. With one class only, every score is the share of label 1 (or
@@ -106,11 +106,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Compress
              .groupBy("doc_id").agg(F.max("quality").alias("quality")))
     sizes = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
     prior = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2) if sizes else 0.5
-    chosen = None
-    for quality in (0, 1):
-        some = known.where(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    # At most 2 * rows ids: small enough to send, so the texts are not shuffled.
+    # Drawn by hash below the share of each class that gives ``rows``: no sort, and as many at any size.
+    share = F.when(F.col("quality") == 1, rows / max(1, sizes.get(1, 0))).otherwise(rows / max(1, sizes.get(0, 0)))
+    chosen = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 40)) < share * float(1 << 40)).limit(4 * rows)
+    # About 2 * rows ids, 4 * rows at most: small enough to send, so the texts are not shuffled.
     sample = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") > 0)
               .select("doc_id", "quality", F.substring("text", 1, SAMPLE_CHARACTERS).alias("text")).collect())
     sample = sorted({(r.doc_id, r.quality, r.text) for r in sample})

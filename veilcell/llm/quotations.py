@@ -16,7 +16,7 @@ from ..operators.ranking import global_positions
 from ..workspace import Workspace
 
 # A quotation mark of the next level: an optional name of up to 8 letters, ``>`` and one space.
-MARKS = r"^(?:[ \t]*[A-Za-z]{0,8}>)+"
+MARKS = r"^(?:[ \t]*+[A-Za-z]{0,8}+>)++"
 # A line that only introduces a quotation.
 INTRODUCTION = r"(?i)^[ \t]*(?:on\b.{1,200}\b(?:wrote|writes)|.{1,200}\b(?:wrote|writes|schrieb|a écrit|escribió))[ \t]*:[ \t]*$"
 END = "\n<|end|>\n"
@@ -100,7 +100,8 @@ def conversations(ws: Workspace, messages: DataFrame, conv: str = "conv_id", tur
     # An introduction goes if the next line is quoted.
     own = F.filter("lines", lambda x, i: (x["level"] == 0) & ~(x["content"].rlike(INTRODUCTION) & (
         F.coalesce(F.get(F.col("lines"), i + 1)["level"], F.lit(0)) > 0)))
-    own = F.trim(F.regexp_replace(F.array_join(F.transform(own, lambda x: x["content"]), "\n"), r"\n{3,}", "\n\n"))
+    own = F.regexp_replace(F.array_join(F.transform(own, lambda x: x["content"]), "\n"), r"\n{3,}", "\n\n")
+    own = F.regexp_replace(own, r"^\s+|\s+$", "")
     said = F.coalesce("role", F.lit("user"))
     joined = rows.join(roots, F.col("conv").eqNullSafe(F.col("__conv")) & (F.col("turn") == F.col("__turn")), "left").select(
         "conv", "turn", "role", "reply_to", F.coalesce("root", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"), own.alias("own"))

@@ -31,7 +31,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language cannot be told: too few letters or no clear posterior."""
     ws = Workspace(spark)
-    model = lang.fit_letters(docs, "text", "lang")
+    model = lang.fit_letters(docs, "text", "lang", "doc_id")
     rows = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("text_hash"))
     told = lang.identify(ws, rows, model, ["doc_id", "text_hash"], "text", "lang", ["source"])
     return _without(docs, told.where(~F.col("accepted")))
