@@ -4,10 +4,9 @@ import __spark_entry__ as entry
 from tests.compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"tree_nodes_by_entity", "pair_dependence", "column_entropies", "root_facts", "tree_nodes_1d"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_queries_equal_their_sql(spark, name):
     assert not differences(entry.queries()[name](spark, FOLDER), connect(FOLDER), entry.oracle_sql()[name])
 

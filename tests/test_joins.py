@@ -1,5 +1,6 @@
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veilcell.operators import stitching as st
@@ -65,9 +66,9 @@ def table(ws, spark, rows, columns, dense=True):
 
 def test_patch_keeps_left_rows_and_uses_right_rows_evenly(spark, ws):
     left = [(float(i),) for i in range(50)]
-    for n, limit in ((80, 10 ** 6), (20, 10 ** 6), (80, 5), (20, 5)):
+    for n in (80, 20):
         right = [(100.0 + i,) for i in range(n)]
-        got = st.patch(ws, table(ws, spark, left, [0]), table(ws, spark, right, [1]), limit)
+        got = st.patch(ws, table(ws, spark, left, [0]), table(ws, spark, right, [1]))
         rows = got.rows.collect()
         assert sorted(r.s0 for r in rows) == [v for (v,) in left] and sorted(r.pos for r in rows) == list(range(50))
         used = [r.s1 for r in rows]
@@ -75,10 +76,10 @@ def test_patch_keeps_left_rows_and_uses_right_rows_evenly(spark, ws):
         assert used != sorted(used)
 
 
-def test_patch_is_the_same_by_window_and_by_range_partitions(spark, ws):
+def test_patch_does_not_depend_on_partitioning(spark, ws):
     left, right = [(float(i),) for i in range(60)], [(100.0 + i,) for i in range(45)]
-    got = [sorted(map(tuple, st.patch(ws, table(ws, spark, left, [0]), table(ws, spark, right, [1]), limit).rows.collect()))
-           for limit in (10 ** 6, 7)]
+    other = MicroTable(table(ws, spark, right, [1]).rows.repartition(7), (1,), 45, True)
+    got = [sorted(map(tuple, st.patch(ws, table(ws, spark, left, [0]), r).rows.collect())) for r in (table(ws, spark, right, [1]), other)]
     assert got[0] == got[1]
 
 
@@ -87,9 +88,9 @@ def test_merge_lengths_and_shared_columns(spark, ws):
     left = [(float(rng.randint(0, 15)), float(i)) for i in range(200)]
     right = [(float(rng.randint(0, 15)), 1000.0 + i) for i in range(161)]
     column = StitchColumn(0, 0.0, 16.0, True)
-    for owner, limit in (("shared", 10 ** 6), ("left", 10 ** 6), ("right", 10 ** 6), ("shared", 3)):
+    for owner in ("shared", "left", "right"):
         l, r = table(ws, spark, left, [0, 1]), table(ws, spark, right, [0, 2])
-        got = st.stitch(ws, l, r, [column], owner, limit)
+        got = st.stitch(ws, l, r, [column], owner)
         rows = got.rows.collect()
         bins = recursive_bins([(a,) for a, _ in left], [(a,) for a, _ in right], [column])
         per = {}
@@ -109,8 +110,9 @@ def test_merge_lengths_and_shared_columns(spark, ws):
 
 def test_ranks_survive_a_hot_group(spark, ws):
     df = spark.range(2000).selectExpr("if(id % 3 = 0, 'hot', cast(id % 50 as string)) as g", "id * 7919 % 2003 as k", "id")
-    plain = {(r.id, r.rank) for r in group_ranks(ws, df, ["g"], ["k", "id"], 700, 10 ** 6).collect()}
-    assert plain == {(r.id, r.rank) for r in group_ranks(ws, df, ["g"], ["k", "id"], 700, 100).collect()}
+    order = F.row_number().over(Window.partitionBy("g").orderBy("k", "id")) - 1
+    plain = {(r.id, r.rank) for r in df.select("id", order.alias("rank")).collect()}
+    assert plain == {(r.id, r.rank) for r in group_ranks(ws, df, ["g"], ["k", "id"]).collect()}
 
 
 def test_running_totals_by_chunks(spark):

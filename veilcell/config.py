@@ -36,7 +36,8 @@ class SynthConfig:
     top: Interval = field(default_factory=Interval)
     noise_sd: float = 1.0
     clustering: bool = True
-    sample_size: int = 1000
+    # Rows drawn to measure dependence and entropy; None measures every row.
+    sample_size: int | None = None
     max_cluster_weight: float = 15.0
     merge_threshold: float = 0.1
     depth_row_fraction: int = 10000
@@ -44,16 +45,14 @@ class SynthConfig:
     salt: str | None = None
     table_name: str = "table"
     search_candidates: int = 2000
-    # Rows one task may rank alone; larger groups go through range-partitioned ranking.
-    group_limit: int = 2_000_000
 
     def __post_init__(self) -> None:
         if min(self.low_threshold, self.singularity_threshold, self.range_threshold) < 2:
             raise ValueError("thresholds must be at least 2")
         if min(self.low_layer_sd, self.noise_sd, self.low_mean_gap) < 0:
             raise ValueError("deviations and the mean gap cannot be negative")
-        if self.sample_size < 1 or self.depth_row_fraction < 1 or self.group_limit < 1:
-            raise ValueError("sample size, row fraction and group limit must be positive")
+        if (self.sample_size is not None and self.sample_size < 1) or self.depth_row_fraction < 1:
+            raise ValueError("sample size and row fraction must be positive")
         if self.search_candidates < 1:
             raise ValueError("the cluster search needs at least one candidate")
 
@@ -97,6 +96,3 @@ class ClusterSpec:
         if present != set(columns):
             raise ValueError("clusters must cover every column exactly; got "
                              f"{sorted(present)} for {sorted(columns)}")
-
-    def column_sets(self) -> list[tuple[str, ...]]:
-        return [self.initial] + [d.stitch + d.derived for d in self.derived]

@@ -86,16 +86,11 @@ def shrunk_intervals(entities: Column, config: SynthConfig) -> tuple[Column, Col
     """
     out, top = config.outliers, config.top
     out_room, top_room = out.upper - out.lower, top.upper - top.lower
-    excess = F.lit(out.upper + top.upper) - entities
-    out_cut = F.floor(excess / 2)
-    top_cut = excess - out_cut
+    excess = F.greatest(F.lit(out.upper + top.upper) - entities, F.lit(0))
+    # Half of the excess each, as far as either interval has room.
+    out_cut = F.greatest(F.least(F.floor(excess / 2), F.lit(out_room)), excess - top_room)
     enough = entities >= out.lower + top.lower
-    out_fits, top_fits = out_cut <= out_room, top_cut <= top_room
-    out_upper = (F.when(excess <= 0, out.upper).when(out_fits & top_fits, out.upper - out_cut)
-                 .when(~out_fits, out.lower).otherwise(out.upper - excess + top_room))
-    top_upper = (F.when(excess <= 0, top.upper).when(out_fits & top_fits, top.upper - top_cut)
-                 .when(~out_fits, top.upper - excess + out_room).otherwise(top.lower))
-    return F.when(enough, out_upper), F.when(enough, top_upper)
+    return F.when(enough, out.upper - out_cut), F.when(enough, top.upper - excess + out_cut)
 
 
 def heaviest(contributions: DataFrame, keys: Sequence[str], config: SynthConfig) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
+
 
 from ..config import SynthConfig
 from ..functions.geometry import snap_range
@@ -76,15 +76,11 @@ def root_ranges(extents: DataFrame) -> DataFrame:
         "column", "lo", "hi", "null_code", F.col("root.lo").alias("root_lo"), F.col("root.size").alias("root_size"))
 
 
-def string_ranks(ws: Workspace, df: DataFrame, columns: Sequence[str], limit: int) -> DataFrame:
+def string_ranks(ws: Workspace, df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Dictionary of all string columns: (name, text, code), code = rank in binary order."""
     pairs = [F.struct(F.lit(c).alias("name"), F.col(c).alias("text")) for c in columns]
     values = df.select(F.inline(F.array(*pairs))).where("text is not null").distinct()
     values = ws.cut(values, "strings")
-    largest = values.groupBy("name").count().agg(F.max("count")).first()[0] or 0
-    if largest <= limit:
-        order = Window.partitionBy("name").orderBy("text")
-        return values.withColumn("code", (F.row_number().over(order) - 1).cast("bigint"))
     placed = global_positions(ws, values, ["name", "text"])
     first = placed.groupBy("name").agg(F.min("position").alias("first"))
     return placed.join(F.broadcast(first), "name").select(
@@ -116,7 +112,7 @@ def encode_table(ws: Workspace, df: DataFrame, columns: Sequence[str], ids: Sequ
                            T.StructField("code", T.LongType())])
     dictionary = ws.spark.createDataFrame([], schema)
     if texts:
-        dictionary = ws.cut(string_ranks(ws, source, texts, config.group_limit), "dictionary")
+        dictionary = ws.cut(string_ranks(ws, source, texts), "dictionary")
 
     if ids:
         entities = [entity_hash(F.col(c)).alias(f"e{i}") for i, c in enumerate(ids)]

@@ -10,13 +10,14 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, RobustScaler, StringIndexer, VarianceThresholdSelector, VectorAssembler, VectorSlicer
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CATEGORY_LIMIT, VARIANCE_LIMIT
 from ..functions.values import kind_of, numeric_code
 
 FOLDS = 5
+DEPTH = 30  # the deepest trees that Spark ML grows
 SEPARATOR = "$$"
 
 
@@ -42,17 +43,10 @@ class FeatureRanking:
 
 def column_roles(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """categorical (few values), text, or continuous, from one pass over the table."""
-    counts = df.agg(*[F.count_distinct(F.col(c)).alias(f"d{i}") if kind_of(df.schema[c].dataType) == "boolean"
-                      else F.approx_count_distinct(c, 0.01).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    close = [c for i, c in enumerate(columns) if CATEGORY_LIMIT // 2 < counts[f"d{i}"] <= 4 * CATEGORY_LIMIT]
-    exact = {}
-    if close:  # the sketch is exact enough only far away from the limit
-        one = df.agg(*[F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(close)]).first()
-        exact = {c: one[f"d{i}"] for i, c in enumerate(close)}
+    counts = df.agg(*[F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
     roles = {}
     for i, c in enumerate(columns):
-        distinct = exact.get(c, counts[f"d{i}"])
-        if distinct <= CATEGORY_LIMIT:
+        if counts[f"d{i}"] <= CATEGORY_LIMIT:
             roles[c] = "categorical"
         else:
             roles[c] = "text" if kind_of(df.schema[c].dataType) == "string" else "continuous"
@@ -114,11 +108,12 @@ def _eliminate(train: DataFrame, slots: int, estimator, stop: int):
         alive.pop(min(range(len(alive)), key=lambda i: (weight[i], i)))
 
 
-def select_features(df: DataFrame, target: str, one_hot: bool = False, folds: int = FOLDS) -> FeatureRanking:
+def select_features(df: DataFrame, target: str, one_hot: bool = False, folds: int = FOLDS,
+                    depth: int = DEPTH) -> FeatureRanking:
     """Ranks the other columns by how well decision trees predict the target from them.
 
     The number of features comes from cross-validation, the ranking from an
-    elimination over all rows.
+    elimination over all rows. ``depth`` bounds the trees.
     """
     rows = complete_rows(df)
     columns = [c for c in df.columns if c != target]
@@ -132,13 +127,15 @@ def select_features(df: DataFrame, target: str, one_hot: bool = False, folds: in
     if roles[target] == "categorical":
         encoded = encoded.withColumn("__target", label.cast("string"))
         encoded = StringIndexer(inputCol="__target", outputCol="label").fit(encoded).transform(encoded)
-        estimator = DecisionTreeClassifier(featuresCol="chosen", maxDepth=8, seed=1)
+        estimator = DecisionTreeClassifier(featuresCol="chosen", maxDepth=depth, seed=1)
         judge = MulticlassClassificationEvaluator(metricName="accuracy")
     else:
         number = (F.pmod(F.xxhash64(label), F.lit(1 << 31)) if roles[target] == "text" else label).cast("double")
         encoded = encoded.withColumn("label", number)
-        estimator = DecisionTreeRegressor(featuresCol="chosen", maxDepth=8, seed=1)
+        estimator = DecisionTreeRegressor(featuresCol="chosen", maxDepth=depth, seed=1)
         judge = RegressionEvaluator(metricName="r2")
+    if not names:
+        raise ValueError("no feature varies")
     if len(names) == 1:
         single = FeatureRanking(False, names, 1, [0.0], [0.0])
         return FeatureRanking(False, [source[names[0]]], 1, [0.0], [0.0], single)
@@ -166,20 +163,22 @@ def select_features(df: DataFrame, target: str, one_hot: bool = False, folds: in
     finally:
         ready.unpersist()
     order = sorted(range(len(names)), key=lambda i: (rank[i], i))
-    return _decoded([names[i] for i in order], best, means, spread, source)
-
-
-def _decoded(names: list[str], k: int, means: list[float], spread: list[float], source: dict[str, str]) -> FeatureRanking:
-    """Ranking of slots turned into a ranking of source columns."""
-    features, scores, deviations, chosen = [], [], [], 0
-    for i, name in enumerate(names):
-        column = source[name]
-        if column not in features:
-            features.append(column)
-            scores.append(means[i])
-            deviations.append(spread[i])
-        elif features[-1] == column:
-            scores[-1], deviations[-1] = means[i], spread[i]
-        if i == k - 1:
-            chosen = len(features)
-    return FeatureRanking(True, features, chosen, scores, deviations, FeatureRanking(True, names, k, means, spread))
+    encoded = FeatureRanking(True, [names[i] for i in order], best, means, spread)
+    return by_column(df.sparkSession, encoded, source)
+
+
+def by_column(spark, slots: FeatureRanking, source: dict[str, str]) -> FeatureRanking:
+    """The ranking of source columns that follows from a ranking of slots.
+
+    A column stands where its first slot stands and scores what the ranking
+    scores at the end of the unbroken run of its slots there.
+    """
+    rows = [(i, source[slot], slots.scores[i], slots.deviations[i]) for i, slot in enumerate(slots.features)]
+    table = spark.createDataFrame(rows, "at int, column string, score double, deviation double")
+    mine = Window.partitionBy("column").orderBy("at")
+    # Inside a run the position and the number among the column's own slots rise together.
+    runs = table.withColumn("run", F.col("at") - F.row_number().over(mine)).withColumn("first", F.min("at").over(Window.partitionBy("column")))
+    columns = (runs.where("run = first - 1").groupBy("column", "first")
+               .agg(F.max_by(F.struct("score", "deviation"), "at").alias("end")).orderBy("first").collect())
+    return FeatureRanking(True, [r.column for r in columns], sum(r["first"] < slots.k for r in columns), [r.end.score for r in columns],
+                          [r.end.deviation for r in columns], slots)

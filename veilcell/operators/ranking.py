@@ -30,17 +30,13 @@ def global_positions(ws: Workspace, df: DataFrame, order: Sequence[str], name: s
             .withColumn(name, F.col("__before") + F.col("__inside")).drop("__part", "__inside", "__before"))
 
 
-def group_ranks(ws: Workspace, df: DataFrame, groups: Sequence[str], order: Sequence[str], largest: int,
-                limit: int, name: str = "rank") -> DataFrame:
+def group_ranks(ws: Workspace, df: DataFrame, groups: Sequence[str], order: Sequence[str],
+                name: str = "rank") -> DataFrame:
     """Adds the 0-based rank of each row in its group.
 
-    ``largest`` is the known size of the biggest group: up to ``limit`` a plain
-    window ranks each group in one task, above it the whole table is ranked by
-    range partitions and each group subtracts its first position.
+    The whole table is ranked by range partitions and each group subtracts its
+    first position, so no task sees a whole group.
     """
-    if largest <= limit:
-        window = Window.partitionBy(*groups).orderBy(*order)
-        return df.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
     placed = global_positions(ws, df, [*groups, *order], "__position")
     if not groups:
         return placed.withColumnRenamed("__position", name)

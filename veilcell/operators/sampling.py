@@ -14,14 +14,6 @@ from .encoding import Encoded, column_extents, root_ranges
 CHUNKS = 1 << 20
 
 
-def sampling_pays(columns: int, rows: int, sample: int) -> bool:
-    """True when measuring all pairs on the table costs over twice the sampled way."""
-    if sample >= rows:
-        return False
-    sampled = columns * columns * sample + rows * columns * 3 // 2
-    return columns * columns * rows > 2 * sampled
-
-
 def sample_rows(rows: DataFrame, n_rows: int, size: int) -> DataFrame:
     """``size`` rows drawn uniformly with replacement.
 

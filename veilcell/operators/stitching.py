@@ -54,15 +54,15 @@ def aligned_index(index: Column, available: int, wanted: int, *keys: Column) ->
     return F.when(index < available, index).otherwise(index_draw(F.lit(available), index, *keys))
 
 
-def patch(ws: Workspace, left: MicroTable, right: MicroTable, limit: int) -> MicroTable:
+def patch(ws: Workspace, left: MicroTable, right: MicroTable) -> MicroTable:
     """Pairs the left rows in order with the right rows in shuffled order."""
     if right.count == 0 or left.count == 0:
         raise ValueError("a cluster has no rows")
     tag = F.lit(",".join(map(str, right.columns)))
     shuffled = right.rows.withColumn("__key", F.xxhash64("pos", tag))
-    shuffled = group_ranks(ws, shuffled, [], ["__key", "pos"], right.count, limit, "__slot")
+    shuffled = group_ranks(ws, shuffled, [], ["__key", "pos"], "__slot")
     lefts = (left.rows.withColumn("__index", F.col("pos").cast("bigint")) if left.dense
-             else group_ranks(ws, left.rows, [], ["pos"], left.count, limit, "__index"))
+             else group_ranks(ws, left.rows, [], ["pos"], "__index"))
     lefts = lefts.withColumn("__slot", aligned_index(F.col("__index"), right.count, left.count, tag))
     joined = lefts.join(shuffled.select("__slot", *fields(right.columns)), "__slot")
     columns = tuple(sorted({*left.columns, *right.columns}))
@@ -182,7 +182,7 @@ def stitch_bins(ws: Workspace, rows: DataFrame, columns: Sequence[StitchColumn])
 
 
 def merge_bins(ws: Workspace, left: DataFrame, right: DataFrame, left_columns: Sequence[int],
-               right_columns: Sequence[int], stitch: Sequence[int], owner: str, limit: int) -> DataFrame:
+               right_columns: Sequence[int], stitch: Sequence[int], owner: str) -> DataFrame:
     """Pairs the rows of both sides inside each bin, in the order of the stitch columns.
 
     Both sides are brought to the owner's length, or the rounded mean, by dropping
@@ -193,11 +193,10 @@ def merge_bins(ws: Workspace, left: DataFrame, right: DataFrame, left_columns: S
         right.groupBy("bin").agg(F.count(F.lit(1)).alias("r")), "bin")
     length = {"left": F.col("l"), "right": F.col("r")}.get(owner, F.bround((F.col("l") + F.col("r")) / 2, 0).cast("bigint"))
     counts = ws.cut(counts.withColumn("m", length), "bins")
-    widest = counts.agg(F.max(F.greatest("l", "r"))).first()[0] or 0
 
     def side(rows: DataFrame, columns: Sequence[int], n: str, tag: str) -> DataFrame:
         keyed = rows.withColumn("__key", F.xxhash64("pos", F.lit(tag)))
-        ranked = ws.cut(group_ranks(ws, keyed, ["bin"], ["__key", "pos"], widest, limit, "__at"), f"side-{tag}")
+        ranked = ws.cut(group_ranks(ws, keyed, ["bin"], ["__key", "pos"], "__at"), f"side-{tag}")
         sized = ranked.join(counts.select("bin", "m"), "bin")
         kept = sized.where("__at < m").drop("m").withColumn("__copy", F.lit(0).cast("bigint"))
         short = counts.where(f"m > {n}").select("bin", n, "m")
@@ -206,7 +205,7 @@ def merge_bins(ws: Workspace, left: DataFrame, right: DataFrame, left_columns: S
         whole = kept.unionByName(ranked.join(extra, ["bin", "__at"]))
         order = [f"n{c}" for c in stitch] + ["__again", "pos", "__copy"]
         whole = whole.withColumn("__again", F.xxhash64("pos", "__copy", F.lit(tag + "2")))
-        paired = group_ranks(ws, whole, ["bin"], order, 2 * widest, limit, "__row")
+        paired = group_ranks(ws, whole, ["bin"], order, "__row")
         return paired.select("bin", "__row", *[F.col(f).alias(f"{tag}_{f}") for f in fields(columns)])
 
     pairs = side(left, left_columns, "l", "l").join(side(right, right_columns, "r", "r"), ["bin", "__row"])
@@ -221,8 +220,8 @@ def merge_bins(ws: Workspace, left: DataFrame, right: DataFrame, left_columns: S
     return pairs.select(F.concat_ws(":", "bin", F.col("__row").cast("string")).alias("pos"), *chosen)
 
 
-def stitch(ws: Workspace, left: MicroTable, right: MicroTable, columns: Sequence[StitchColumn], owner: str,
-           limit: int) -> MicroTable:
+def stitch(ws: Workspace, left: MicroTable, right: MicroTable, columns: Sequence[StitchColumn],
+           owner: str) -> MicroTable:
     """Joins two tables that share the given columns."""
     if not columns or not left.count or not right.count:
         raise ValueError("a stitch needs shared columns and rows on both sides")
@@ -236,5 +235,5 @@ def stitch(ws: Workspace, left: MicroTable, right: MicroTable, columns: Sequence
         return table.rows.withColumn("pos", F.col("pos").cast("string")).join(mine, "pos")
 
     merged = ws.cut(merge_bins(ws, binned(left, "l"), binned(right, "r"), left.columns, right.columns,
-                               [c.index for c in columns], owner, limit), "stitched")
+                               [c.index for c in columns], owner), "stitched")
     return MicroTable(merged, tuple(sorted({*left.columns, *right.columns})), merged.count(), False)

@@ -110,7 +110,7 @@ def text_ranges(spark, folder):
     """Generalized text of every pair of neighbours in the dictionary of document texts."""
     ws = Workspace(spark)
     docs = load(spark, folder, "documents")
-    words = ws.cut(encoding.string_ranks(ws, docs, ["text"], CONFIG.group_limit), "words")
+    words = ws.cut(encoding.string_ranks(ws, docs, ["text"]), "words")
     nexts = words.select((F.col("code") - 1).alias("code"), F.col("text").alias("high"))
     both = words.select("code", F.col("text").alias("low")).join(nexts, "code")
     return both.select("code", val.generalized_text(F.col("low"), F.col("high"), F.col("code")).alias("shown"))
@@ -148,7 +148,7 @@ def decoded_fields(spark, folder):
 
 def string_codes(spark, folder):
     parts = load(spark, folder, "part")
-    return encoding.string_ranks(Workspace(spark), parts, ["p_name", "p_brand", "p_type"], CONFIG.group_limit)
+    return encoding.string_ranks(Workspace(spark), parts, ["p_name", "p_brand", "p_type"])
 
 
 def root_ranges(spark, folder):
@@ -357,7 +357,7 @@ def cluster_search(spark, folder):
 
 def feature_ranking(spark, folder):
     li = load(spark, folder, "lineitem").select("l_quantity", "l_discount", "l_extendedprice", "l_tax")
-    return features.select_features(li, "l_extendedprice", folds=3).table(spark)
+    return features.select_features(li, "l_extendedprice").table(spark)
 
 
 def column_roles(spark, folder):
@@ -385,7 +385,7 @@ def patch_join(spark, folder):
     ws = Workspace(spark)
     left = _micro_table(ws, load(spark, folder, "orders"), {0: "o_totalprice"}, "o_orderkey")
     right = _micro_table(ws, load(spark, folder, "customer"), {1: "c_acctbal"}, "c_custkey")
-    return stitching.patch(ws, left, right, CONFIG.group_limit).rows.select("pos", F.col("s0").alias("price"),
+    return stitching.patch(ws, left, right).rows.select("pos", F.col("s0").alias("price"),
                                                                             F.col("s1").alias("balance"))
 
 
@@ -397,7 +397,7 @@ def stitch_join(spark, folder):
         (F.sum("l_extendedprice")).alias("price"), F.sum("l_quantity").alias("quantity"))
     right = _micro_table(ws, numbered, {0: "price", 2: "quantity"}, "l_orderkey")
     column = stitching.StitchColumn(0, 0.0, float(1 << 19), False)
-    return stitching.stitch(ws, left, right, [column], "shared", CONFIG.group_limit).rows.select(
+    return stitching.stitch(ws, left, right, [column], "shared").rows.select(
         F.col("s0").alias("price"), F.col("s1").alias("customer"), F.col("s2").alias("quantity"))
 
 

@@ -17,7 +17,7 @@ from ..operators.encoding import Encoded, encode_table
 from ..operators.features import FeatureRanking, select_features
 from ..operators.harvest import Harvest
 from ..operators.microdata import microdata
-from ..operators.sampling import sampled_table, sampling_config, sampling_pays
+from ..operators.sampling import sampled_table, sampling_config
 from ..operators.stitching import MicroTable, StitchColumn, patch, stitch
 from ..sources.salt import content_salt
 from ..workspace import Workspace
@@ -60,8 +60,8 @@ class Synthesizer:
 
     @cached_property
     def measured(self) -> Forest:
-        """The forest on which dependence is measured: the table's own, or that of a sample."""
-        if not sampling_pays(len(self.columns), self.data.n_rows, self.config.sample_size):
+        """The forest on which dependence is measured: the table's own, or that of a sample asked for."""
+        if self.config.sample_size is None:
             return self.forest
         sample = sampled_table(self.ws, self.data, self.config.sample_size)
         return Forest(self.ws, sample, sampling_config(self.config))
@@ -155,14 +155,14 @@ class Synthesizer:
         """The synthetic table, stored in the shared scratch folder."""
         initial, derived = self.plan
         owners = [d.owner for d in self.spec.derived] if self.spec is not None else ["shared"] * len(derived)
-        table, limit = self.micro_table(initial), self.config.group_limit
+        table = self.micro_table(initial)
         for (shared, own), owner in zip(derived, owners):
             other = self.micro_table([*shared, *own])
             if shared:
                 order = sorted(shared, key=lambda c: (self._entropy_order[c], c))
-                table = stitch(self.ws, table, other, [self._stitch_column(c) for c in order], owner, limit)
+                table = stitch(self.ws, table, other, [self._stitch_column(c) for c in order], owner)
             else:
-                table = patch(self.ws, table, other, limit)
+                table = patch(self.ws, table, other)
         if list(table.columns) != list(range(len(self.columns))):
             raise RuntimeError("the clusters do not cover all columns")
         out = self.ws.cut(table.rows.select(*[F.col(f"s{i}").alias(c) for i, c in enumerate(self.columns)]), "synthetic")

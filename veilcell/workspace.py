@@ -14,6 +14,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_folders: dict[str, str] = {}  # by application: where the session names no folder, as in tests
+
+
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     folder = folder or spark.conf.get("spark.checkpoint.dir", None)
@@ -21,17 +24,21 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="veilcell-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="veilcell-")
+    return _own_folders[application]
 
 
 class Workspace:
-    """Writes and re-reads the scratch tables of one run and tracks what it caches."""
+    """Writes and re-reads the scratch tables of one run and tracks what it caches.
 
-    def __init__(self, spark: SparkSession):
+    ``drop`` removes the tables once the results that read them are stored.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
-        self.folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+        self.folder = f"{(folder or shared_folder(spark)).rstrip('/')}/run-{uuid.uuid4().hex}"
         self._tables = 0
         self._cached: list[DataFrame] = []
 
@@ -50,3 +57,9 @@ class Workspace:
         for df in self._cached:
             df.unpersist()
         self._cached.clear()
+
+    def drop(self) -> None:
+        """Removes the tables of this run from the shared folder."""
+        self.release()
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
