@@ -19,8 +19,7 @@ from .harvest import expand_counts
 from .ranking import group_ranks
 
 PASS_BITS = 16  # cells per bin and pass stay below 2^16
-MAX_PASSES = 64
-BIN_BATCH = 16  # bins per call of the splitting function
+BIN_BATCH = 32  # bins per call of the splitting function
 
 
 @dataclass(frozen=True)
@@ -78,60 +77,62 @@ def split_bins(limits: Sequence[tuple[float, bool]], bits: int, ratio: float) ->
     ``limits`` holds the root upper bound and integrality of each stitch column.
     A bin is halved at the middle of its next column while both halves hold
     similar row counts on the two sides; columns take turns, and a bin is final
-    after a full round of refusals or when a side has one row. Defined inside so
-    that it travels to the workers by value.
+    after a full round of refusals or when a side has one row. All bins of a call
+    take their steps at once: the state is one array row per bin. Defined inside
+    so that it travels to the workers by value.
     """
     size = len(limits)
-
-    def balanced(a: int, b: int) -> bool:
-        return min(a, b) > 0 and min(a, b) / max(a, b) >= ratio
+    tops, integral = np.array([t for t, _ in limits]), np.array([i for _, i in limits])
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([one_bin(frame) for _, frame in batch.groupby("bin", sort=False)])
-
-    def one_bin(frame: pd.DataFrame) -> pd.DataFrame:
-        cells = frame[[f"f{i}" for i in range(size)]].to_numpy()
-        left, right = frame["left_rows"].to_numpy(), frame["right_rows"].to_numpy()
-        first = frame.iloc[0]
-        ranges = [(float(first["lo"][i]), float(first["hi"][i])) for i in range(size)]
-        new_bin = np.empty(len(frame), dtype=object)
-        state: dict[str, tuple] = {}
-        todo = [(np.arange(len(frame)), ranges, [0] * size, int(first["turn"]), int(first["attempts"]), first["bin"])]
-        while todo:
-            members, ranges, used, turn, attempts, name = todo.pop()
-            n_left, n_right = left[members].sum(), right[members].sum()
-            if attempts == 0 or n_left == 1 or n_right == 1:
-                new_bin[members], state[name] = name, (ranges, turn, attempts, True)
-                continue
-            lo, hi = ranges[turn]
-            after = (turn + 1) % size
-            top, integral = limits[turn]
-            if integral and not (hi - lo > 1.0 or hi == top and hi - lo >= 1.0):
-                todo.append((members, ranges, used, after, attempts - 1, name))
-                continue
-            if used[turn] == bits:  # finer cells are needed: next pass
-                new_bin[members], state[name] = name, (ranges, turn, attempts, False)
-                continue
-            upper = (cells[members, turn] >> (bits - 1 - used[turn])) & 1 == 1
-            low, high = members[~upper], members[upper]
-            counts = [(left[m].sum(), right[m].sum()) for m in (low, high)]
-            deeper = [u + (i == turn) for i, u in enumerate(used)]
-            mid = (lo + hi) / 2
-            halves = [[half if i == turn else r for i, r in enumerate(ranges)] for half in ((lo, mid), (mid, hi))]
-            if balanced(*counts[0]) and balanced(*counts[1]):
-                todo.append((low, halves[0], deeper, after, size, name + "0"))
-                todo.append((high, halves[1], deeper, after, size, name + "1"))
-            elif counts[0] == (0, 0):
-                todo.append((members, halves[1], deeper, after, attempts - 1, name))
-            elif counts[1] == (0, 0):
-                todo.append((members, halves[0], deeper, after, attempts - 1, name))
-            else:
-                todo.append((members, ranges, used, after, attempts - 1, name))
-        infos = [state[b] for b in new_bin]
+        cells = batch[[f"f{i}" for i in range(size)]].to_numpy()
+        rows = {"l": batch["left_rows"].to_numpy(), "r": batch["right_rows"].to_numpy()}
+        owner, names = pd.factorize(batch["bin"])
+        first = batch.drop_duplicates("bin")  # in the order of the names
+        lo, hi = (np.array(first[c].tolist(), float).reshape(-1, size) for c in ("lo", "hi"))
+        turn, attempts = first["turn"].to_numpy().copy(), first["attempts"].to_numpy().copy()
+        names, used = np.array(names, object), np.zeros((len(names), size), np.int64)
+        state = np.zeros(len(names), np.int8)  # 0: open, 1: final, 2: needs finer cells
+        while (state == 0).any():
+            n = len(names)
+            at = np.arange(n)
+
+            def counted(side: str, where: np.ndarray) -> np.ndarray:
+                return np.bincount(owner[where], weights=rows[side][where], minlength=n)
+
+            everywhere = np.ones(len(owner), bool)
+            state[(state == 0) & ((attempts == 0) | (counted("l", everywhere) == 1) | (counted("r", everywhere) == 1))] = 1
+            low, high, depth = lo[at, turn], hi[at, turn], used[at, turn]
+            width = high - low
+            whole = integral[turn] & (width <= 1) & ~((high == tops[turn]) & (width == 1))
+            state[(state == 0) & ~whole & (depth == bits)] = 2
+            tried = (state == 0) & ~whole
+            upper = (cells[np.arange(len(owner)), turn[owner]] >> np.maximum(bits - 1 - depth, 0)[owner]) & 1 == 1
+            halves = [(counted("l", upper == up), counted("r", upper == up)) for up in (False, True)]
+            fair = [(np.minimum(x, y) > 0) & (np.minimum(x, y) >= ratio * np.maximum(x, y)) for x, y in halves]
+            split = tried & fair[0] & fair[1]
+            # One empty half costs a turn but narrows the range.
+            narrow = [tried & ~split & (x + y == 0) for x, y in reversed(halves)]
+            middle, column = (low + high) / 2, turn.copy()
+            moved = state == 0
+            turn[moved] = (turn[moved] + 1) % size
+            attempts[moved] -= 1
+            attempts[split] = size
+            used[at, column] += split | narrow[0] | narrow[1]
+            old = np.flatnonzero(split)
+            fresh = n + np.arange(len(old))
+            lo, hi, used, turn, attempts, state = (np.concatenate([x, x[old]]) for x in (lo, hi, used, turn, attempts, state))
+            hi[at, column] = np.where(split | narrow[0], middle, high)
+            lo[at, column] = np.where(narrow[1], middle, low)
+            lo[fresh, column[old]] = middle[old]
+            names = np.concatenate([names, names[old] + "1"])
+            names[old] = names[old] + "0"
+            new = np.zeros(n, np.int64)
+            new[old] = fresh
+            owner = np.where(split[owner] & upper, new[owner], owner)
         return pd.DataFrame({
-            "bin": frame["bin"], **{f"f{i}": cells[:, i] for i in range(size)}, "new_bin": new_bin,
-            "lo": [[r[0] for r in s[0]] for s in infos], "hi": [[r[1] for r in s[0]] for s in infos],
-            "turn": [s[1] for s in infos], "attempts": [s[2] for s in infos], "done": [s[3] for s in infos]})
+            "bin": batch["bin"], **{f"f{i}": cells[:, i] for i in range(size)}, "new_bin": names[owner], "lo": lo[owner].tolist(),
+            "hi": hi[owner].tolist(), "turn": turn[owner], "attempts": attempts[owner], "done": state[owner] == 1})
 
     return run
 
@@ -144,10 +145,8 @@ def stitch_bins(ws: Workspace, rows: DataFrame, columns: Sequence[StitchColumn])
     on one bounded cell table per bin.
     """
     size = len(columns)
-    bits = PASS_BITS // size
+    bits = max(1, PASS_BITS // size)
     limits = [(c.hi, c.integral) for c in columns]
-    if bits == 0:
-        raise ValueError("too many stitch columns")
     state = ws.spark.createDataFrame(
         [("b", [c.lo for c in columns], [c.hi for c in columns], 0, size)],
         "bin string, lo array<double>, hi array<double>, turn int, attempts int")
@@ -155,7 +154,7 @@ def stitch_bins(ws: Workspace, rows: DataFrame, columns: Sequence[StitchColumn])
     cell_cols = [f"f{i}" for i in range(size)]
     schema = ("bin string, " + ", ".join(f"{c} bigint" for c in cell_cols)
               + ", new_bin string, lo array<double>, hi array<double>, turn int, attempts int, done boolean")
-    for _ in range(MAX_PASSES):
+    while True:
         ranged = active.join(state, "bin")
         cells = [cell_of(F.col(f"n{c.index}"), F.col("lo")[i], F.col("hi")[i] - F.col("lo")[i], bits).alias(f"f{i}")
                  for i, c in enumerate(columns)]
@@ -176,8 +175,6 @@ def stitch_bins(ws: Workspace, rows: DataFrame, columns: Sequence[StitchColumn])
         moved = ws.cut(moved, "binned")
         finished.append(moved.where("done").select("side", "pos", "bin"))
         active = moved.where("not done").drop("done")
-    else:
-        raise RuntimeError("stitching did not settle")
     return reduce(DataFrame.unionByName, finished)
 
 
