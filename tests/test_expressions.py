@@ -7,6 +7,7 @@ from veilcell import Interval, SynthConfig
 from veilcell.functions import geometry as geo
 from veilcell.functions import hashing as hs
 from veilcell.functions import values as val
+from veilcell.operators.harvest import joined_runs, scaled_runs
 from veilcell.operators.counting import shrunk_intervals
 
 
@@ -50,25 +51,26 @@ def carried(counts, target):
 
 def test_rescaling_equals_carried_remainders(spark):
     rng = random.Random(2)
+    cases = [([10], 13), ([7], 2), ([2, 2, 2], 9), ([4, 11], 17), ([6, 4, 3], 26), ([6, 4, 3, 3], 24), ([5, 5, 1], 11), ([2] * 9, 27)]
+    cases += [([rng.randint(1, 30) for _ in range(rng.randint(1, 8))], None) for _ in range(600)]
     rows = []
-    for case in range(300):
-        counts = [rng.randint(1, 30) for _ in range(rng.randint(1, 8))]
-        target = rng.randint(2, 2 * sum(counts))
-        rests = [c * target % sum(counts) for c in counts]
-        if target % sum(counts) and rests[0] == 0:
-            continue  # a leading exact unit is the one place where the running form may shift by one
+    for case, (counts, target) in enumerate(cases):
+        total = sum(counts)
+        target = target or rng.randint(2, 2 * total)
+        lead, out = scaled_runs(joined_runs([[(c, 1)] for c in counts]), total, target)
+        assert [c for c, n in out for _ in range(n)] == [c for c in carried(counts, target) if c]
         run = 0
         for c, want in zip(counts, carried(counts, target)):
-            rows.append((case, run, run + c, target, sum(counts), want))
+            rows.append((case, run, run + c, target, total, lead, want))
             run += c
-    df = spark.createDataFrame(rows, "case int, a bigint, b bigint, t bigint, s bigint, want bigint")
-    got = geo.rescale_prefix(F.col("b"), F.col("t"), F.col("s")) - geo.rescale_prefix(F.col("a"), F.col("t"), F.col("s"))
-    assert df.where(got != F.col("want")).isEmpty()
+    df = spark.createDataFrame(rows, "case int, a bigint, b bigint, t bigint, s bigint, lead bigint, want bigint")
+    scaled = [geo.rescale_prefix(F.col(c), F.col("t"), F.col("s"), F.col("lead")) for c in "ab"]
+    assert df.where(scaled[1] - scaled[0] != F.col("want")).isEmpty()
 
 
 def test_rescaling_of_huge_counts_is_monotone(spark):
     df = spark.range(1000).select((F.col("id") * 10 ** 9).alias("p"))
-    got = df.select(geo.rescale_prefix(F.col("p"), F.lit(7 * 10 ** 11), F.lit(10 ** 12)).alias("x")).orderBy("p").collect()
+    got = df.select(geo.rescale_prefix(F.col("p"), F.lit(7 * 10 ** 11), F.lit(10 ** 12), F.lit(0)).alias("x")).orderBy("p").collect()
     xs = [r.x for r in got]
     assert xs == sorted(xs) and abs(xs[-1] - 0.7 * 999 * 10 ** 9) < 10
 

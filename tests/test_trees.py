@@ -70,6 +70,12 @@ def test_flattening_two_ids(spark, ws):
     assert (got.count(1), got.count(2), len(got)) == (4, 7, 11)
 
 
+def test_single_buckets_lose_no_rows(spark, ws):
+    """The suppressed value 3 goes to its neighbour: branches with one bucket scale exactly."""
+    got = values(ws, spark.createDataFrame([(v,) for v in [0] * 10 + [3] * 2 + [7] * 10], "c bigint"), ["c"], [], fx.NOISELESS)
+    assert len(got) == 22 and got.count(7) == 10
+
+
 def test_low_counts_are_suppressed(spark, ws):
     one = values(ws, spark.createDataFrame(fx.LOW_ONE, "aid bigint, c string"), ["c"], ["aid"], fx.NOISELESS)
     two = values(ws, spark.createDataFrame(fx.LOW_TWO, "a bigint, b bigint, c string"), ["c"], ["a", "b"], fx.NOISELESS)

@@ -136,15 +136,14 @@ def column_combinations(columns: Sequence[int], k: int) -> list[tuple[int, ...]]
     return list(combinations(sorted(columns), k)) if k else []
 
 
-def rescale_prefix(prefix: Column, target: Column, total: Column) -> Column:
+def rescale_prefix(prefix: Column, target: Column, total: Column, lead: Column) -> Column:
     """Running total after scaling counts from ``total`` to ``target`` with carried remainders.
 
-    A remainder is carried only when it exceeds one whole unit, so an exact unit at
-    the end stays behind and the scaled counts usually add up to target - 1.
+    Up to ``lead`` all counts scale exactly and nothing is carried. From there on a
+    remainder is carried only when it exceeds one whole unit, so between nothing
+    and a whole unit always stays behind.
     """
-    limit = 3_000_000_000  # products of two such counts fit a bigint
-    exact = F.call_function("div", prefix * target + total - 1, total)
-    rough = F.ceil(prefix.cast("double") * (target.cast("double") / total.cast("double")))
-    small = (target <= limit) & (total <= limit)
-    carried = F.greatest(F.when(small, exact).otherwise(rough) - 1, F.lit(0).cast("bigint"))
-    return F.when(target % total == 0, prefix * F.call_function("div", target, total)).otherwise(carried)
+    wide = [c.cast("decimal(19,0)") for c in (prefix, target, total)]  # products have no limit in practice
+    exact = F.call_function("div", wide[0] * wide[1], wide[2])
+    carried = F.call_function("div", wide[0] * wide[1] + wide[2] - F.lit(1), wide[2]) - 1
+    return F.when(prefix <= lead, exact).otherwise(F.greatest(carried, F.lit(0).cast("bigint")))

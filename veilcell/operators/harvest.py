@@ -8,6 +8,7 @@ The mapped interval at the root also gives every synthetic row its position.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -25,7 +26,8 @@ POOL_CHUNKS = 1024
 BIN_DRAWS = 65_536  # draws per weight bin, roughly
 
 SLAB_BATCH = 200_000  # nodes per call of the totals function
-EXACT_LIMIT = 3_000_000_000
+KEPT_RUNS = 32  # runs of equal counts remembered from the front of a node's buckets
+ALL_EXACT = 2**63 - 1
 
 
 def node_name(k: int) -> Column:
@@ -45,11 +47,60 @@ def expand_counts(df: DataFrame, keys: Sequence[str], first: str, end: str, name
 
 # -- node totals ----------------------------------------------------------------
 
+Runs = list[tuple[int, int]]  # (count, times) of buckets in order, from the front
+
+
+def joined_runs(parts: Sequence[Runs]) -> Runs:
+    out: Runs = []
+    for count, times in (run for part in parts for run in part):
+        if out and out[-1][0] == count:
+            out[-1] = (count, out[-1][1] + times)
+        elif len(out) < KEPT_RUNS:
+            out.append((count, times))
+        else:
+            break
+    return out
+
+
+def scaled_runs(runs: Runs, total: int, target: int) -> tuple[int, Runs]:
+    """The part of ``total`` in front that scales to ``target`` exactly, and the scaled buckets.
+
+    A count scales exactly if it is a multiple of total / gcd(total, target).
+    Behind the first one that does not, a count becomes the difference of the
+    carried running totals.
+    """
+    unit = total // math.gcd(total, target)
+    if unit == 1:  # also what lies behind the remembered front
+        return total, [(count * target // total, times) for count, times in runs]
+    exact, lead = [], 0
+    for i, (count, times) in enumerate(runs):
+        if count % unit:
+            break
+        exact.append((count * target // total, times))
+        lead += count * times
+    else:
+        return lead, exact
+    carried: Runs = []
+    before, below = lead, lead * target // total
+    for count, times in runs[i:]:
+        for _ in range(min(times, KEPT_RUNS)):
+            before += count
+            now = max(-(-before * target // total) - 1, 0)
+            if now > below:
+                carried.append((now - below, 1))
+            below = now
+        if times > KEPT_RUNS or len(carried) >= KEPT_RUNS:
+            break
+    return lead, joined_runs([exact, carried])
+
+
 def slab_totals(k: int, base: int, levels: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Function giving harvested totals inside slabs of trees, deepest level first.
 
     A slab is a few levels below one node; a call takes a batch of whole slabs.
-    It is defined inside so that it travels to the workers by value.
+    The front of each node's bucket list travels up with its total, because it
+    decides how far the counts scale exactly. Leaves of several columns that are
+    no points count as refined to single rows.
     """
     cells = [f"c{d}" for d in range(1, k + 1)]
     tops = [f"t{d}" for d in range(1, k + 1)]
@@ -58,11 +109,15 @@ def slab_totals(k: int, base: int, levels: int) -> Callable[[pd.DataFrame], pd.D
         tag = batch.groupby(["combo", *tops], sort=False).ngroup().to_numpy().astype(np.int64)
         batch = batch.assign(slab=tag << 32).sort_values(["level", "slab", "path"], ignore_index=True)
         level, slab = batch["level"].to_numpy() - base, batch["slab"].to_numpy()
-        path, noisy = batch["path"].to_numpy(), batch["noisy"].to_numpy()
-        split = batch["split"].to_numpy()
-        total = np.where(split, batch["known_total"].to_numpy(), np.where(batch["live"].to_numpy(), noisy, 0))
+        path, noisy, live = batch["path"].to_numpy(), batch["noisy"].to_numpy(), batch["live"].to_numpy()
+        split, whole = batch["split"].to_numpy(), batch["whole"].to_numpy()
+        total = np.where(split, batch["known_total"].to_numpy(), np.where(live, noisy, 0))
         inner = np.where(split, batch["known_inner"].to_numpy(), 0)
+        lead = np.where(split, batch["known_lead"].to_numpy(), 0)
         before = np.zeros(len(batch), dtype=np.int64)
+        bucket = [[(int(n), 1)] if one else [(1, int(n))] for n, one in zip(noisy, whole)]
+        runs = [list(zip(c, t)) if inside and c is not None else own if alive and not inside else []
+                for c, t, own, alive, inside in zip(batch["known_counts"], batch["known_times"], bucket, live, split)]
         bounds = np.searchsorted(level, np.arange(levels + 2))
         for depth in range(levels - 1, -1, -1):
             mine, below = slice(bounds[depth], bounds[depth + 1]), slice(bounds[depth + 1], bounds[depth + 2])
@@ -71,24 +126,35 @@ def slab_totals(k: int, base: int, levels: int) -> Callable[[pd.DataFrame], pd.D
             np.add.at(sums, owner, total[below])
             running = np.cumsum(total[below]) - total[below]
             before[below] = running - running[np.searchsorted(owner, owner)] if len(running) else running
-            target, safe = noisy[mine], np.maximum(sums, 1)
-            rough = np.ceil(sums.astype(float) * (target / safe)).astype(np.int64) - 1
-            small = (target <= EXACT_LIMIT) & (sums <= EXACT_LIMIT)
-            scaled = np.where(target % safe == 0, target, np.where(small, target - 1, rough))
-            total[mine] = np.where(split[mine], np.where(2 * sums < target, target, scaled), total[mine])
+            edges = np.searchsorted(owner, np.arange(len(sums) + 1))
+            for i in np.flatnonzero(split[mine]):
+                at, target = bounds[depth] + i, int(noisy[bounds[depth] + i])
+                children = runs[bounds[depth + 1] + edges[i]:bounds[depth + 1] + edges[i + 1]]
+                if 2 * sums[i] < target:
+                    total[at], lead[at] = target, ALL_EXACT
+                    rest = target - int(sums[i])
+                    runs[at] = [(target, 1)] if k == 1 else joined_runs([*children, [(rest, 1)] if whole[at] else [(1, rest)]])
+                else:
+                    lead[at], runs[at] = scaled_runs(joined_runs(children), int(sums[i]), target)
+                    total[at] = target if lead[at] == sums[i] else target - 1
             inner[mine] = np.where(split[mine], sums, inner[mine])
-        done = batch.assign(total=total, inner=inner, before=before)
-        return done[["combo", "level", *cells, "total", "inner", "before"]]
+        top = level == 0  # only these are asked for by the slab above
+        return pd.DataFrame({
+            "combo": batch["combo"], "level": batch["level"], **{c: batch[c] for c in cells}, "total": total, "inner": inner,
+            "before": before, "lead": lead, "counts": [[c for c, _ in r] if t else None for r, t in zip(runs, top)],
+            "times": [[n for _, n in r] if t else None for r, t in zip(runs, top)]})
 
     return totals
 
 
 def harvested_totals(forest: Forest, trees: Trees) -> DataFrame:
-    """Adds to every node: total (rows it yields), inner (rows its children yield), before (offset in its parent)."""
+    """Adds to every node: total (rows it yields), inner (rows its children yield), before (offset in its parent),
+    lead (part of inner that scales exactly)."""
     k, low, cells = trees.k, forest.config.low_threshold, cell_names(trees.k)
     step = BATCH_BITS if k == 1 else max(1, BATCH_BITS // k - 1)
     keys = ["combo", "level", *cells]
     nodes = trees.nodes.withColumn("live", F.col("strength") >= low)
+    point = " and ".join(f"mn{d} = mx{d}" for d in range(1, k + 1))
     bases = list(range(0, max(trees.depth, 1), step))
     known, parts = None, []
     for base in reversed(bases):
@@ -99,13 +165,14 @@ def harvested_totals(forest: Forest, trees: Trees) -> DataFrame:
         mask = F.lit((1 << step) - 1).cast("bigint")
         wide = child_code([F.expr(f"shiftleft({c}, {base + step} - level)").bitwiseAND(mask) for c in cells], step)
         path = F.call_function("shiftright", wide, (F.lit(base + step) - F.col("level")) * k)
-        slab = members.select(*keys, "noisy", "split", "live", *tops, path.alias("path"))
+        slab = members.select(*keys, "noisy", "split", "live", F.expr("true" if k == 1 else point).alias("whole"), *tops, path.alias("path"))
         if known is None:
-            slab = slab.selectExpr("*", "0L as known_total", "0L as known_inner")
+            slab = slab.selectExpr("*", "0L as known_total", "0L as known_inner", "0L as known_lead",
+                                   "cast(null as array<bigint>) as known_counts", "cast(null as array<bigint>) as known_times")
         else:
-            slab = slab.join(known, keys, "left").fillna(0, ["known_total", "known_inner"])
+            slab = slab.join(known, keys, "left").fillna(0, ["known_total", "known_inner", "known_lead"])
         schema = ", ".join(["combo int", "level int", *[f"{c} bigint" for c in cells],
-                            "total bigint", "inner bigint", "before bigint"])
+                            "total bigint", "inner bigint", "before bigint", "lead bigint", "counts array<bigint>", "times array<bigint>"])
 
         # A slab has fewer than 2^(BATCH_BITS + 1) nodes; small slabs share a call.
         spread = max(1, members.count() // SLAB_BATCH + 1) if base else len(trees.combos)
@@ -114,12 +181,12 @@ def harvested_totals(forest: Forest, trees: Trees) -> DataFrame:
         result = forest.ws.cut(result, f"totals{k}")
         # The lowest branches of the slab above learn here what their children yield.
         known = result.where(F.col("level") == base).select(
-            *keys, F.col("total").alias("known_total"), F.col("inner").alias("known_inner"))
+            *keys, *[F.col(c).alias(f"known_{c}") for c in ("total", "inner", "lead", "counts", "times")])
         parts.append(result.where(F.col("level") > base) if base else result)
     totals = parts[0]
     for part in parts[1:]:
         totals = totals.unionByName(part)
-    return nodes.join(totals, keys)
+    return nodes.join(totals.drop("counts", "times"), keys)
 
 
 # -- intervals ------------------------------------------------------------------
@@ -127,12 +194,12 @@ def harvested_totals(forest: Forest, trees: Trees) -> DataFrame:
 def interval_at(prefix: Column, level: Column) -> Column:
     """Running count of a bucket bound mapped from its node to its ancestor at ``level``.
 
-    ``chain`` lists the ancestors from the parent up: scaling target and total,
-    and the offset inside the next ancestor.
+    ``chain`` lists the ancestors from the parent up: scaling target, total
+    and lead, and the offset inside the next ancestor.
     """
     steps = F.col("level") - level
     mapped = F.aggregate(F.slice("chain", F.lit(1), steps), prefix + F.col("before"),
-                         lambda acc, a: rescale_prefix(acc, a["target"], a["total"]) + a["before"])
+                         lambda acc, a: rescale_prefix(acc, a["target"], a["total"], a["lead"]) + a["before"])
     last = F.get("chain", steps - 1)["before"]
     return F.when(steps == 0, prefix).otherwise(mapped - last)
 
@@ -145,16 +212,16 @@ def with_chains(bearers: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         *keys, F.expr("explode(sequence(0, level - 1))").alias("a_level"))
     up = up.select("*", *[F.expr(f"shiftright({c}, level - a_level)").alias(f"a_{c}") for c in cells])
     gap = "2 * inner < noisy"
-    rule = "named_struct('target', 0L, 'total', 1L)" if k == 1 else "named_struct('target', 1L, 'total', 1L)"
+    rule = f"named_struct('target', {0 if k == 1 else 1}L, 'total', 1L, 'lead', lead)"
     maps = nodes.where("split").select(
         F.col("combo"), F.col("level").alias("a_level"), *[F.col(c).alias(f"a_{c}") for c in cells],
-        F.expr(f"if({gap}, {rule}, named_struct('target', noisy, 'total', inner))").alias("map"),
+        F.expr(f"if({gap}, {rule}, named_struct('target', noisy, 'total', inner, 'lead', lead))").alias("map"),
         F.col("before").alias("a_before"))
     chains = up.join(maps, ["combo", "a_level", *[f"a_{c}" for c in cells]]).groupBy(*keys).agg(
         F.expr("transform(sort_array(collect_list(struct(a_level, map.target as target, map.total as total, "
-               "a_before as before)), false), x -> struct(x.target as target, x.total as total, x.before as before))")
+               "map.lead as lead, a_before as before)), false), x -> struct(x.target as target, x.total as total, x.lead as lead, x.before as before))")
         .alias("chain"))
-    none = F.expr("cast(array() as array<struct<target: bigint, total: bigint, before: bigint>>)")
+    none = F.expr("cast(array() as array<struct<target: bigint, total: bigint, lead: bigint, before: bigint>>)")
     return bearers.join(chains, keys, "left").withColumn("chain", F.coalesce("chain", none))
 
 

@@ -255,37 +255,35 @@ def tree_2d(columns: tuple[str, str] = ("o_totalprice", "o_custkey")) -> str:
         greatest({noisy_unique('n', 's', bucket)}, {cfg.low_threshold}) as noisy from dmid)"""
 
 
-def harvest_sql() -> str:
-    """Bottom-up totals level by level, then every bucket interval mapped up to the root."""
-    def prefix(p: str) -> str:
-        return (f"(case when t % s = 0 then ({p}) * (t // s) else greatest((({p}) * t + s - 1) // s - 1, 0) end)")
+def rescaled_buckets(buckets: str, node: str, order: str) -> str:
+    """Rows of a bucket table (node columns, s, t, n) with n scaled from s to t by carrying remainders over one unit.
+
+    Nothing is carried before the first bucket that does not scale exactly.
+    """
+    def scaled(p: str) -> str:
+        return f"(case when bad is null or {p} <= bad then {p} * t // s else greatest(({p} * t + s - 1) // s - 1, 0) end)"
 
+    return f"""select * exclude (n, bad, p1), ({scaled('p1')} - {scaled('(p1 - n)')})::bigint as n from (
+        select *, min(p1 - n) filter (where (n * t) % s <> 0) over (partition by {node}) as bad from (
+          select *, (sum(n) over (partition by {node} order by {order}))::bigint as p1 from {buckets}))"""
+
+
+def harvest_sql() -> str:
+    """Bucket lists of all nodes, from the deepest level up to the root."""
     ctes = [order_tree()]
-    ctes.append(f"t{LEVELS + 1} as (select 0 as level, 0::bigint as cell, 0::bigint as total, 0::bigint as inr where false)")
+    ctes.append(f"b{LEVELS + 1} as (select 0::bigint as cell, 0 as blevel, 0::bigint as bcell, 0::bigint as ord, 0::bigint as n where false)")
     for lv in range(LEVELS, -1, -1):
-        ctes.append(f"""t{lv} as materialized (select n.level, n.cell, coalesce(k.inr, 0)::bigint as inr,
-          (case when not split then case when strength >= {CONFIG.low_threshold} then noisy else 0 end
-             when 2 * coalesce(k.inr, 0) < noisy then noisy
-             when noisy % k.inr = 0 then noisy else noisy - 1 end)::bigint as total
-          from counted n left join (select cell >> 1 as cell, sum(total)::bigint as inr from t{lv + 1} group by 1) k
-            on n.cell = k.cell where n.level = {lv})""")
-    union = " union all ".join(f"select * from t{lv}" for lv in range(LEVELS + 1))
-    ctes.append(f"alln as materialized (select t.*, c.split, c.noisy, c.strength, c.rlo, c.rhi from ({union}) t "
-                "join counted c on t.level = c.level and t.cell = c.cell)")
-    ctes.append("""offs as materialized (select a.level, a.cell, case when a.cell & 1 = 1 then coalesce(b.total, 0) else 0 end as before
-          from alln a left join alln b on b.level = a.level and b.cell = a.cell - 1)""")
-    ctes.append(f"""maps as materialized (select a.level, a.cell, o.before,
-          case when 2 * inr < noisy then 0 else noisy end as t, case when 2 * inr < noisy then 1 else inr end as s
-          from alln a join offs o on a.level = o.level and a.cell = o.cell where split)""")
-    ctes.append(f"""born as (select level, cell, rlo, rhi, noisy from alln
-          where (not split and strength >= {CONFIG.low_threshold}) or (split and 2 * inr < noisy))""")
-    ctes.append(f"""walk as (select b.level, b.cell, rlo, rhi, b.level as at_, b.cell as ac, 0::bigint as p0, noisy::bigint as p1 from born b
-          union all
-          select w.level, w.cell, rlo, rhi, w.at_ - 1, w.ac >> 1, {prefix('p0 + o.before')}, {prefix('p1 + o.before')}
-          from walk w join offs o on o.level = w.at_ and o.cell = w.ac
-            join maps m on m.level = w.at_ - 1 and m.cell = w.ac >> 1)""")
-    return ("with recursive " + ",\n".join(ctes)
-            + " select level, cell as c1, rlo as lo1, rhi as hi1, p1 - p0 as count from walk where at_ = 0 and p1 > p0")
+        ctes.append(f"""below{lv} as materialized (select cell >> 1 as cell, blevel, bcell, ord, n from b{lv + 1})""")
+        ctes.append(f"""sums{lv} as materialized (select cell, sum(n)::bigint as s from below{lv} group by 1)""")
+        ctes.append(f"""here{lv} as materialized (select c.cell, c.noisy as t, c.strength, c.split, coalesce(k.s, 0)::bigint as s
+          from counted c left join sums{lv} k on c.cell = k.cell where c.level = {lv})""")
+        ctes.append(f"""kids{lv} as (select b.*, h.s, h.t from below{lv} b join here{lv} h on b.cell = h.cell where split and 2 * h.s >= h.t)""")
+        ctes.append(f"""b{lv} as materialized (select cell, {lv} as blevel, cell as bcell, cell << {LEVELS - lv} as ord, t::bigint as n from here{lv}
+            where (not split and strength >= {CONFIG.low_threshold}) or (split and 2 * s < t)
+          union all select cell, blevel, bcell, ord, n from ({rescaled_buckets(f'kids{lv}', 'cell', 'ord')}) where n > 0)""")
+    return ("with " + ",\n".join(ctes) + """
+      select b.blevel as level, b.bcell as c1, c.rlo as lo1, c.rhi as hi1, b.n as count
+      from b0 b join counted c on c.level = b.blevel and c.cell = b.bcell""")
 
 
 def dependence_sql() -> str:
@@ -329,14 +327,25 @@ def entity_tree_sql() -> str:
 
 
 def node_totals_sql() -> str:
+    """Bucket lists of two-column nodes; leaves that are no points are refined to single rows, so are gaps."""
     ctes, deepest = [tree_2d()], 16
-    ctes.append(f"t{deepest + 1} as (select 0 as level, 0::bigint as c1, 0::bigint as c2, 0::bigint as inr, 0::bigint as total where false)")
+    ctes.append(f"b{deepest + 1} as (select 0::bigint as c1, 0::bigint as c2, 0::bigint as ord, 0::bigint as n where false)")
     for lv in range(deepest, -1, -1):
-        ctes.append(f"""t{lv} as materialized (select n.level, n.c1, n.c2, coalesce(k.inr, 0)::bigint as inr,
-          (case when not split then case when strength >= {CONFIG.low_threshold} then noisy else 0 end
-             when 2 * coalesce(k.inr, 0) < noisy or noisy % k.inr = 0 then noisy else noisy - 1 end)::bigint as total
-          from dnodes n left join (select c1 >> 1 as c1, c2 >> 1 as c2, sum(total)::bigint as inr from t{lv + 1} group by 1, 2) k
-            on n.c1 = k.c1 and n.c2 = k.c2 where n.level = {lv})""")
+        ctes.append(f"""below{lv} as materialized (select c1 >> 1 as c1, c2 >> 1 as c2, n, row_number() over (
+            partition by c1 >> 1, c2 >> 1 order by c1 & 1, c2 & 1, ord) as ord from b{lv + 1})""")
+        ctes.append(f"""here{lv} as materialized (select d.c1, d.c2, d.noisy as t, d.split, d.strength, d.mn1 = d.mx1 and d.mn2 = d.mx2 as point,
+            coalesce(k.s, 0)::bigint as s, d.split and 2 * coalesce(k.s, 0) < d.noisy as gap
+          from dnodes d left join (select c1, c2, sum(n)::bigint as s from below{lv} group by 1, 2) k on d.c1 = k.c1 and d.c2 = k.c2
+          where d.level = {lv})""")
+        ctes.append(f"kids{lv} as (select b.*, h.s, h.t from below{lv} b join here{lv} h on b.c1 = h.c1 and b.c2 = h.c2 where split and not gap)")
+        ctes.append(f"""b{lv} as materialized (
+          select c1, c2, 0::bigint as ord, t::bigint as n from here{lv} where not split and point and strength >= {CONFIG.low_threshold}
+          union all select c1, c2, 1000000000 + i, 1::bigint from (select c1, c2, unnest(generate_series(1, t - s)) as i from here{lv}
+            where gap or (not split and not point and strength >= {CONFIG.low_threshold}))
+          union all select b.c1, b.c2, b.ord, b.n from below{lv} b join here{lv} h on b.c1 = h.c1 and b.c2 = h.c2 where gap
+          union all select c1, c2, ord, n from ({rescaled_buckets(f'kids{lv}', 'c1, c2', 'ord')}) where n > 0)""")
+        ctes.append(f"""t{lv} as (select {lv} as level, h.c1, h.c2, h.s as inr, coalesce(x.total, 0)::bigint as total from here{lv} h left join (
+          select c1, c2, sum(n) as total from b{lv} group by 1, 2) x on h.c1 = x.c1 and h.c2 = x.c2)""")
     union = " union all ".join(f"select * from t{lv}" for lv in range(deepest + 1))
     return ("with " + ",\n".join(ctes) + f"""
       select level, c1, c2, total, inr as children, coalesce(sum(total) over (partition by level, c1 >> 1, c2 >> 1
