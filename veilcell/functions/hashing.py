@@ -82,12 +82,16 @@ def noisy_row_limit(seed: Column, rows: Column, fraction: int, salt: str) -> Col
     return limit + uniform_int(mix(salted(seed, salt), "precision_limit"), -spread, spread)
 
 
+def draw_key(*keys: Column) -> Column:
+    """Repeatable 60-bit number for data that is anonymous already; any SQL engine can compute it."""
+    return hash_text(F.concat_ws("|", *[k.cast("string") for k in keys]))
+
+
 def unit_draw(*keys: Column) -> Column:
     """Repeatable draw from [0, 1) for data that is anonymous already."""
-    bits = F.shiftrightunsigned(F.xxhash64(*keys), 11)
-    return bits / float(1 << 53)
+    return F.shiftrightunsigned(draw_key(*keys), 7) / float(1 << 53)
 
 
 def index_draw(size: Column, *keys: Column) -> Column:
     """Repeatable draw from 0 .. size-1."""
-    return F.shiftrightunsigned(F.xxhash64(*keys), 1) % size
+    return draw_key(*keys) % size

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import STITCH_MIN_RATIO
 from ..functions.geometry import cell_of
-from ..functions.hashing import index_draw
+from ..functions.hashing import draw_key, index_draw
 from ..workspace import Workspace
 from .harvest import expand_counts
 from .ranking import group_ranks
@@ -58,7 +58,7 @@ def patch(ws: Workspace, left: MicroTable, right: MicroTable) -> MicroTable:
     if right.count == 0 or left.count == 0:
         raise ValueError("a cluster has no rows")
     tag = F.lit(",".join(map(str, right.columns)))
-    shuffled = right.rows.withColumn("__key", F.xxhash64("pos", tag))
+    shuffled = right.rows.withColumn("__key", draw_key(F.col("pos"), tag))
     shuffled = group_ranks(ws, shuffled, [], ["__key", "pos"], "__slot")
     lefts = (left.rows.withColumn("__index", F.col("pos").cast("bigint")) if left.dense
              else group_ranks(ws, left.rows, [], ["pos"], "__index"))
@@ -192,7 +192,7 @@ def merge_bins(ws: Workspace, left: DataFrame, right: DataFrame, left_columns: S
     counts = ws.cut(counts.withColumn("m", length), "bins")
 
     def side(rows: DataFrame, columns: Sequence[int], n: str, tag: str) -> DataFrame:
-        keyed = rows.withColumn("__key", F.xxhash64("pos", F.lit(tag)))
+        keyed = rows.withColumn("__key", draw_key(F.col("pos"), F.lit(tag)))
         ranked = ws.cut(group_ranks(ws, keyed, ["bin"], ["__key", "pos"], "__at"), f"side-{tag}")
         sized = ranked.join(counts.select("bin", "m"), "bin")
         kept = sized.where("__at < m").drop("m").withColumn("__copy", F.lit(0).cast("bigint"))
@@ -201,7 +201,7 @@ def merge_bins(ws: Workspace, left: DataFrame, right: DataFrame, left_columns: S
             "bin", "__copy", index_draw(F.col(n), F.col("bin"), F.col("__copy"), F.lit(tag)).alias("__at"))
         whole = kept.unionByName(ranked.join(extra, ["bin", "__at"]))
         order = [f"n{c}" for c in stitch] + ["__again", "pos", "__copy"]
-        whole = whole.withColumn("__again", F.xxhash64("pos", "__copy", F.lit(tag + "2")))
+        whole = whole.withColumn("__again", draw_key(F.col("pos"), F.col("__copy"), F.lit(tag + "2")))
         paired = group_ranks(ws, whole, ["bin"], order, "__row")
         return paired.select("bin", "__row", *[F.col(f).alias(f"{tag}_{f}") for f in fields(columns)])
 

@@ -488,6 +488,11 @@ def oracle_queries() -> dict[str, str]:
     out["tree_nodes_2d"] = f"""with {tree_2d()}
       select level, c1, c2, n as rows, mn1, mx1, mn2, mx2, {micro('strength')} as strength,
         strength >= {low} and stub as stub, split, half1, half2, noisy as noisy_count from dnodes"""
+    bounds = ", ".join(f"case when mn{d} = mx{d} then mn{d} else {r}.lo + (c{d} + {i}) * {r}.size / pow(2e0, level) end as {n}{d}"
+                       for d, r in ((1, "xroot"), (2, "yroot")) for i, n in enumerate(("lo", "hi")))
+    out["inspected_nodes"] = f"""with orders as materialized (select * replace (dense_rank() over (order by o_orderstatus) - 1 as o_orderstatus)
+          from main.orders), {tree_2d(("o_totalprice", "o_orderstatus"))}
+      select level, c1, c2, {bounds}, stub, split, noisy as noisy_count from dnodes, xroot, yroot"""
     out["harvest_1d"] = harvest_sql()
     out["column_entropies"] = f"""with {order_tree()},
         e as (select sum(-(noisy / total) * log2(noisy / total)) as entropy from (select noisy::double as noisy,
@@ -520,4 +525,10 @@ def oracle_queries() -> dict[str, str]:
     out["tree_nodes_by_entity"] = entity_tree_sql()
     out["node_totals_2d"] = node_totals_sql()
     out["stitch_bin_sizes"] = stitch_bins_sql()
+    out["patch_join"] = f"""
+      with n as (select (select count(*) from customer) as have, (select count(*) from orders) as wanted),
+        r as (select c_acctbal as balance, row_number() over (order by {h("c_custkey || '|1'")}, c_custkey) - 1 as slot from customer),
+        l as (select o_orderkey as pos, o_totalprice as price, case when have >= wanted or o_orderkey < have then o_orderkey
+            else {h("o_orderkey || '|1'")} % have end as slot from orders, n)
+      select pos, price, balance from l join r using (slot)"""
     return out
