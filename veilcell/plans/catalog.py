@@ -419,6 +419,12 @@ def stitch_bin_sizes(spark, folder):
 
 # -- end to end ----------------------------------------------------------------------------
 
+def synthesize_single(spark, folder):
+    """The whole run over one column."""
+    orders = load(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    return synthesize(orders, CONFIG, columns=["o_totalprice"], ids=["o_orderkey"], unique_ids=True)
+
+
 def synthesize_events(spark, folder):
     events = load(spark, folder, "events").select("user_id", "event_type", "value")
     return synthesize(events, CONFIG, ids=["user_id"])
@@ -446,5 +452,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     entity_counts, low_count_groups, noisy_unique_counts, entity_contributions, flattened_counts, private_groups,
     tree_nodes_1d, tree_nodes_2d, tree_nodes_by_entity, root_facts, harvest_1d, node_totals_2d, refined_buckets, inspected_nodes,
     synthetic_rows, column_entropies, pair_dependence, total_dependences, plan_quality, sampled_rows, dependence_report,
-    cluster_search, feature_ranking, column_roles, complete_rows, patch_join, stitch_join, stitch_bin_sizes, synthesize_events,
+    cluster_search, feature_ranking, column_roles, complete_rows, patch_join, stitch_join, stitch_bin_sizes, synthesize_single, synthesize_events,
     synthesize_manual, synthesize_independent, synthesize_target)}

@@ -268,8 +268,8 @@ def rescaled_buckets(buckets: str, node: str, order: str) -> str:
           select *, (sum(n) over (partition by {node} order by {order}))::bigint as p1 from {buckets}))"""
 
 
-def harvest_sql() -> str:
-    """Bucket lists of all nodes, from the deepest level up to the root."""
+def harvest_ctes() -> str:
+    """CTEs b<level>: bucket lists of all nodes, from the deepest level up to the root."""
     ctes = [order_tree()]
     ctes.append(f"b{LEVELS + 1} as (select 0::bigint as cell, 0 as blevel, 0::bigint as bcell, 0::bigint as ord, 0::bigint as n where false)")
     for lv in range(LEVELS, -1, -1):
@@ -281,11 +281,25 @@ def harvest_sql() -> str:
         ctes.append(f"""b{lv} as materialized (select cell, {lv} as blevel, cell as bcell, cell << {LEVELS - lv} as ord, t::bigint as n from here{lv}
             where (not split and strength >= {CONFIG.low_threshold}) or (split and 2 * s < t)
           union all select cell, blevel, bcell, ord, n from ({rescaled_buckets(f'kids{lv}', 'cell', 'ord')}) where n > 0)""")
-    return ("with " + ",\n".join(ctes) + """
+    return ",\n".join(ctes)
+
+
+def harvest_sql() -> str:
+    return (f"with {harvest_ctes()}" + """
       select b.blevel as level, b.bcell as c1, c.rlo as lo1, c.rhi as hi1, b.n as count
       from b0 b join counted c on c.level = b.blevel and c.cell = b.bcell""")
 
 
+def single_sql() -> str:
+    """Rows drawn from the buckets of the root, numbered in tree order."""
+    draw = f"({h("p || '|0:0'")} >> 7)::double / 9007199254740992e0"
+    return f"""with {harvest_ctes()},
+      placed as (select c.rlo as lo, c.rhi as hi, b.n, (sum(b.n) over (order by ord))::bigint - b.n as start
+        from b0 b join counted c on c.level = b.blevel and c.cell = b.bcell),
+      drawn as (select lo, hi, start + unnest(generate_series(0, n - 1)) as p from placed)
+      select lo + {draw} * (hi - lo) as o_totalprice from drawn"""
+
+
 def dependence_sql() -> str:
     """Pairwise walk, level by level, over all pairs of reachable cells."""
     cfg = CONFIG
@@ -494,6 +508,7 @@ def oracle_queries() -> dict[str, str]:
           from main.orders), {tree_2d(("o_totalprice", "o_orderstatus"))}
       select level, c1, c2, {bounds}, stub, split, noisy as noisy_count from dnodes, xroot, yroot"""
     out["harvest_1d"] = harvest_sql()
+    out["synthesize_single"] = single_sql()
     out["column_entropies"] = f"""with {order_tree()},
         e as (select sum(-(noisy / total) * log2(noisy / total)) as entropy from (select noisy::double as noisy,
               (select noisy::double from counted where level = 0) as total from counted where not split))
