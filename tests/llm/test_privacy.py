@@ -37,7 +37,7 @@ def test_base_spans_equal_plain_patterns(spark):
     pieces = ["a@b.c", "x.y+z@d-e.f.g", "_", "@", ".", "1.2.3.4", "256.1.1.1", "001.002.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (706) 555-3138",
               "+", "(", ")", " ", "-", "5", "12", "é", "\U0001f600", "\n", "a", "%", "+49 30 1234567", "1.2.3.4.5.6.7.8", "378282246310005", "00000000000000"]
     texts = ["".join(rng.choices(pieces, k=rng.randint(0, 14))) for _ in range(1500)]
-    texts += ["a@b.c_d@e.f", "a@b.c@d.e.f", "x@y..z", "9" * 50_000, "a" * 50_000 + "@", "a." * 20_000 + "@b" + ".c" * 20_000, "+1" * 9, None, ""]
+    texts += ["a@b.c_d@e.f", "a@b.c@d.e.f", "x@y..z", "9" * 3_000, "a" * 3_000 + "@", "a." * 9_000 + "@b" + ".c" * 9_000, "+1" * 9, None, ""]
     assert found(spark, texts) == [expected(t) for t in texts]
 
 

@@ -8,6 +8,8 @@ one threshold are generalised, beyond a second one removed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,24 +35,28 @@ IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
-def located(text: Column, pattern: str, kind: int) -> Column:
+def located(text: Column, pattern: str, kind: int, valid: Callable[[Column], Column] | None = None) -> Column:
     """Leftmost non-overlapping matches as an array of spans in code points, end exclusive.
 
     The pieces between matches come from a split by the same pattern; positions
-    are running sums of the lengths of pieces and matches.
+    are running sums of the lengths of pieces and matches. Only valid matches are
+    kept, and only they cost a copy of the list so far.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found,
                        lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    none = F.array().cast(f"array<{SPAN}>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def step(state: Column, pair: Column) -> Column:
         begin = state["at"] + pair["gap"]
         end = begin + F.length(pair["value"])
         span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        longer = F.concat(state["spans"], F.array(span))
+        return F.struct(end.alias("at"), (longer if valid is None else F.when(valid(pair["value"]), longer).otherwise(state["spans"])).alias("spans"))
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step)["spans"]).otherwise(F.array().cast(f"array<{SPAN}>"))
+    some = F.size(found) > 0 if valid is None else F.exists(found, valid)
+    return F.when(some, F.aggregate(pairs, start, step)["spans"]).otherwise(none)
 
 
 def passes_luhn(digits: Column) -> Column:
@@ -69,9 +75,9 @@ def base_spans(text: Column) -> Column:
     none = F.array().cast(f"array<{SPAN}>")
     digits = lambda value: F.regexp_replace(value, "[^0-9]", "")
     email = F.when(F.instr(text, "@") > 0, located(text, EMAIL, 0)).otherwise(none)
-    ip = F.filter(located(text, IP, 1), lambda s: s["value"].rlike(IP_PARTS))
-    card = F.filter(located(text, CARD, 2), lambda s: F.when(F.length(digits(s["value"])).between(14, 19), passes_luhn(digits(s["value"]))).otherwise(False))
-    phone = F.when(F.instr(text, "+") > 0, F.filter(located(text, PHONE, 3), lambda s: F.length(digits(s["value"])).between(10, 15))).otherwise(none)
+    ip = located(text, IP, 1, lambda value: value.rlike(IP_PARTS))
+    card = located(text, CARD, 2, lambda value: F.when(F.length(digits(value)).between(14, 19), passes_luhn(digits(value))).otherwise(False))
+    phone = F.when(F.instr(text, "+") > 0, located(text, PHONE, 3, lambda value: F.length(digits(value)).between(10, 15))).otherwise(none)
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
