@@ -13,7 +13,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
+HERE = str(Path(__file__).resolve().parent)
+sys.path.insert(0, HERE)
+os.environ["PYTHONPATH"] = ":".join(filter(None, [HERE, os.environ.get("PYTHONPATH")]))  # for the Python workers
 
 from veilcell.plans.catalog import QUERIES  # noqa: E402
 
