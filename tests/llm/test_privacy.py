@@ -57,6 +57,13 @@ def test_terms_that_tell_an_entity_are_marked(spark, ws):
     assert all(s.kind < 4 for s in got[100].spans)
 
 
+def test_entity_of_one_text_is_assessed(spark, ws):
+    rows = [(1, "please ask Zorblatt at zorb@example.org for more", "s")] + [(100 + i, f"please ask for more number {i}", "s") for i in range(300)]
+    got = {r.doc_id: r.spans for r in pv.sanitisation(ws, documents(spark, rows)).collect()}
+    assert [(s.value, s.kind) for s in got[1]] == [("zorblatt", 5), ("zorb@example.org", 0)]
+    assert not any(got[100 + i] for i in range(300))
+
+
 def test_redaction(spark):
     text = "é write a@b.c or 1.2.3.4 now"
     df = spark.createDataFrame([(text,)], "text string").withColumn("spans", pv.base_spans(F.col("text")))

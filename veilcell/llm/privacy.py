@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..workspace import Workspace
 
 NEAR = 100  # characters on either side of an entity in which terms count
-MIN_TEXTS = 2  # different texts that must show an entity, and a term near it
 GENERALISE = 0.8  # share of an entity's information from which a term is generalised
 REMOVE = 0.95
 BROADCAST_TERMS = 200_000
@@ -102,15 +101,12 @@ def find_entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def near_terms(found: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, entity, term, start, end) of whole terms near entities that several texts show.
+    """(doc_id, text_hash, entity, term, start, end) of whole terms near entities.
 
     Words cut by the end of the window and words inside entities are left out.
     """
     each = found.select("doc_id", "text_hash", F.explode("entities").alias("at"), "entities")
     each = each.withColumn("entity", F.concat_ws(":", F.col("at.kind").cast("string"), F.lower("at.value")))
-    shown = (each.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("texts"))
-             .where(F.col("texts") >= MIN_TEXTS).select("entity"))
-    each = each.join(shown, "entity", "left_semi")
     first = F.col("at.start") - F.length("at.left")
     left = F.filter(located(F.col("at.left"), TERM, 4), lambda s: (s["start"] > 0) | (first == 0))
     right = F.filter(located(F.col("at.right"), TERM, 4), lambda s: s["end"] < NEAR)
@@ -122,7 +118,7 @@ def near_terms(found: DataFrame) -> DataFrame:
 
 
 def disclosures(ws: Workspace, docs: DataFrame, found: DataFrame, near: DataFrame, text: str = "text") -> DataFrame:
-    """(entity, term, disclosed) of all pairs shown by MIN_TEXTS texts.
+    """(entity, term, disclosed) of all pairs; one text that shows a pair is enough.
 
     Documents are counted over the whole corpus: those with the entity, with the
     term anywhere, and with the term near the entity. ``disclosed`` is
@@ -130,8 +126,7 @@ def disclosures(ws: Workspace, docs: DataFrame, found: DataFrame, near: DataFram
     """
     once = near.select("doc_id", "text_hash", "entity", "term").distinct()
     pairs = (once.groupBy("entity", "term", "text_hash").agg(F.count(F.lit(1)).alias("docs"))
-             .groupBy("entity", "term").agg(F.sum("docs").alias("both"), F.count(F.lit(1)).alias("texts"))
-             .where(F.col("texts") >= MIN_TEXTS))
+             .groupBy("entity", "term").agg(F.sum("docs").alias("both")))
     pairs = ws.cut(pairs, "pairs")
     terms = ws.cut(pairs.select("term").distinct(), "terms")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
