@@ -64,6 +64,26 @@ def test_entity_of_one_text_is_assessed(spark, ws):
     assert not any(got[100 + i] for i in range(300))
 
 
+def test_terms_far_from_the_entity_are_marked(spark, ws):
+    common = "please ask for more and more of the same " * 20
+    text = f"zorb@example.org {common} signed Zorblatt {common} Zorblatt"
+    rows = [(1, text, "s"), (None, text + ".", "s")] + [(100 + i, f"{common} signed number {i}", "s") for i in range(300)]
+    got = {r.doc_id: r.spans for r in pv.sanitisation(ws, documents(spark, rows)).collect()}
+    places = [i for i in range(len(text)) if text.startswith("Zorblatt", i)]
+    for d in (1, None):
+        assert [(s.start, s.value) for s in got[d]] == [(0, "zorb@example.org"), *[(i, "zorblatt") for i in places]]
+    assert not any(got[100 + i] for i in range(300))
+
+
+def test_terms_have_all_their_places(spark):
+    text = "İstanbul été x@y.zz " + "ab abc 1.2.3.4 \U0001f600 wörter, " * 700 + "name@wort.de ende"
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    got = pv.find_entities(df).first().words
+    rest = re.sub(PATTERNS[0], lambda m: " " * len(m[0]), text)
+    assert [(w.start, w.end) for w in got] == [m.span() for m in re.finditer(r"[^\W\d_]{3,}", rest)]
+    assert all(text[w.start:w.end].lower() == w.term for w in got)
+
+
 def test_redaction(spark):
     text = "é write a@b.c or 1.2.3.4 now"
     df = spark.createDataFrame([(text,)], "text string").withColumn("spans", pv.base_spans(F.col("text")))

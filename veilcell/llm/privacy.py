@@ -1,9 +1,10 @@
 """Information-theoretic removal of personal data, with DataFrame functions only.
 
 Patterns find the protected entities: addresses, numbers and cards. How much a
-term near an entity tells about it is its pointwise mutual information with the
-entity over the corpus, as a share of the entity's own information. Terms beyond
-one threshold are generalised, beyond a second one removed.
+term of a document tells about an entity of it is its pointwise mutual information
+with the entity over the corpus, as a share of the entity's own information. Terms
+beyond one threshold are generalised, beyond a second one removed, wherever they
+stand in a document with the entity.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 
 from ..workspace import Workspace
 
-NEAR = 100  # characters on either side of an entity in which terms count
 GENERALISE = 0.8  # share of an entity's information from which a term is generalised
 REMOVE = 0.95
 BROADCAST_TERMS = 200_000
+BLOCK = 256  # matches whose positions are summed in one list
 
 KINDS = ("email", "ip", "card", "phone", "general", "remove")
 TERM = r"\p{L}{3,}"
@@ -34,18 +35,23 @@ IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed one time, also where ``use`` has it in a loop."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def located(text: Column, pattern: str, kind: int, valid: Callable[[Column], Column] | None = None) -> Column:
     """Leftmost non-overlapping matches as an array of spans in code points, end exclusive.
 
     The pieces between matches come from a split by the same pattern; positions
-    are running sums of the lengths of pieces and matches. Only valid matches are
-    kept, and only they cost a copy of the list so far.
+    are running sums of the lengths of pieces and matches, within blocks of BLOCK
+    matches and over the blocks, so long lists are not copied per match. Only
+    valid matches are kept.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found,
                        lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
     none = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def step(state: Column, pair: Column) -> Column:
         begin = state["at"] + pair["gap"]
@@ -54,8 +60,17 @@ def located(text: Column, pattern: str, kind: int, valid: Callable[[Column], Col
         longer = F.concat(state["spans"], F.array(span))
         return F.struct(end.alias("at"), (longer if valid is None else F.when(valid(pair["value"]), longer).otherwise(state["spans"])).alias("spans"))
 
+    def spans(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("spans")), step)["spans"]
+
+    def all_spans(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, p: n + p["gap"] + F.length(p["value"])))
+        begins = F.aggregate(sizes, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
+        return F.flatten(F.zip_with(blocks, F.slice(begins, 1, F.size(blocks)), spans))
+
+    cut = _once(pairs, lambda p: F.transform(F.sequence(F.lit(1), F.size(p), F.lit(BLOCK)), lambda i: F.slice(p, i, BLOCK)))
     some = F.size(found) > 0 if valid is None else F.exists(found, valid)
-    return F.when(some, F.aggregate(pairs, start, step)["spans"]).otherwise(none)
+    return F.when(some, _once(cut, all_spans)).otherwise(none)
 
 
 def passes_luhn(digits: Column) -> Column:
@@ -86,81 +101,84 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def masked(text: Column) -> Column:
+    """The text with spaces in place of addresses, the only entities with letters in them."""
+    found = F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))
+    blanks = F.concat(F.transform(found, lambda v: F.repeat(F.lit(" "), F.length(v))), F.array(F.lit("")))
+    pieces = F.zip_with(F.split(text, EMAIL, -1), blanks, lambda gap, blank: F.concat(gap, blank))
+    return F.when(F.instr(text, "@") > 0, F.array_join(pieces, "")).otherwise(text)
+
+
 def find_entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, entities) of every whole text, each entity with the characters before and after it."""
+    """(doc_id, text_hash, entities, words) of every whole text; words are the terms outside entities where there is an entity."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("text_hash"), whole.alias("text"))
-    rows = rows.select("doc_id", "text_hash", "text", base_spans(F.col("text")).alias("spans"))
-
-    def context(s: Column) -> Column:
-        left = F.substring("text", F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR)))
-        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"),
-                        left.alias("left"), F.substring("text", s["end"] + 1, F.lit(NEAR)).alias("right"))
+    rows = rows.select("doc_id", "text_hash", "text", base_spans(F.col("text")).alias("entities"))
+    words = F.transform(located(masked(F.col("text")), TERM, 4), lambda s: F.struct(
+        F.lower(s["value"]).alias("term"), s["start"].alias("start"), s["end"].alias("end")))
+    return rows.select("doc_id", "text_hash", "entities", F.when(F.size("entities") > 0, words).alias("words"))
 
-    return rows.select("doc_id", "text_hash", F.transform("spans", context).alias("entities"))
 
-
-def near_terms(found: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, entity, term, start, end) of whole terms near entities.
-
-    Words cut by the end of the window and words inside entities are left out.
-    """
-    each = found.select("doc_id", "text_hash", F.explode("entities").alias("at"), "entities")
-    each = each.withColumn("entity", F.concat_ws(":", F.col("at.kind").cast("string"), F.lower("at.value")))
-    first = F.col("at.start") - F.length("at.left")
-    left = F.filter(located(F.col("at.left"), TERM, 4), lambda s: (s["start"] > 0) | (first == 0))
-    right = F.filter(located(F.col("at.right"), TERM, 4), lambda s: s["end"] < NEAR)
-    moved = lambda spans, by: F.transform(spans, lambda s: F.struct(
-        F.lower(s["value"]).alias("term"), (s["start"] + by).alias("start"), (s["end"] + by).alias("end")))
-    terms = F.concat(moved(left, first), moved(right, F.col("at.end")))
-    outside = F.filter(terms, lambda t: ~F.exists("entities", lambda e: (e["start"] < t["end"]) & (t["start"] < e["end"])))
-    return each.select("doc_id", "text_hash", "entity", F.explode(outside).alias("t")).select("doc_id", "text_hash", "entity", "t.*")
-
-
-def disclosures(ws: Workspace, docs: DataFrame, found: DataFrame, near: DataFrame, text: str = "text") -> DataFrame:
-    """(entity, term, disclosed) of all pairs; one text that shows a pair is enough.
+def told_terms(ws: Workspace, docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, term, at, disclosed) of terms that disclose an entity of their document, with all places of the term.
 
     Documents are counted over the whole corpus: those with the entity, with the
-    term anywhere, and with the term near the entity. ``disclosed`` is
-    log(N * n(e,t) / (n(e) * n(t))) / log(N / n(e)), at most 1.
+    term, and with both, anywhere in the text. ``disclosed`` is
+    log(N * n(e,t) / (n(e) * n(t))) / log(N / n(e)), at most 1. Entities of the same
+    documents have the same scores and are counted once as a set. As n(e,t) <= n(e),
+    no term of more than N**(1 - G) * n(e)**G documents reaches the share G, so
+    such pairs are not counted.
     """
-    once = near.select("doc_id", "text_hash", "entity", "term").distinct()
-    pairs = (once.groupBy("entity", "term", "text_hash").agg(F.count(F.lit(1)).alias("docs"))
-             .groupBy("entity", "term").agg(F.sum("docs").alias("both")))
-    pairs = ws.cut(pairs, "pairs")
-    terms = ws.cut(pairs.select("term").distinct(), "terms")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
+    names = F.array_distinct(F.transform("entities", lambda e: F.concat_ws(":", e["kind"].cast("string"), F.lower(e["value"]))))
+    key = ["doc_id", "text_hash"]
+    holders = ws.cut(found.where(F.size("entities") > 0).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("times"), F.first(names).alias("names"), F.first("words").alias("words")), "holders")
+    named = holders.select(*key, "times", F.explode("names").alias("entity"))
+    sets = named.groupBy("entity").agg(F.sum("times").alias("with_entity"), F.bit_xor(F.xxhash64(*key, "times")).alias("x"),
+                                       F.bit_xor(F.xxhash64("times", "text_hash", "doc_id")).alias("y"))
+    of_docs = ws.cut(named.join(sets, "entity").groupBy(*key).agg(F.collect_set(F.struct("with_entity", "x", "y")).alias("sets")), "sets")
+    n = float(found.count())
+    most = F.lit(n ** (1 - GENERALISE) * (1 + 1e-9)) * F.pow("with_entity", F.lit(GENERALISE))
+    largest = of_docs.select(F.explode("sets").alias("set")).agg(F.max("set.with_entity")).first()[0] or 0
+
+    terms = ws.cut(holders.select(F.explode("words.term").alias("term")).distinct(), "terms")
+    each = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TERM), F.lit(0)), F.lower)
+    words = docs.select(F.explode(F.array_distinct(each)).alias("term"))
     if terms.count() <= BROADCAST_TERMS:
         words = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     else:
         words = words.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).join(terms, "term", "left_semi")
-    entities = (found.select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform(
-        "entities", lambda e: F.concat_ws(":", e["kind"].cast("string"), F.lower(e["value"]))))).alias("entity"))
-        .groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")))
-    n = F.lit(float(found.count()))
+    rare = ws.cut(words.where(F.col("with_term") <= n ** (1 - GENERALISE) * float(largest) ** GENERALISE * (1 + 1e-9)), "rare")
+    rare = F.broadcast(rare) if rare.count() <= BROADCAST_TERMS else rare
+
+    places = (holders.select(*key, "times", F.explode("words").alias("w")).select(*key, "times", "w.*").join(rare, "term")
+              .groupBy(*key, "times", "term", "with_term").agg(F.collect_list(F.struct("start", "end")).alias("at")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    owners = of_docs.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "sets")
+    pairs = places.join(owners, same).select(*key, "times", "term", "with_term", "at", F.explode("sets").alias("set"))
+    pairs = ws.cut(pairs.select(*key, "times", "term", "with_term", "at", "set.*").where((F.col("with_term") <= most) & (F.col("with_entity") < n)), "pairs")
+    pair = ["with_entity", "x", "y", "term"]
     share = F.log(n * F.col("both") / (F.col("with_entity") * F.col("with_term"))) / F.log(n / F.col("with_entity"))
-    return (pairs.join(words, "term").join(entities, "entity").where(n > F.col("with_entity"))
-            .select("entity", "term", F.least(share, F.lit(1.0)).alias("disclosed")))
+    told = pairs.groupBy(*pair, "with_term").agg(F.sum("times").alias("both")).select(*pair, F.least(share, F.lit(1.0)).alias("disclosed"))
+    told = ws.cut(told.where(F.col("disclosed") >= GENERALISE), "told")
+    told = F.broadcast(told) if told.count() <= BROADCAST_TERMS else told
+    return pairs.join(told, pair).groupBy(*key, "term").agg(F.max("disclosed").alias("disclosed"), F.first("at").alias("at"))
 
 
 def sanitisation(ws: Workspace, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, base, spans) of every document; spans also hold the terms to generalise or remove.
 
     Null texts count as empty; null ids and repeated rows keep their rows. Of
-    terms near several entities the strongest disclosure decides.
+    several entities in a document the strongest disclosure of a term decides, and
+    all its places in the document are marked.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = ws.cut(find_entities(docs), "entities")
-    near = ws.cut(near_terms(found.where(F.size("entities") > 0)), "near")
-    told = disclosures(ws, docs, found, near).where(F.col("disclosed") >= GENERALISE)
-    more = (near.join(told, ["entity", "term"])
-            .groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosed").alias("disclosed"), F.first("term").alias("term"))
-            .withColumn("kind", F.when(F.col("disclosed") >= REMOVE, 5).otherwise(4))
-            .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-            .agg(F.collect_list(F.expr("struct(start, kind, end, term AS value)")).alias("more")))
+    more = (told_terms(ws, docs, found).withColumn("kind", F.when(F.col("disclosed") >= REMOVE, 5).otherwise(4))
+            .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "term", "kind", F.explode("at").alias("p"))
+            .groupBy("__id", "__hash").agg(F.collect_list(F.expr("struct(p.start AS start, kind, p.end AS end, term AS value)")).alias("more")))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
-    base = F.expr("transform(entities, e -> struct(e.start AS start, e.kind AS kind, e.end AS end, e.value AS value))")
-    joined = found.select("doc_id", "text_hash", base.alias("base")).join(more, same, "left")
+    joined = found.select("doc_id", "text_hash", F.col("entities").alias("base")).join(more, same, "left")
     none = F.array().cast(f"array<{SPAN}>")
     return joined.select("doc_id", "text_hash", "base", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
 
