@@ -56,6 +56,14 @@ def test_repeated_rows_become_one(spark):
     assert sorted(r.doc_id for r in stages.exact_duplicates(spark, docs, FOLDER).collect()) == [2, 3]
 
 
+@pytest.mark.parametrize("ids", [(None,) * 4, (7,) * 4, (None, 7, None, 7)])
+def test_groups_without_own_ids_keep_one_each(spark, ids):
+    texts = [" ".join(f"{name}{i}" for i in range(60)) + end for name in ("red", "blue") for end in ("", " end")]
+    docs = documents(spark, [(d, t, "a") for d, t in zip(ids, texts, strict=True)])
+    left = [r.text for r in stages.near_duplicates(spark, docs, FOLDER).collect()]
+    assert sorted(t.split("0")[0] for t in left) == ["blue", "red"]
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, FOLDER)
     assert got.where(F.col("taken") > 2 * F.col("size")).count() == 0 < got.count()

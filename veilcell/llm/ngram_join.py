@@ -250,7 +250,9 @@ class NgramJoin:
     n-grams), n_copies (rows with the same n-grams), n_links (other distinct sets
     at or above the similarity), n_grams. Null and empty texts have no n-grams,
     no links, and share one set, which stands for equal empty documents. A class
-    whose ids are all null has a null class_id; repeated rows are copies.
+    whose ids are all null has a null class_id; repeated rows are copies. Groups
+    without ids, or with the same smallest id, share a class_id; ``members`` tells
+    them apart.
     """
 
     def __init__(self, ws: Workspace, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
@@ -291,10 +293,15 @@ class NgramJoin:
                 .sortWithinPartitions("leaf", "i", "j"))
 
     @property
-    def documents(self) -> DataFrame:
+    def members(self) -> DataFrame:
+        """``documents`` with the component, which names a group also where ids are null or repeated."""
         return (self.names
-                .join(self.sets.select("name", "class_id", "set_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_grams"), "name")
-                .select("doc_id", "text_hash", "class_id", "set_id", "n_copies", "n_links", "n_grams"))
+                .join(self.sets.select("name", "component", "class_id", "set_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_grams"), "name")
+                .select("doc_id", "text_hash", "component", "class_id", "set_id", "n_copies", "n_links", "n_grams"))
+
+    @property
+    def documents(self) -> DataFrame:
+        return self.members.drop("component")
 
 
 def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:

@@ -43,17 +43,17 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of near copies the document with most n-grams, the smallest doc_id among equals.
+    """Keeps of each connected group of near copies the document with most n-grams, the smallest doc_id among equals.
 
     Texts without words are no copies of each other here. Fully repeated rows are
     reduced to one.
     """
     ws = Workspace(spark)
-    copies = ngram_join.NgramJoin(ws, docs).documents.where("n_grams > 0 and (n_copies > 1 or n_links > 0)")
-    copies = copies.groupBy("class_id", "doc_id", "text_hash").agg(F.max("n_grams").alias("n_grams"), F.count(F.lit(1)).alias("times"))
+    copies = ngram_join.NgramJoin(ws, docs).members.where("n_grams > 0 and (n_copies > 1 or n_links > 0)")
+    copies = copies.groupBy("component", "doc_id", "text_hash").agg(F.max("n_grams").alias("n_grams"), F.count(F.lit(1)).alias("times"))
     rank = F.struct("n_grams", (-F.coalesce("doc_id", F.lit(2**62))).alias("first"), "text_hash")
-    best = copies.groupBy(F.col("class_id").alias("__class")).agg(F.max(rank).alias("best"))
-    ranked = ws.cut(copies.join(best, F.col("class_id").eqNullSafe(F.col("__class")))
+    best = copies.groupBy(F.col("component").alias("__group")).agg(F.max(rank).alias("best"))
+    ranked = ws.cut(copies.join(best, F.col("component") == F.col("__group"))
                     .select("doc_id", "text_hash", "times", (rank == F.col("best")).alias("stays")), "copies")
     repeated = ranked.where("stays and times > 1")
     kept = _without(docs, ranked.where("not stays or times > 1"))
