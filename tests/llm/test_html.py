@@ -46,6 +46,16 @@ def test_broken_markup():
     assert text("<div>" * 3000 + "deep") == ["deep"]
 
 
+def test_class_tokens_of_wrappers_do_not_remove_the_article():
+    text = lambda s: [t for _, t in hx.Page(s).candidates()]
+    side = "<div class=related>See also</div>"
+    for body in ("<main class=has-sidebar><p>Long story.</p>{}</main>", "<article class='post comment-open has-header'><p>Long story.</p>{}</article>",
+                 "<div id=content class=with-sidebar><p>Long story, told in full.</p>{}</div><p>end</p>", "<div class=widget><article><p>Long story.</p>{}</article></div>"):
+        want = [t for t in ("Long story.", "Long story, told in full.", "end") if t in body]
+        assert text(f"<body>{body.format(side)}</body>") == want
+    assert text("<main><p>One story.</p><div class=comments><article class=comment><p>Hm.</p></article></div></main>") == ["One story."]
+
+
 def test_query_reads_the_articles(spark):
     import html
     import re

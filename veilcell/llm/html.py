@@ -5,7 +5,7 @@ Per site and path, text length and punctuation per block are aggregated over all
 pages, drawn towards the same path on all sites, smoothed with the sibling paths,
 fused to one ratio and compared with a threshold; a second pass writes out the
 blocks on paths that pass. Elements that are never article text by their tag, role
-or class are left out before counting, and where a page marks its article only
+or class are left out before counting (wrappers of the article are not), and where a page marks its article only
 blocks inside it count.
 """
 
@@ -60,25 +60,43 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)}
 
 
-def _label(tag: str, attributes: dict[str, str], inside_article: bool) -> tuple[str, bool]:
-    """The step of a path, and whether the element never holds article text."""
+def _label(tag: str, attributes: dict[str, str], inside_article: bool) -> tuple[str, bool, bool]:
+    """The step of a path, whether the element never holds article text, and whether its class or id only suggests so."""
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     words = sorted({w.lower() for w in _TOKEN.findall(names)})
     never = (tag in _NEVER or tag == "header" and not inside_article or attributes.get("role", "").lower() in _ROLES
-             or not _WORDS.isdisjoint(words) and tag not in ("html", "body") or "header" in words and not inside_article and tag not in ("html", "body")
              or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""))
-    return (f"{tag}.{'.'.join(words)}" if words else tag), never
+    named = tag not in ("html", "body") and (not _WORDS.isdisjoint(words) or "header" in words and not inside_article)
+    return (f"{tag}.{'.'.join(words)}" if words else tag), never, named
+
+
+class Named:
+    """An element that its class or id names as something else than the article."""
+
+    def __init__(self) -> None:
+        self.chars = self.articles = 0
 
 
 class Page:
-    """The text blocks of one page in order: (path, text, inside an article)."""
+    """The text blocks of one page in order: (path, text, inside an article).
+
+    Class and id tokens leave an element out, but not the outermost article or
+    main, an element that holds all of these, or one with most of the page's text:
+    there they describe the page. If nothing else is left they do not count.
+    """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, bool]] = []
-        self.stack: list[tuple[str, str, bool, bool]] = []  # tag, label, left out, inside an article
+        self.found: list[tuple[str, str, bool, tuple[Named, ...]]] = []
+        self.stack: list[tuple[str, str, bool, bool, Named | None]] = []  # tag, label, left out, article, named
         self.parts: list[str] = []
+        self.chars = self.articles = 0
         self._read(source)
         self._flush()
+        stays = [not any(map(self._leaves, named)) for *_, named in self.found]
+        self.blocks = [b[:3] for b, stay in zip(self.found, stays, strict=True) if stay or not any(stays)]
+
+    def _leaves(self, named: Named) -> bool:
+        return 2 * named.chars <= self.chars and not (self.articles and named.articles == self.articles)
 
     def _flush(self) -> None:
         if self.parts:
@@ -87,15 +105,19 @@ class Page:
             if text:
                 out = inside = False
                 steps = []
-                for tag, label, never, article in self.stack:
+                for tag, label, never, article, _ in self.stack:
                     out, inside = out or never, inside or article
                     if tag not in _INLINE:
                         steps.append(label)
                 if not out:
-                    self.blocks.append(("/".join(steps), text, inside))
+                    named = tuple(s[4] for s in self.stack if s[4])
+                    self.found.append(("/".join(steps), text, inside, named))
+                    self.chars += len(text)
+                    for element in named:
+                        element.chars += len(text)
 
     def _pop(self, size: int) -> None:
-        if any(tag not in _INLINE or never for tag, _, never, _ in self.stack[size:]):
+        if any(tag not in _INLINE or never or named for tag, _, never, _, named in self.stack[size:]):
             self._flush()
         del self.stack[size:]
 
@@ -128,11 +150,17 @@ class Page:
             self._close(_HEAD, frozenset())
         attributes = _attributes(text) if text.strip() else {}
         inside = any(s[3] for s in self.stack)
-        label, never = _label(tag, attributes, inside)
-        if tag not in _INLINE or never:
+        label, never, named = _label(tag, attributes, inside)
+        if tag not in _INLINE or never or named:
             self._flush()
         article = tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")
-        self.stack.append((tag, label, never, article))
+        if article and not inside and not never and not any(s[2] for s in self.stack):
+            named = False
+            self.articles += 1
+            for s in self.stack:
+                if s[4]:
+                    s[4].articles += 1
+        self.stack.append((tag, label, never, article, Named() if named else None))
 
     def _end(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
