@@ -46,6 +46,20 @@ def test_broken_markup():
     assert text("<div>" * 3000 + "deep") == ["deep"]
 
 
+def test_short_blocks_of_the_article_stay(spark, ws):
+    long = "<p>" + "This is a long paragraph, with several clauses, and it goes on. " * 5 + "</p>"
+    short = "<ul><li>milk</li><li>bread</li></ul><table><tr><td>one</td><td>2</td></tr></table><h2>Next</h2>"
+    marked = f"<article><header><h1>Title</h1></header>{long * 3}{short}<div class=text>{long}</div></article>"
+    inner = f"<main><div class=top><h1>Title</h1></div><div class=text>{long * 3}{short}</div></main>"
+    plain = f"<body><h1>Title</h1><div class=text>{long * 3}{short}</div><div class=links><div><a>go</a></div></div></body>"
+    for name, page in (("m", marked), ("i", inner), ("p", plain)):
+        got = run(spark, ws, [(i, f"http://{name}.example/{i}", page) for i in range(4)])
+        for r in got:
+            lines = r.text.split("\n")
+            assert [t for t in lines if len(t) < 100] == ["Title", "milk", "bread", "one", "2", "Next"]
+            assert len(lines) - 6 == page.count("This is a long paragraph") // 5
+
+
 def test_class_tokens_of_wrappers_do_not_remove_the_article():
     text = lambda s: [t for _, t in hx.Page(s).candidates()]
     side = "<div class=related>See also</div>"

@@ -4,7 +4,7 @@ The blocks of a page are counted by the path of tags from the root to the block.
 Per site and path, text length and punctuation per block are aggregated over all
 pages, drawn towards the same path on all sites, smoothed with the sibling paths,
 fused to one ratio and compared with a threshold; a second pass writes out the
-blocks on paths that pass. Elements that are never article text by their tag, role
+blocks on paths that pass and those that share a container with them. Elements that are never article text by their tag, role
 or class are left out before counting (wrappers of the article are not), and where a page marks its article only
 blocks inside it count.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -261,17 +262,67 @@ def _own_paths(blocks: list[tuple[str, str]]) -> set[str]:
     return {path for path, value in own.items() if value >= LEAST_RATIO * mean}
 
 
+class Kept:
+    """The paths of a site that pass, and with them what stands in the same container.
+
+    A container is the parent of a path that passes, or the innermost article or
+    main around it; root elements are none, as all of the page is in them. Short
+    blocks in a container (items, cells, titles) belong to its text. A heading, in
+    a header or not, also stays where its parent holds a path that passes.
+    """
+
+    def __init__(self, paths: set[str]):
+        self.paths, self.order, self.known = paths, sorted(paths), {}
+        self.containers = set()
+        for path in paths:
+            parent = path.rpartition("/")[0]
+            if not _ROOT.match(parent):
+                self.containers.add(parent)
+            steps = path.split("/")
+            marked = [i for i, step in enumerate(steps) if step.partition(".")[0] in ("article", "main")]
+            if marked:
+                self.containers.add("/".join(steps[:marked[-1] + 1]))
+
+    def __contains__(self, path: str) -> bool:
+        if path not in self.known:
+            self.known[path] = path in self.paths or self._contained(path) or self._heads(path)
+        return self.known[path]
+
+    def _contained(self, path: str) -> bool:
+        while path:
+            path = path.rpartition("/")[0]
+            if path in self.containers:
+                return True
+        return False
+
+    def _heads(self, path: str) -> bool:
+        parent, _, step = path.rpartition("/")
+        if step.partition(".")[0] not in _HEADINGS:
+            return False
+        while parent.rpartition("/")[2].partition(".")[0] in ("header", "hgroup"):
+            parent = parent.rpartition("/")[0]
+        below = f"{parent}/" if parent else ""
+        at = bisect_left(self.order, below)
+        return at < len(self.order) and self.order[at].startswith(below)
+
+
+_ROOT = re.compile(r"(?:html[^/]*)?(?:/?body[^/]*)?\Z")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pages, kept = batch.column(2), batch.column(3)
         for a, b in slices(pages):
             texts = []
+            of_site = Kept(set())
             for i in range(a, b):
                 blocks = Page(pages[i].as_py() or "").candidates()
                 paths = set(kept[i].as_py() or ())
-                if not any(p in paths for p, _ in blocks):
-                    paths = _own_paths(blocks)
-                texts.append("\n".join(t for p, t in blocks if p in paths))
+                if of_site.paths != paths:
+                    of_site = Kept(paths)
+                page = of_site if any(p in paths for p, _ in blocks) else Kept(_own_paths(blocks))
+                texts.append("\n".join(t for p, t in blocks if p in page))
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(texts, pa.string())],
                                              names=["page_id", "url", "text"])
 
