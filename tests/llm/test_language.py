@@ -32,6 +32,17 @@ def test_text_decides_against_a_wrong_declaration(spark, ws):
     assert not got[102].accepted and not got[103].accepted
 
 
+def test_all_declared_languages_are_told_apart(spark, ws):
+    rng = random.Random(1)
+    words = {f"l{i:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(8)] for i in range(70)}
+    rows = [(i * 3 + j, " ".join(w), x.upper() if j else x) for i, (x, w) in enumerate(words.items()) for j in range(3 if i else 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = lg.fit_letters(docs, "text", "lang", "doc_id")
+    assert model.languages == sorted(words)
+    for i, w in enumerate(words.values()):
+        assert model.scores(pa.array([" ".join(w)]))[0, :-1].argmax() == i
+
+
 def test_hosts_help_short_texts(spark, ws):
     model = lg.fit_letters(labelled(spark), "text", "lang", "doc_id")
     pages = [(i, f"https://www.stadt.de/{i}", SAMPLES["de"]) for i in range(30)] + [(50, "http://www.stadt.de/x", "ist"), (51, None, "ist"), (52, "http://neu.de:80/", "ok")]

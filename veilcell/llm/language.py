@@ -76,29 +76,41 @@ class LetterModel:
         return out
 
 
+def _bin_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(language, bin, n) of each slice of (language, text)."""
+    for batch in batches:
+        for a, b in slices(batch.column(1)):
+            languages = batch.column(0)[a:b].dictionary_encode()
+            text, bins = _trigrams(batch.column(1)[a:b])
+            code = languages.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text] * BINS + bins
+            code, n = np.unique(code, return_counts=True)
+            yield pa.RecordBatch.from_arrays([languages.dictionary.take(pa.array(code // BINS)), pa.array(code % BINS), pa.array(n.astype(np.int64))],
+                                             names=["language", "bin", "n"])
+
+
 def fit_letters(rows: DataFrame, text: str, language: str, key: str, documents: int = SAMPLE_DOCUMENTS) -> LetterModel:
     """Fits on a sample of about ``documents`` rows per declared language, SAMPLE_CHARACTERS of each.
 
     The rows are drawn by a hash of key and text below the share that gives that
-    many, so nothing is sorted and the driver gets no more however large the table
-    is. The 64 most frequent languages are told apart.
+    many, so nothing is sorted. Trigrams are counted on Spark; the driver gets one
+    row per language and bin. Declarations are lower-cased, and all of them are
+    told apart.
     """
     known = rows.where(F.col(language).isNotNull() & (F.length(language) > 0) & F.col(text).isNotNull())
-    sizes = {r[0]: r["count"] for r in known.groupBy(language).count().orderBy(F.desc("count"), language).limit(64).collect()}
+    known = known.select(F.lower(F.col(language)).alias("language"), F.col(text).alias("text"), F.xxhash64(F.lit("sample"), key, text).alias("draw"))
+    sizes = {r[0]: r["count"] for r in known.groupBy("language").count().collect()}
     names = sorted(sizes)
     counts = np.zeros((len(names), BINS))
     if not names:
         return LetterModel(names, counts)
-    share = F.lit(0.0)
-    for name in names:
-        share = F.when(F.col(language) == name, F.lit(documents / sizes[name])).otherwise(share)
-    begin = F.greatest(F.lit(1), F.floor((F.length(text) - SAMPLE_CHARACTERS) / 2).cast("int") + 1)
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), key, text), F.lit(1 << 40)) < share * float(1 << 40)
-    sample = (known.where(drawn).limit(2 * documents * len(names))
-              .select(F.col(language).alias("language"), F.col(text).substr(begin, F.lit(SAMPLE_CHARACTERS)).alias("text")).collect())
-    for i, name in enumerate(names):
-        own = pa.array([r.text for r in sample if r.language == name], pa.string())
-        counts[i] = np.bincount(_trigrams(own)[1], minlength=BINS)
+    shares = rows.sparkSession.createDataFrame([(x, documents / sizes[x]) for x in names], "language string, share double")
+    begin = F.greatest(F.lit(1), F.floor((F.length("text") - SAMPLE_CHARACTERS) / 2).cast("int") + 1)
+    drawn = F.pmod("draw", F.lit(1 << 40)) < F.col("share") * float(1 << 40)
+    sample = known.join(F.broadcast(shares), "language").where(drawn).select("language", F.col("text").substr(begin, F.lit(SAMPLE_CHARACTERS)).alias("text"))
+    bins = sample.mapInArrow(_bin_counts, "language string, bin bigint, n bigint").groupBy("language", "bin").agg(F.sum("n").alias("n"))
+    at = {x: i for i, x in enumerate(names)}
+    for r in bins.toLocalIterator():
+        counts[at[r.language], r.bin] = r.n
     return LetterModel(names, counts)
 
 
