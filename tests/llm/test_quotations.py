@@ -25,6 +25,14 @@ def test_nested_quotes_build_threads(spark, ws):
     assert got[1, 4].formatted == "<|d|>\nYes.\n<|end|>\n"
 
 
+def test_wrapped_quotes_are_linked_and_comparisons_stay(spark, ws):
+    rows = [(1, 0, "a", "The meeting moves to Tuesday at ten because\nthe large room is taken all of Monday."), (1, 1, "b", "x>5 holds\nother words"),
+            (1, 2, "c", "> The meeting moves to Tuesday\n> at ten because the large\n> room is taken all of Monday.\nFine."), (1, 3, "d", "Bob> x>5 holds\nWhy?")]
+    got = {r.turn: r for r in run(spark, ws, rows)}
+    assert {t: r.reply_to for t, r in got.items()} == {0: None, 1: None, 2: 0, 3: 1}
+    assert got[1].text == "x>5 holds\nother words" and got[2].text == "Fine." and got[3].text == "Why?"
+
+
 def test_long_reply_chain_and_common_lines(spark, ws):
     """A chain that quotes the message before, and one line that all messages of a large conversation share."""
     rows = [(1, i, "u", (f"> own words number {i - 1}\n" if i else "") + f"own words number {i}") for i in range(40)]

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..operators.ranking import global_positions
 from ..workspace import Workspace
 
-# A quotation mark of the next level: an optional name of up to 8 letters, ``>`` and one space.
-MARKS = r"^(?:[ \t]*+[A-Za-z]{0,8}+>)++"
+# A quotation mark of the next level: ``>``, or a name of up to 8 letters, ``>`` and a space or a further mark.
+MARKS = r"^(?:[ \t]*+(?:>|[A-Za-z]{1,8}+>(?=[ \t>]|$)))++"
+SHINGLE = 5  # words of a passage that are linked together, however its lines are wrapped
 # A line that only introduces a quotation.
 INTRODUCTION = r"(?i)^[ \t]*(?:on\b.{1,200}\b(?:wrote|writes)|.{1,200}\b(?:wrote|writes|schrieb|a écrit|escribió))[ \t]*:[ \t]*$"
 END = "\n<|end|>\n"
@@ -40,10 +41,23 @@ def normalised(content: Column) -> Column:
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """(conv, turn, level, hash, n) of every line with letters or digits; n counts its repetitions in the message."""
-    line = messages.select("conv", "turn", F.explode("lines").alias("line")).select(
-        "conv", "turn", F.col("line.level").alias("level"), normalised(F.col("line.content")).alias("plain"))
-    return (line.where("plain <> ''").groupBy("conv", "turn", "level", F.xxhash64("plain", F.length("plain")).alias("hash"))
+    """(conv, turn, level, hash, n) of lines, passages and their word shingles; n counts repetitions in the message.
+
+    A passage is a run of lines of one level without an empty line, so what a mail
+    client has wrapped anew keeps its shingles.
+    """
+    plain = F.transform("lines", lambda x: F.struct(x["level"].alias("level"), normalised(x["content"]).alias("plain")))
+    rows = messages.select("conv", "turn", F.transform(F.array(plain), lambda p: F.struct(p.alias("lines"), F.array_join(F.transform(
+        p, lambda x, i: F.concat(F.when((i == 0) | (x["plain"] == "") | (F.get(p, i - 1)["plain"] == "") | (F.get(p, i - 1)["level"] != x["level"]),
+                                        F.concat(F.lit("\n"), x["level"].cast("string"), F.lit(" "))).otherwise(F.lit(" ")), x["plain"])), "").alias("joined")))[0].alias("m"))
+    line = rows.select("conv", "turn", F.explode("m.lines").alias("line")).select("conv", "turn", "line.level", "line.plain")
+    joined = rows.select("conv", "turn", F.explode(F.split("m.joined", "\n")).alias("p")).where(F.instr("p", " ") > 0)
+    words = F.split(F.regexp_replace("p", "^[0-9]+ ", ""), " ")
+    pieces = F.flatten(F.transform(F.array(words), lambda w: F.concat(F.array(F.array_join(w, " ")), F.when(
+        F.size(w) > SHINGLE, F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))).otherwise(
+        F.array().cast("array<string>")))))
+    more = joined.select("conv", "turn", F.split("p", " ")[0].cast("int").alias("level"), F.explode(pieces).alias("plain"))
+    return (line.unionByName(more).where("plain <> ''").groupBy("conv", "turn", "level", F.xxhash64("plain", F.length("plain")).alias("hash"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
