@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, exact_dedup, html, language, mixing, ngram_join, privacy, quality, quotations, rules, tokens, winnowing
+from . import alignment, exact_dedup, html, language, mixing, ngram_join, privacy, quality, quotations, rules, runs, tokens, winnowing
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quotation_linking": quotations.op9_quotation_linking,
     "op10_mixing": mixing.op10_mixing,
     "op11_token_alignment": alignment.op11_token_alignment,
+    "op12_periodic_runs": runs.op12_periodic_runs,
     "op13_quality_rules": rules.op13_quality_rules,
 }
 
