@@ -9,9 +9,11 @@ the two id lists.
 
 from __future__ import annotations
 
+import gc
 import json
+import re
 from collections.abc import Iterator, Sequence
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
-from .texts import slices
+from .texts import mix, slices
 from .tokens import _byte_letters, _tokenizer
 
-SLICE = 1 << 20  # bytes of text tokenised at once
-REMEMBERED = 200_000  # windows that a task keeps
+SLICE = 2 << 20  # bytes of text tokenised at once
+REMEMBERED = 300_000  # windows that a task keeps, half of them older ones
 WINDOW_TOKENS = 64  # longer windows are not kept
 BROADCAST_PAIRS = 1_000_000
 SALTS = 64
 
+# The pre-token rule of byte-level definitions, and characters whose classes no Unicode version changes.
+PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PLAIN = re.compile("[\x00-\u024f]*")
+
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 _LINKS = "array<struct<a: int, b: int, times: bigint>>"
 _LINK_TYPE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("times", pa.int64())]))
@@ -48,6 +54,55 @@ def byte_level_entries(definition: str) -> list[bytes]:
     return out
 
 
+def merges_follow_ranks(definition: str) -> bool:
+    """Proves that merging the pair with the least id of the result does what the definition's list of merges does.
+
+    It does if every merge has a result of its own, in the order of ids, and every
+    entry comes out of its own bytes by the merges alone: then two neighbours whose
+    bytes make up an entry are always those of its merge.
+    """
+    model = json.loads(definition)["model"]
+    vocabulary, merges = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    results = [vocabulary.get("".join(m), -1) for m in merges]
+    if results != sorted(set(results)) or -1 in results or len(results) + 256 < len(_letters_only(vocabulary)):
+        return False
+    order = {m: i for i, m in enumerate(merges)}
+    for left, right in merges:
+        parts = list(left + right)
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: order.get((parts[i], parts[i + 1]), len(order)))
+            if (parts[best], parts[best + 1]) not in order:
+                return False
+            parts[best:best + 2] = [parts[best] + parts[best + 1]]
+    return True
+
+
+def _letters_only(vocabulary: dict[str, int]) -> list[str]:
+    letters = _byte_letters()
+    return [t for t in vocabulary if all(c in letters for c in t)]
+
+
+class ByteLevel:
+    """Token ids of a byte-level definition, merged by ranks where that is proved to be the same."""
+
+    def __init__(self, definition: str, by_ranks: bool):
+        self.tokenizer = _tokenizer(definition)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are plain text
+        self.fast = None
+        if by_ranks:
+            from tiktoken import Encoding
+
+            letters, vocabulary = _byte_letters(), json.loads(definition)["model"]["vocab"]
+            added = {t["content"] for t in json.loads(definition).get("added_tokens", [])}
+            ranks = {bytes(letters[c] for c in t): vocabulary[t] for t in _letters_only(vocabulary) if t not in added}
+            self.fast = Encoding("byte-level", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: Sequence[str]) -> list[list[int]]:
+        plain = [self.fast is not None and _PLAIN.fullmatch(t) is not None for t in texts]
+        others = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        return [self.fast.encode_ordinary(t) if p else next(others).ids for t, p in zip(texts, plain, strict=True)]
+
+
 def piece_entries(model: bytes) -> list[bytes]:
     """Bytes of every piece: U+2581 stands for a space, byte pieces for their byte."""
     from sentencepiece import SentencePieceProcessor
@@ -75,82 +130,139 @@ class Vocabulary:
         return ends[stops - 1], stops
 
 
+Window = tuple[str, tuple[int, ...]]  # groups as text, links as a * 2^32 + b
+
+
 class Aligner:
     """Groups and links of token lists, window by window; windows met before are looked up."""
 
     def __init__(self, a: Vocabulary, b: Vocabulary, remembered: int = REMEMBERED):
-        self.a, self.b, self.remembered = a, b, remembered
-        self.windows: dict[tuple[bytes, bytes], tuple[str, tuple[tuple[int, int], ...]]] = {}
+        self.a, self.b, self.half = a, b, max(1, remembered // 2)
+        self.lengths = a.lengths.tolist(), b.lengths.tolist()
+        self.names = list(map(str, range(max(len(a.entries), len(b.entries)))))
+        self.windows: dict[tuple[bytes, bytes], Window] = {}
+        self.older: dict[tuple[bytes, bytes], Window] = {}
 
-    def window(self, a: Sequence[int], b: Sequence[int]) -> tuple[str, tuple[tuple[int, int], ...]]:
+    def window(self, a: Sequence[int], b: Sequence[int]) -> Window:
         """The groups of one window as text, and the pairs of tokens that end together, one for each group.
 
         Tokens are never empty, so no two of one side end at the same byte.
         """
-        ends_a = dict(zip(accumulate(len(self.a.entries[i]) for i in a), range(1, len(a) + 1)))
-        groups, links, x, y = [], [], 0, 0
-        for stop_b, end in enumerate(accumulate(len(self.b.entries[i]) for i in b), 1):
-            stop_a = ends_a.get(end)
-            if stop_a is not None:
-                groups.append(f"{','.join(map(str, a[x:stop_a]))}|{','.join(map(str, b[y:stop_b]))}")
-                links.append((a[stop_a - 1], b[stop_b - 1]))
-                x, y = stop_a, stop_b
-        return ";".join(groups), tuple(links)
-
-    def text(self, a: np.ndarray, b: np.ndarray) -> tuple[str, list[tuple[int, int]]]:
-        """Groups and links of two token lists that spell the same bytes."""
-        (offsets_a, stops_a), (offsets_b, stops_b) = self.a.anchors(a), self.b.anchors(b)
+        (in_a, in_b), names = self.lengths, self.names
+        if len(a) == 1 or len(b) == 1:
+            return f"{','.join([names[t] for t in a])}|{','.join([names[t] for t in b])}", ((a[-1] << 32) + b[-1],)
+        groups, links, x, y, i, j = [], [], 0, 0, 1, 1
+        end_a, end_b = in_a[a[0]], in_b[b[0]]
+        while True:
+            if end_a < end_b:
+                end_a += in_a[a[i]]
+                i += 1
+            elif end_b < end_a:
+                end_b += in_b[b[j]]
+                j += 1
+            else:
+                left = names[a[x]] if i - x == 1 else ",".join([names[t] for t in a[x:i]])
+                right = names[b[y]] if j - y == 1 else ",".join([names[t] for t in b[y:j]])
+                groups.append(left + "|" + right)
+                links.append((a[i - 1] << 32) + b[j - 1])
+                if i == len(a):
+                    return ";".join(groups), tuple(links)
+                x, y = i, j
+                end_a += in_a[a[i]]
+                end_b += in_b[b[j]]
+                i += 1
+                j += 1
+
+    def _known(self, a: np.ndarray, b: np.ndarray) -> Window:
+        key = (a.tobytes(), b.tobytes())
+        got = self.windows.get(key)
+        if got is None:
+            got = self.older.get(key) or self.window(a.tolist(), b.tolist())
+            if len(a) + len(b) <= WINDOW_TOKENS:
+                if len(self.windows) >= self.half:
+                    self.windows, self.older = {}, self.windows
+                self.windows[key] = got
+        return got
+
+    def texts(self, a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> list[tuple[str, np.ndarray]]:
+        """Groups and links of texts, each given by two token lists that spell the same bytes and begin with a space.
+
+        So a text ends at an anchor too, and all are parted together; windows that
+        occur more than once among them are looked up once.
+        """
+        sizes = np.cumsum([len(x) for x in a])
+        all_a, all_b = np.concatenate(a).astype(np.int32), np.concatenate(b).astype(np.int32)
+        (offsets_a, stops_a), (offsets_b, stops_b) = self.a.anchors(all_a), self.b.anchors(all_b)
         _, in_a, in_b = np.intersect1d(offsets_a, offsets_b, assume_unique=True, return_indices=True)
-        cuts_a, cuts_b = (stops_a[in_a] * 4).tolist(), (stops_b[in_b] * 4).tolist()
-        data_a, data_b = a.astype(np.int32).tobytes(), b.astype(np.int32).tobytes()
-        known, found, x, y = self.windows, [], 0, 0
-        for i, j in zip(cuts_a, cuts_b, strict=True):
-            key = (data_a[x:i], data_b[y:j])
-            got = known.get(key)
-            if got is None:
-                got = self.window(a[x // 4:i // 4].tolist(), b[y // 4:j // 4].tolist())
-                if i - x + j - y <= 4 * WINDOW_TOKENS:
-                    if len(known) >= self.remembered:
-                        known.clear()
-                    known[key] = got
-            found.append(got)
-            x, y = i, j
-        return ";".join([g for g, _ in found]), list(chain.from_iterable([links for _, links in found]))
+        sides = [Side(ids, stops) for ids, stops in ((all_a, stops_a[in_a]), (all_b, stops_b[in_b]))]
+        with np.errstate(over="ignore"):
+            names = mix(sides[0].names * np.uint64(0x9E3779B97F4A7C15) + sides[1].names)
+        _, first, kind = np.unique(names, return_index=True, return_inverse=True)
+        if not all(side.same_as(first[kind]) for side in sides):  # two windows of one name
+            first = kind = np.arange(len(names))
+        found = [self._known(*[side.ids[side.starts[w]:side.stops[w]] for side in sides]) for w in first.tolist()]
+        groups = np.array([g for g, _ in found] + [None], object)[:-1][kind].tolist()
+        many = np.array([len(links) for _, links in found], np.int64)
+        flat = np.fromiter(chain.from_iterable([links for _, links in found]), np.int64, int(many.sum()))
+        begins, times = (np.cumsum(many) - many)[kind], many[kind]
+        links = flat[np.repeat(begins - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
+        last = np.searchsorted(sides[0].stops, sizes, side="right")  # windows up to the end of each text
+        upto = np.append(0, np.cumsum(times))
+        return [(";".join(groups[x:y]), links[upto[x]:upto[y]]) for x, y in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)]
+
+
+class Side:
+    """Token ids of one tokenizer, parted into windows; ``names`` are hashes of the windows' ids."""
+
+    def __init__(self, ids: np.ndarray, stops: np.ndarray):
+        self.ids, self.stops, self.starts = ids, stops, np.append(0, stops[:-1])
+        self.sizes = stops - self.starts
+        self.place = np.arange(len(ids)) - np.repeat(self.starts, self.sizes)
+        with np.errstate(over="ignore"):
+            mixed = mix(ids.astype(np.uint64) + self.place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            self.names = mix(np.add.reduceat(mixed, self.starts) + self.sizes.astype(np.uint64))
+
+    def same_as(self, other: np.ndarray) -> bool:
+        """Whether every window holds the same ids as the window ``other`` names for it."""
+        return bool((self.sizes == self.sizes[other]).all()
+                    and (self.ids == self.ids[np.repeat(self.starts[other], self.sizes) + self.place]).all())
 
 
 _loaded: dict[str, tuple] = {}
 
 
 def _align(shared):
+    """Tasks make no reference cycles, and looking for some in the remembered windows takes long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        try:
+            yield from aligned(batches)
+        finally:
+            gc.enable()
+
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sentencepiece import SentencePieceProcessor
 
-        key, definition, model = shared.value
+        key, definition, model, by_ranks = shared.value
         if key not in _loaded:
             _loaded.clear()
-            byte_level = _tokenizer(definition)
-            byte_level.encode_special_tokens = True  # their strings in a text are plain text
-            _loaded[key] = (byte_level, SentencePieceProcessor(model_proto=model),
+            _loaded[key] = (ByteLevel(definition, by_ranks), SentencePieceProcessor(model_proto=model),
                             Aligner(Vocabulary(byte_level_entries(definition)), Vocabulary(piece_entries(model))))
         byte_level, pieces, aligner = _loaded[key]
         for batch in batches:
             for first, end in slices(batch.column(1), SLICE):
                 texts = [t or "" for t in batch.column(1)[first:end].to_pylist()]
-                ids_a = [e.ids for e in byte_level.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+                ids_a = byte_level.encode([" " + t for t in texts])
                 ids_b = pieces.encode(texts, num_threads=1)
-                counts, groups, links = [], [], []
-                for t, a, b in zip(texts, ids_a, ids_b, strict=True):
-                    spelled = (" " + t).encode()
-                    if not t or not aligner.a.spells(a, spelled) or not aligner.b.spells(b, spelled):
-                        counts.append((0, 0, 0, 0))
-                        groups.append("")
-                        links.append([])
-                        continue
-                    found, pairs = aligner.text(np.array(a, np.int64), np.array(b, np.int64))
-                    codes, times = np.unique(np.array(pairs, np.int64) @ np.array([1 << 32, 1]), return_counts=True)
-                    counts.append((len(a), len(b), len(pairs), len(pairs)))
-                    groups.append(found)
-                    links.append(list(zip((codes >> 32).tolist(), (codes & 0xFFFFFFFF).tolist(), times.tolist(), strict=True)))
+                spelled = [(" " + t).encode() for t in texts]
+                good = [i for i, t in enumerate(texts) if t and aligner.a.spells(ids_a[i], spelled[i]) and aligner.b.spells(ids_b[i], spelled[i])]
+                counts, groups, links = [(0, 0, 0, 0)] * len(texts), [""] * len(texts), [[] for _ in texts]
+                sides = [[np.array(ids[i], np.int64) for i in good] for ids in (ids_a, ids_b)]
+                for i, (text, pairs) in zip(good, aligner.texts(*sides) if good else []):
+                    codes, times = np.unique(pairs, return_counts=True)
+                    counts[i] = (len(ids_a[i]), len(ids_b[i]), len(pairs), len(pairs))
+                    groups[i] = text
+                    links[i] = list(zip((codes >> 32).tolist(), (codes & 0xFFFFFFFF).tolist(), times.tolist(), strict=True))
                 flat = list(chain.from_iterable(links))
                 columns = [pa.array(c, t) for c, t in zip(zip(*flat) if flat else ((), (), ()), (pa.int32(), pa.int32(), pa.int64()), strict=True)]
                 bounds = pa.array(np.cumsum([0, *map(len, links)]), pa.int32())
@@ -180,7 +292,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     key = hashlib.sha256(definition.encode() + model).hexdigest()
     if not all(byte_level_entries(definition)) or not all(piece_entries(model)):
         raise ValueError("every token must stand for at least one byte")
-    shared = docs.sparkSession.sparkContext.broadcast((key, definition, model))
+    shared = docs.sparkSession.sparkContext.broadcast((key, definition, model, merges_follow_ranks(definition)))
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(_align(shared), f"doc_id {kind}, {', '.join(f'{c} bigint' for c in _COUNTS)}, groups string, links {_LINKS}")
