@@ -12,7 +12,6 @@ DERIVED_RESERVED_SHARE = 0.5
 DERIVED_WEIGHT_SHARE = 0.7
 CATEGORY_LIMIT = 15
 VARIANCE_LIMIT = 1e-5
-MAX_LEVEL = 60
 
 
 @dataclass(frozen=True)

@@ -114,12 +114,75 @@ def cell_of(value: Column, lo: float | Column, size: float | Column, level: int
     return F.when(too_high, cell - 1).otherwise(cell)
 
 
+# Cells of a tree. Below the root a cell is numbered by its distance from zero in
+# widths, so a number does not depend on the root and halves when one level up.
+# A cell that holds two different doubles has a number below 2^53 at any depth; a
+# deeper one holds a single value, whose hash numbers it, above 2^62. The root is cell 0.
+
+EXACT_CELLS = float(1 << 53)
+
+
+def cell_width(size: float | Column, level: Column) -> Column:
+    """size / 2^level, in two steps because 2^level has no limit."""
+    half = F.shiftright(level, 1)
+    return F.lit(size) / F.pow(F.lit(2.0), half.cast("double")) / F.pow(F.lit(2.0), (level - half).cast("double"))
+
+
+def _binade(value: Column) -> Column:
+    """Largest e with 2^e <= |value|, for values other than 0; not below the exponent of the smallest normal double."""
+    guess = F.greatest(F.floor(F.log2(F.abs(value))), F.lit(-1022).cast("bigint"))
+    power = F.pow(F.lit(2.0), guess.cast("double"))
+    e = F.when(power > F.abs(value), guess - 1).when(power * 2 <= F.abs(value), guess + 1).otherwise(guess)
+    return F.greatest(e, F.lit(-1022).cast("bigint"))
+
+
+def _significand(value: Column, binade: Column) -> Column:
+    return (F.abs(value) / F.pow(F.lit(2.0), (binade - 52).cast("double"))).cast("bigint")
+
+
+def cells_from_zero(value: Column, size: float | Column, level: Column) -> Column:
+    """How many cell widths a value is away from zero: exact, as widths are powers of two."""
+    half = F.shiftright(level, 1)
+    return value * F.pow(F.lit(2.0), half.cast("double")) / size * F.pow(F.lit(2.0), (level - half).cast("double"))
+
+
+def cell_number(value: Column, cells: Column, level: Column) -> Column:
+    """Cell of a value inside the root, ``cells`` widths away from zero."""
+    own = F.shiftrightunsigned(F.xxhash64(value), 2).bitwiseOR(F.lit(1 << 62))
+    return F.when(level == 0, F.lit(0).cast("bigint")).when(F.abs(cells) < EXACT_CELLS, F.floor(cells)).otherwise(own)
+
+
+def parent_cell(cell: Column, level: Column) -> Column:
+    """Cell one level up, for cells numbered by their distance from zero."""
+    return F.when(level <= 1, F.lit(0).cast("bigint")).otherwise(F.shiftright(cell, 1))
+
+
 def cell_bounds(cell: Column, level: Column, lo: float | Column, size: float | Column) -> tuple[Column, Column]:
-    width = F.lit(size) / F.pow(F.lit(2.0), level.cast("double"))
-    start = F.lit(lo) + cell.cast("double") * width
+    width = cell_width(size, level)
+    start = F.when(level == 0, F.lit(lo)).otherwise(cell.cast("double") * width)
     return start, start + width
 
 
+def shared_levels(low: Column, high: Column, size: float | Column, level: Column, deepest: int = 2200) -> Column:
+    """Deepest level, from ``level`` on, at which two values of one cell at ``level`` still share a cell."""
+    def together(at: Column) -> Column:
+        ends = [cells_from_zero(v, size, at) for v in (low, high)]
+        # From 2^53 cells on, different doubles are in different cells.
+        near = (F.abs(ends[0]) < EXACT_CELLS) & (F.abs(ends[1]) < EXACT_CELLS)
+        return near & (F.floor(ends[0]) == F.floor(ends[1]))
+
+    steps = F.array(*[F.lit(1 << b) for b in range(deepest.bit_length() - 1, -1, -1)])
+    found = F.aggregate(steps, level.cast("int"), lambda at, step: F.when(together(at + step), at + step).otherwise(at))
+    return F.when(low < high, found)
+
+
+def exact_label(value: Column) -> Column:
+    """Text of a double's exact value: exponent and significand."""
+    e = _binade(value)
+    sign = F.when(value < 0, "-").otherwise("")
+    return F.when(value == 0, "0").otherwise(F.concat(sign, e.cast("string"), F.lit(":"), _significand(value, e).cast("string")))
+
+
 def child_code(cells: Sequence[Column], bits: int) -> Column:
     """Depth-first position of a node: its low bits interleaved, first dimension on top."""
     k = len(cells)

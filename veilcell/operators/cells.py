@@ -4,12 +4,18 @@ A node is a row keyed by (combo, level, c1..ck): the column subset, the depth, a
 one cell number per dimension. Statistics of a cell do not depend on its
 ancestors, so the trees of all subsets of one size are built together in batches
 of levels: rows are aggregated once at the finest level of the batch, rolled up,
-and a window then keeps the cells whose ancestors all split. Only rows in nodes
-that still split take part in the next batch.
+and a window then keeps the cells whose ancestors all split.
+
+A node that still splits at the end of a batch is the root of the next one: cells
+inside a batch are counted from their own root, so depth has no limit. Where no
+node of the front splits its values for many levels, those levels are written from
+the front itself and the next batch begins below them. Only the rows of the front
+are read again, one row for each subset in which it still has a splitting node.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -17,14 +23,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import MAX_LEVEL, SynthConfig
-from ..functions.geometry import cell_bounds, cell_of, child_code, column_combinations
+from ..config import SynthConfig
+from ..functions.geometry import (EXACT_CELLS, cell_bounds, cell_number, cells_from_zero, child_code, column_combinations,
+                                  exact_label, parent_cell, shared_levels)
 from ..functions.hashing import combine_texts, noisy_row_limit, text_seed
 from ..workspace import Workspace
 from .counting import combined_count, flattened, heaviest, noisy_unique_count, suppression_margin
 from .encoding import Encoded
 
 BATCH_BITS = 16  # cells per node and batch stay below 2^16
+FRONT_ROWS = 500_000  # nodes of a front that are sent to all tasks
+LABEL_LEVELS = 40  # deeper midpoints are no multiples of 2^-40 roots
 
 
 @dataclass(frozen=True)
@@ -38,6 +47,11 @@ class Root:
     level: int = 0
     cell: int = 0
 
+    @property
+    def last(self) -> float:
+        """The largest number below the upper end, which belongs to the next range."""
+        return math.nextafter(self.lo + self.size, -math.inf)
+
 
 @dataclass(frozen=True)
 class Trees:
@@ -49,6 +63,10 @@ class Trees:
     depth: int
 
 
+def zero() -> Column:
+    return F.lit(0).cast("bigint")
+
+
 def conj(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
@@ -63,11 +81,6 @@ def batch_levels(k: int, unique: bool) -> int:
     return levels if unique else min(levels, 6)
 
 
-def parent_cells(k: int, up: Column | int) -> list[Column]:
-    shift = F.lit(up) if isinstance(up, int) else up
-    return [F.call_function("shiftright", F.col(c), shift.cast("int")) for c in cell_names(k)]
-
-
 def combo_seed(config: SynthConfig, names: Sequence[str]) -> int:
     """Seed of a tree: the table name and its distinct column names."""
     return reduce(lambda a, n: a ^ text_seed(n), dict.fromkeys(names), text_seed(config.table_name))
@@ -80,6 +93,7 @@ class Forest:
         self.ws, self.data, self.config = ws, data, config
         self.roots = [Root(c.lo, c.size) for c in data.columns]
         self.trees: dict[int, Trees] = {}
+        self.entity_rows: dict[int, list[DataFrame]] = {}  # rows per (cell, entity) of each batch
         self.trees[1] = self._flatten_roots(self._grow(1, [(c.index,) for c in data.columns]))
 
     # -- public -------------------------------------------------------------
@@ -111,88 +125,139 @@ class Forest:
     def per_combo(self, k: int, combos: Sequence[tuple[int, ...]], value) -> Column:
         """Constant per (combo, dimension) as an array column indexed by dimension."""
         rows = [F.array(*[F.lit(value(c)) for c in combo]) for combo in combos]
-        return F.element_at(F.array(*rows), F.col("combo") + 1)
+        return F.element_at(F.array(*rows), F.col("combo") + 1) if len(rows) > 1 else rows[0]
 
     def with_ranges(self, nodes: DataFrame, k: int, combos: Sequence[tuple[int, ...]]) -> DataFrame:
         """Adds bucket ranges lo1, hi1, ..: the value itself where a dimension has one value, else the cell."""
-        lo = self.per_combo(k, combos, lambda c: self.roots[c].lo)
-        size = self.per_combo(k, combos, lambda c: self.roots[c].size)
-        out = nodes.withColumn("__lo", lo).withColumn("__size", size)
         for d in range(1, k + 1):
-            start, end = cell_bounds(F.col(f"c{d}"), F.col("level"), F.col("__lo")[d - 1], F.col("__size")[d - 1])
+            start, end = self.bounds(k, combos, d)
             single = F.col(f"mn{d}") == F.col(f"mx{d}")
-            out = (out.withColumn(f"lo{d}", F.when(single, F.col(f"mn{d}")).otherwise(start))
-                   .withColumn(f"hi{d}", F.when(single, F.col(f"mx{d}")).otherwise(end)))
-        return out.drop("__lo", "__size")
+            nodes = (nodes.withColumn(f"lo{d}", F.when(single, F.col(f"mn{d}")).otherwise(start))
+                     .withColumn(f"hi{d}", F.when(single, F.col(f"mx{d}")).otherwise(end)))
+        return nodes
+
+    def bounds(self, k: int, combos: Sequence[tuple[int, ...]], d: int) -> tuple[Column, Column]:
+        """Ends of a node's cell in dimension ``d``; a cell numbered by its only value has that value's ends."""
+        lo, size = self.roots_of(k, combos, d, "lo"), self.roots_of(k, combos, d, "size")
+        start, end = cell_bounds(F.col(f"c{d}"), F.col("level"), lo, size)
+        exact = F.abs(F.col(f"c{d}")) <= int(EXACT_CELLS)
+        return F.when(exact, start).otherwise(F.col(f"mn{d}")), F.when(exact, end).otherwise(F.col(f"mx{d}"))
+
+    def roots_of(self, k: int, combos: Sequence[tuple[int, ...]], d: int, field: str) -> Column:
+        return self.per_combo(k, combos, lambda c: getattr(self.roots[c], field))[d - 1]
+
+    def inside(self, k: int, combos: Sequence[tuple[int, ...]], d: int, value: str) -> Column:
+        """A value of dimension ``d``, moved to the nearest end where it lies outside the root."""
+        return F.greatest(self.roots_of(k, combos, d, "lo"), F.least(self.roots_of(k, combos, d, "last"), F.col(value)))
+
+    def with_cells(self, df: DataFrame, k: int, combos: Sequence[tuple[int, ...]], level: Column, out: str = "c", value: str = "mn") -> DataFrame:
+        """Adds the cells out1.. at any level that hold the values value1.. of each row; a node is told by its least values."""
+        dims = range(1, k + 1)
+        df = df.withColumns({f"__v{d}": self.inside(k, combos, d, f"{value}{d}") for d in dims})
+        df = df.withColumns({f"__q{d}": cells_from_zero(F.col(f"__v{d}"), self.roots_of(k, combos, d, "size"), level) for d in dims})
+        df = df.withColumns({f"{out}{d}": cell_number(F.col(f"__v{d}"), F.col(f"__q{d}"), level) for d in dims})
+        return df.drop(*[f"__{n}{d}" for d in dims for n in "vq"])
+
+    def with_places(self, df: DataFrame, k: int, combos: Sequence[tuple[int, ...]], base: int, level: Column, out: str = "p", value: str = "mn") -> DataFrame:
+        """Adds the places out1.. of cells at ``level`` among those below their ancestors at ``base``."""
+        dims, at = range(1, k + 1), F.lit(base) if base else level
+        df = df.withColumns({f"__q{d}": cells_from_zero(self.inside(k, combos, d, f"{value}{d}"), self.roots_of(k, combos, d, "size"), at) for d in dims})
+        for d in dims:
+            cells = F.col(f"__q{d}")
+            near = F.abs(cells) < EXACT_CELLS
+            if base:
+                place = F.floor((cells - F.floor(cells)) * F.pow(F.lit(2.0), (level - base).cast("double")))
+                place = F.when(near, place).otherwise(zero())  # a cell of one value
+            else:  # the root begins anywhere
+                edge = cells_from_zero(self.roots_of(k, combos, d, "lo"), self.roots_of(k, combos, d, "size"), level)
+                whole = F.when(near, F.floor(cells).cast("double")).otherwise(cells)
+                place = F.when(level == 0, zero()).otherwise((whole - edge).cast("bigint"))
+            df = df.withColumn(f"{out}{d}", place)
+        return df.drop(*[f"__q{d}" for d in dims])
 
     # -- growing --------------------------------------------------------------
 
     def _grow(self, k: int, combos: Sequence[tuple[int, ...]]) -> Trees:
         step = batch_levels(k, self.data.unique_ids)
-        batches, frontier, base = [], None, 0
-        while base < MAX_LEVEL:
-            levels = min(step, MAX_LEVEL - base)
-            stats = self._batch_stats(k, combos, base, levels, frontier)
+        self.entity_rows[k] = []
+        rows, batches, base = self._exploded_rows(combos), [], 0
+        while True:
+            stats = self._batch_stats(k, combos, rows, base, step)
             if k > 1:  # read twice below
                 stats = self.ws.cut(stats, f"stats{k}")
-            nodes = self._decide(k, combos, stats, base, levels)
-            nodes = self.ws.cut(nodes, f"nodes{k}")
-            batches.append(nodes)
-            base += levels
-            frontier = nodes.where((F.col("level") == base) & F.col("split")).select("combo", *cell_names(k))
-            if frontier.isEmpty():
+            batches.append(self.ws.cut(self._decide(k, combos, stats, base, step), f"nodes{k}"))
+            base += step
+            front, size, ahead = self._front(k, combos, batches[-1], base)
+            if not size:
                 break
+            if ahead > base:
+                batches.append(self.ws.cut(self._chains(k, combos, front, base, ahead), f"chains{k}"))
+                base = ahead
+                front, size, _ = self._front(k, combos, batches[-1], base)
+                if not size:
+                    break
+            rows = self.ws.cut(self._front_rows(k, combos, rows, front, size, base), f"rows{k}")
         nodes = reduce(DataFrame.unionByName, batches)
         depth = nodes.agg(F.max("level")).first()[0]
         trees = Trees(k, tuple(combos), nodes, depth)
         return self._count_rows(trees) if k > 1 else trees
 
-    def _exploded_rows(self, k: int, combos: Sequence[tuple[int, ...]], level: int, clamp: bool = False) -> DataFrame:
-        """One row per (row, combo): entities, values x1..xk and cells f1..fk at ``level``."""
-        used = sorted({c for combo in combos for c in combo})
-        rows, entities = self.data.rows, [f"e{i}" for i in range(self.data.id_kinds)]
-        values = []
-        for c in used:
-            value, root = F.col(f"v{c}"), self.roots[c]
-            if clamp and root.amin is not None:
-                value = F.greatest(F.lit(root.amin), F.least(F.lit(root.amax), value))
-            values.append(value.alias(f"v{c}"))
-        rows = rows.select(*entities, *values)
-        rows = rows.select("*", *[cell_of(F.col(f"v{c}"), self.roots[c].lo, self.roots[c].size, level).alias(f"f_{c}")
-                                  for c in used])
-        parts = [F.struct(F.lit(i).alias("combo"),
-                          *[F.col(f"v{c}").alias(f"x{d}") for d, c in enumerate(combo, 1)],
-                          *[F.col(f"f_{c}").alias(f"f{d}") for d, c in enumerate(combo, 1)])
+    def _front(self, k: int, combos: Sequence[tuple[int, ...]], nodes: DataFrame, level: int) -> tuple[DataFrame, int, int]:
+        """Nodes at ``level`` that split, their number, and the deepest level to which all of them stay whole.
+
+        Subsets of several columns reach one level below their subnodes at most,
+        so that bounds the search where only values beyond the roots differ.
+        """
+        front = nodes.where((F.col("level") == level) & F.col("split"))
+        whole = [shared_levels(self.inside(k, combos, d, f"mn{d}"), self.inside(k, combos, d, f"mx{d}"),
+                               self.roots_of(k, combos, d, "size"), F.col("level")) for d in range(1, k + 1)]
+        found = front.agg(F.count(F.lit(1)), F.min(F.least(*whole) if k > 1 else whole[0])).first()
+        if not found[0]:
+            return front, 0, level
+        limits = [] if k == 1 else [self.trees[k - 1].depth + 1]
+        # One level is left for the batch below, whose rows tell how the last whole cell is divided.
+        return front, found[0], min([x for x in (found[1], *limits) if x is not None]) - 1
+
+    def _exploded_rows(self, combos: Sequence[tuple[int, ...]]) -> DataFrame:
+        """One row per (row, combo): entities and values x1..xk."""
+        entities = [f"e{i}" for i in range(self.data.id_kinds)]
+        parts = [F.struct(F.lit(i).alias("combo"), *[F.col(f"v{c}").alias(f"x{d}") for d, c in enumerate(combo, 1)])
                  for i, combo in enumerate(combos)]
-        return rows.select(*entities, F.inline(F.array(*parts)))
+        return self.data.rows.select(*entities, F.inline(F.array(*parts)))
+
+    def _front_rows(self, k: int, combos: Sequence[tuple[int, ...]], rows: DataFrame, front: DataFrame, size: int, level: int) -> DataFrame:
+        """Rows, one for each subset, whose node at ``level`` splits."""
+        keys = ["combo", *cell_names(k)]
+        placed = self.with_cells(rows, k, combos, F.lit(level), value="x")
+        front = front.select(*keys)
+        return placed.join(F.broadcast(front) if size <= FRONT_ROWS else front, keys, "left_semi").select(*rows.columns)
 
-    def _batch_stats(self, k: int, combos: Sequence[tuple[int, ...]], base: int, levels: int,
-                     frontier: DataFrame | None) -> DataFrame:
-        """Statistics of every non-empty cell of a batch.
+    def _located(self, k: int, combos: Sequence[tuple[int, ...]], rows: DataFrame, base: int, levels: int) -> DataFrame:
+        """Adds the cells t1.. at ``base`` and the places f1.. inside them, ``levels`` levels below."""
+        rows = self.with_cells(rows, k, combos, F.lit(base), "t", "x")
+        return self.with_places(rows, k, combos, base, F.lit(base + levels), "f", "x")
+
+    def _batch_stats(self, k: int, combos: Sequence[tuple[int, ...]], rows: DataFrame, base: int, levels: int) -> DataFrame:
+        """Statistics of every non-empty cell of a batch: its root t1.., its place p1.. below it, and its number c1...
 
         For k >= 2 one level more than the batch is aggregated: it tells which
         half of each dimension has few entities.
         """
         extra = 1 if k > 1 else 0
-        finest = base + levels + extra
-        rows = self._exploded_rows(k, combos, finest)
-        if frontier is not None:
-            up = levels + extra
-            keyed = rows.select("*", *[F.shiftright(f"f{d}", up).alias(f"c{d}") for d in range(1, k + 1)])
-            rows = keyed.join(frontier, ["combo", *cell_names(k)], "left_semi").drop(*cell_names(k))
+        rows = self._located(k, combos, rows, base, levels + extra)
         dims = range(1, k + 1)
-        fine = [f"f{d}" for d in dims]
+        tops, places = [f"t{d}" for d in dims], [f"p{d}" for d in dims]
+        fine = [*tops, *[f"f{d}" for d in dims]]
         spans = [f(f"x{d}").alias(f"{n}{d}") for d in dims for n, f in (("mn", F.min), ("mx", F.max))]
         merge_spans = [f(f"{n}{d}").alias(f"{n}{d}") for d in dims for n, f in (("mn", F.min), ("mx", F.max))]
         first = 0 if base == 0 else 1
         levels_up = F.explode(F.sequence(F.lit(first), F.lit(levels))).alias("__j")
         up = F.lit(levels + extra) - F.col("__j")
-        keys = ["combo", "level", *cell_names(k)]
-        at_level = [F.col("combo"), (F.col("__j") + base).alias("level"),
-                    *[F.call_function("shiftright", F.col(f"f{d}"), up).alias(f"c{d}") for d in dims]]
+        keys = ["combo", "level", *tops, *places]
+        at_level = [F.col("combo"), (F.col("__j") + base).alias("level"), *tops,
+                    *[F.call_function("shiftright", F.col(f"f{d}"), up).alias(f"p{d}") for d in dims]]
         halves = [F.call_function("shiftright", F.col(f"f{d}"), up - 1).bitwiseAND(F.lit(1).cast("bigint"))
                   .alias(f"b{d}") for d in dims] if extra else []
-        zero = F.lit(0).cast("bigint")
 
         if self.data.unique_ids:
             fine_stats = rows.groupBy("combo", *fine).agg(
@@ -204,8 +269,8 @@ class Forest:
             for d in dims if extra else []:
                 for b in (0, 1):
                     inside = F.col(f"b{d}") == b
-                    low += [F.coalesce(F.sum(F.when(inside, F.col("n0"))), zero).alias(f"h{d}_{b}_n0"),
-                            F.coalesce(F.bit_xor(F.when(inside, F.col("s0"))), zero).alias(f"h{d}_{b}_s0")]
+                    low += [F.coalesce(F.sum(F.when(inside, F.col("n0"))), zero()).alias(f"h{d}_{b}_n0"),
+                            F.coalesce(F.bit_xor(F.when(inside, F.col("s0"))), zero()).alias(f"h{d}_{b}_s0")]
             stats = spread.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.sum("n0").alias("n0"),
                                               F.bit_xor("s0").alias("s0"), *merge_spans, *low)
         else:
@@ -215,19 +280,22 @@ class Forest:
                 *at_level, *halves, "kind", "entity", "rows", *[f"{n}{d}" for d in dims for n in ("mn", "mx")])
             bits = [f(f"b{d}").alias(f"{n}{d}") for d in dims for n, f in (("bmn", F.min), ("bmx", F.max))] if extra else []
             per_entity = spread.groupBy(*keys, "kind", "entity").agg(F.sum("rows").alias("rows"), *merge_spans, *bits)
+            # Stored once: read here for the cells, and again for the flattened counts of those that are nodes.
+            per_entity = self.ws.cut(self.with_cells(per_entity, k, combos, F.col("level")), f"entities{k}")
+            self.entity_rows[k].append(per_entity.select("combo", "level", *cell_names(k), "kind", "entity", "rows", *[f"mn{d}" for d in dims]))
             aggs = [F.sum(F.when(F.col("kind") == 0, F.col("rows"))).alias("rows"), *merge_spans]
             for a in range(self.data.id_kinds):
                 mine = (F.col("kind") == a) & (F.col("entity") != 0)
                 aggs += [F.count_if(mine).alias(f"n{a}"),
-                         F.coalesce(F.bit_xor(F.when(mine, F.col("entity"))), zero).alias(f"s{a}")]
+                         F.coalesce(F.bit_xor(F.when(mine, F.col("entity"))), zero()).alias(f"s{a}")]
                 for d in dims if extra else []:
                     for b, inside in ((0, F.col(f"bmn{d}") == 0), (1, F.col(f"bmx{d}") == 1)):
                         aggs += [F.count_if(mine & inside).alias(f"h{d}_{b}_n{a}"),
-                                 F.coalesce(F.bit_xor(F.when(mine & inside, F.col("entity"))), zero)
+                                 F.coalesce(F.bit_xor(F.when(mine & inside, F.col("entity"))), zero())
                                  .alias(f"h{d}_{b}_s{a}")]
             stats = per_entity.groupBy(*keys).agg(*aggs)
 
-        stats = stats.withColumn("strength", self._strength("n", "s"))
+        stats = self.with_cells(stats, k, combos, F.col("level")).withColumn("strength", self._strength("n", "s"))
         if extra:
             for d in dims:
                 ok = [self._strength(f"h{d}_{b}_n", f"h{d}_{b}_s") >= self.config.low_threshold for b in (0, 1)]
@@ -235,6 +303,35 @@ class Forest:
             stats = stats.drop(*[c for c in stats.columns if c.startswith("h") and not c.startswith("half")])
         return stats
 
+    def _chains(self, k: int, combos: Sequence[tuple[int, ...]], front: DataFrame, level: int, ahead: int) -> DataFrame:
+        """Nodes of the levels after ``level`` up to ``ahead``, on which every node of the front stays whole.
+
+        All rows of such a node lie in one half of each dimension, so its
+        statistics are those of the front; only labels and limits differ.
+        """
+        dims = range(1, k + 1)
+        lower = F.explode(F.sequence(F.lit(level + 1), F.lit(ahead))).alias("level")
+        kept = [c for c in front.columns if c not in ("level", "stub", "split", "noisy", *cell_names(k), *[f"half{d}" for d in dims])]
+        firsts = [F.col(c).alias(f"t{c[1:]}") for c in cell_names(k)]
+        stats = front.select(*kept, *firsts, lower)
+        stats = self.with_cells(stats, k, combos, F.col("level"))
+        if k > 1:
+            strong = F.col("strength") >= self.config.low_threshold
+            stats = self.with_cells(stats, k, combos, F.col("level") + 1, "half")
+            one_value = {d: F.col(f"half{d}") > int(EXACT_CELLS) for d in dims}
+            side = {d: F.when(one_value[d], 0).otherwise(F.col(f"half{d}").bitwiseAND(F.lit(1).cast("bigint")).cast("int")) for d in dims}
+            stats = stats.withColumns({f"half{d}": F.when(strong, side[d]).otherwise(-1) for d in dims})
+        if not self.data.unique_ids:
+            own = front.select("combo", *cell_names(k))
+            entities = self.entity_rows[k][-1].where(F.col("level") == level).join(own, ["combo", *cell_names(k)], "left_semi")
+            entities = entities.drop("level", *cell_names(k)).select("*", lower)
+            self.entity_rows[k].append(self.with_cells(entities, k, combos, F.col("level")))
+        flagged = self._flagged(k, combos, stats)
+        above = (Window.partitionBy("combo", *[f"t{d}" for d in dims]).orderBy("level")
+                 .rowsBetween(Window.unboundedPreceding, -1))
+        kept = flagged.withColumn("__open", F.coalesce(F.min("split").over(above), F.lit(True))).where("__open")
+        return self._with_noise(k, combos, kept.drop("__open", *[f"t{d}" for d in dims]))
+
     def _by_kind(self, rows: DataFrame) -> DataFrame:
         kinds = self.data.id_kinds
         if kinds == 1:
@@ -259,8 +356,8 @@ class Forest:
         least = min(cfg.low_threshold, cfg.singularity_threshold, cfg.range_threshold)
         return F.when(count < least, count.cast("double")).otherwise(count - suppression_margin(seed, cfg))
 
-    def _decide(self, k: int, combos: Sequence[tuple[int, ...]], stats: DataFrame, base: int, levels: int) -> DataFrame:
-        """Split flags and existence. A cell is a node when all cells above it split."""
+    def _flagged(self, k: int, combos: Sequence[tuple[int, ...]], stats: DataFrame) -> DataFrame:
+        """Adds stub and split, which depend on the cell alone."""
         cfg = self.config
         varied = reduce(lambda a, b: a | b, [F.col(f"mn{d}") < F.col(f"mx{d}") for d in range(1, k + 1)])
         may_split = varied & (F.col("strength") >= cfg.low_threshold)
@@ -269,31 +366,33 @@ class Forest:
                                       cfg.depth_row_fraction, cfg.salt or "") for (c,) in combos]
             limit = F.element_at(F.array(*limits), F.col("combo") + 1)
             deep_enough = (F.col("level") <= cfg.depth_threshold) | (F.col("rows") - 1 >= limit)
-            flagged = stats.withColumn("stub", F.lit(False)).withColumn("split", may_split & deep_enough)
-        else:
-            stubs = self._stubs(k, combos, stats.where(F.col("strength") >= cfg.low_threshold))
-            flagged = stats.join(stubs, ["combo", "level", *cell_names(k)], "left")
-            flagged = flagged.withColumn("stub", F.coalesce("stub", F.lit(True)))
-            flagged = flagged.withColumn("split", may_split & ~F.col("stub"))
+            return stats.withColumn("stub", F.lit(False)).withColumn("split", may_split & deep_enough)
+        stubs = self._stubs(k, combos, stats.where(F.col("strength") >= cfg.low_threshold))
+        flagged = stats.join(stubs, ["combo", "level", *cell_names(k)], "left")
+        flagged = flagged.withColumn("stub", F.coalesce("stub", F.lit(True)))
+        return flagged.withColumn("split", may_split & ~F.col("stub"))
 
+    def _decide(self, k: int, combos: Sequence[tuple[int, ...]], stats: DataFrame, base: int, levels: int) -> DataFrame:
+        """Split flags and existence. A cell is a node when all cells above it split."""
+        flagged = self._flagged(k, combos, stats)
+        dims = range(1, k + 1)
         bits_below = F.lit(base + levels) - F.col("level")
-        finest = [F.call_function("shiftleft", F.col(c), bits_below) for c in cell_names(k)]
-        low_bits = [f.bitwiseAND(F.lit((1 << levels) - 1).cast("bigint")) for f in finest]
+        low_bits = [F.call_function("shiftleft", F.col(f"p{d}"), bits_below) for d in dims]
         start = child_code(low_bits, levels)
         span = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits_below * k)
-        tops = [F.call_function("shiftright", F.col(c), F.col("level") - base).alias(f"t{d}")
-                for d, c in enumerate(cell_names(k), 1)]
-        coded = flagged.select("*", start.alias("__start"), *tops)
+        coded = flagged.select("*", start.alias("__start"))
         coded = coded.withColumn("__closed", F.when(~F.col("split"), F.col("__start") + span))
         # One partition holds the cells below one base node: fewer than 2^(BATCH_BITS + 1).
-        above = (Window.partitionBy("combo", *[f"t{d}" for d in range(1, k + 1)]).orderBy("__start", "level")
+        above = (Window.partitionBy("combo", *[f"t{d}" for d in dims]).orderBy("__start", "level")
                  .rowsBetween(Window.unboundedPreceding, -1))
         reach = F.coalesce(F.max("__closed").over(above), F.lit(0).cast("bigint"))
         kept = coded.withColumn("__reach", reach).where(F.col("__reach") <= F.col("__start"))
-        kept = kept.drop("__start", "__closed", "__reach", *[f"t{d}" for d in range(1, k + 1)])
+        return self._with_noise(k, combos, kept.drop("__start", "__closed", "__reach", *[f"{n}{d}" for d in dims for n in "tp"]))
+
+    def _with_noise(self, k: int, combos: Sequence[tuple[int, ...]], nodes: DataFrame) -> DataFrame:
         if k == 1 or not self.data.unique_ids:  # counted later, on the flattened tree or per entity
-            return kept
-        return kept.withColumn("noisy", self._unique_noisy(k, combos, kept))
+            return nodes
+        return nodes.withColumn("noisy", self._unique_noisy(k, combos, nodes))
 
     def _stubs(self, k: int, combos: Sequence[tuple[int, ...]], nodes: DataFrame) -> DataFrame:
         """stub = every subnode is missing, a stub itself, or too weak to be refined further."""
@@ -327,19 +426,22 @@ class Forest:
         """Moves each root down while one half is weak, rebases the tree, and re-attaches outlying rows."""
         nodes, low = trees.nodes, self.config.low_threshold
         weak = ~F.col("split") & (F.col("strength") < low)
+        # Cells are numbered from zero, the root from where it begins: the halves of a root are told by its middle.
+        edge = self.per_column(lambda r: r.lo / (r.size / 2)).cast("bigint")
+        side = F.when(F.col("level") == 1, F.col("c1") - edge).otherwise(F.col("c1").bitwiseAND(F.lit(1).cast("bigint")))
         children = nodes.where("level > 0").select(
-            "combo", (F.col("level") - 1).alias("level"), F.shiftright("c1", 1).alias("c1"),
-            F.col("c1").bitwiseAND(F.lit(1).cast("bigint")).alias("side"), weak.alias("weak"))
+            "combo", (F.col("level") - 1).alias("level"), parent_cell(F.col("c1"), F.col("level")).alias("c1"),
+            side.alias("side"), weak.alias("weak"))
         sides = children.groupBy("combo", "level", "c1").agg(
             *[F.coalesce(F.bool_and(F.when(F.col("side") == b, F.col("weak"))), F.lit(True)).alias(f"w{b}")
               for b in (0, 1)])
         passing = sides.where("w0 <> w1").select("combo", "level", "c1", F.when(F.col("w0"), 1).otherwise(0).alias("go"))
-        ends = passing.select("combo", (F.col("level") + 1).alias("to_level"),
-                              (F.col("c1") * 2 + F.col("go")).alias("to_cell"))
+        ends = passing.select("combo", (F.col("level") + 1).alias("to_level"), (
+            F.when(F.col("level") == 0, edge).otherwise(F.col("c1") * 2) + F.col("go")).alias("to_cell"))
         steps = ends.select("*", F.explode(F.sequence(F.lit(0), F.col("to_level") - 1)).alias("level"))
-        up = F.col("to_level") - F.col("level")
-        steps = steps.withColumn("c1", F.call_function("shiftright", F.col("to_cell"), up)).withColumn(
-            "go", F.call_function("shiftright", F.col("to_cell"), up - 1).bitwiseAND(F.lit(1).cast("bigint")).cast("int"))
+        below = F.call_function("shiftright", F.col("to_cell"), F.least(F.col("to_level") - F.col("level") - 1, F.lit(63)))
+        steps = steps.withColumn("c1", parent_cell(below, F.col("level") + 1)).withColumn(
+            "go", F.when(F.col("level") == 0, below - edge).otherwise(below.bitwiseAND(F.lit(1).cast("bigint"))).cast("int"))
         reached = (steps.join(passing, ["combo", "level", "c1", "go"], "left_semi")
                    .groupBy("combo", "to_level", "to_cell").agg(F.count(F.lit(1)).alias("found"))
                    .where(F.col("found") == F.col("to_level")))
@@ -347,11 +449,15 @@ class Forest:
             F.max(F.struct("to_level", "to_cell")).alias("end")).collect()}  # one row per column
 
         # The weak halves passed on the way hold the outlying rows: at most one node per level and column.
-        passed = [(c, lv, (end["to_cell"] >> (end["to_level"] - lv)) ^ 1)
-                  for c, end in deepest.items() for lv in range(1, end["to_level"] + 1)]
+        passed = []
+        for c, end in deepest.items():
+            middle = int(self.roots[c].lo / (self.roots[c].size / 2)) * 2 + 1
+            for lv in range(1, end["to_level"] + 1):
+                cell = end["to_cell"] >> (end["to_level"] - lv)
+                other = middle - cell if lv == 1 else cell ^ 1
+                passed.append((c, lv, other, "high" if other > cell else "low"))
         tops = [(c.index, *(deepest[c.index] if c.index in deepest else (0, 0))) for c in self.data.columns]
-        marks = [(c, lv, cell, "root") for c, lv, cell in tops] + [
-            (c, lv, cell, "high" if cell & 1 else "low") for c, lv, cell in passed]
+        marks = [(c, lv, cell, "root") for c, lv, cell in tops] + passed
         marked = self.ws.spark.createDataFrame(marks, "combo int, level int, c1 bigint, mark string")
         facts = nodes.join(F.broadcast(marked), ["combo", "level", "c1"]).groupBy("combo", "mark").agg(
             F.min("mn1").alias("mn"), F.max("mx1").alias("mx"), F.sum("rows").alias("rows"),
@@ -362,25 +468,51 @@ class Forest:
         roots = []
         for c, level, cell in tops:
             old, fact = self.roots[c], by_mark[(c, "root")]
-            width = old.size / 2.0 ** level
-            roots.append(Root(old.lo + cell * width, width, fact["mn"], fact["mx"], level, cell))
-        self.roots = roots
-
-        top_level = F.element_at(F.array(*[F.lit(r.level) for r in roots]), F.col("combo") + 1)
-        top_cell = F.element_at(F.array(*[F.lit(r.cell).cast("bigint") for r in roots]), F.col("combo") + 1)
-        depth_in = F.col("level") - top_level
-        inside = nodes.where((depth_in >= 0) & (F.call_function("shiftright", F.col("c1"), depth_in) == top_cell))
-        rebased = inside.withColumn(
-            "c1", F.col("c1") - F.call_function("shiftleft", top_cell, depth_in)).withColumn("level", depth_in)
-        if self.data.unique_ids:
-            if any(mark != "root" for _, mark in by_mark):
+            width = math.ldexp(old.size, -level)
+            roots.append(Root(cell * width if level else old.lo, width, fact["mn"], fact["mx"], level, cell))
+        before, self.roots = self.roots, roots
+
+        rebased = self._below_roots(nodes, before)
+        outliers = None
+        if any(mark != "root" for _, mark in by_mark):
+            if self.data.unique_ids:
                 rebased = self._attach_outliers(rebased, by_mark)
+            else:
+                weak_rows = marked.where("mark <> 'root'").withColumnRenamed("mark", "end")
+                outliers = self._entity_rows(1).join(F.broadcast(weak_rows), ["combo", "level", "c1"])
+        if self.data.unique_ids:
             rebased = rebased.withColumn("noisy", self._unique_noisy(1, trees.combos, rebased))
         rebased = self.ws.cut(rebased, "nodes1")
         depth = rebased.agg(F.max("level")).first()[0]
         flat = replace(trees, nodes=rebased, depth=depth)
+        if not self.data.unique_ids:
+            self.entity_rows[1] = [self._below_roots(part, before) for part in self.entity_rows[1]]
+            if outliers is not None:
+                self.entity_rows[1].append(self._outlying_rows(rebased, outliers))
         return flat if self.data.unique_ids else self._count_rows(flat)
 
+    def _below_roots(self, nodes: DataFrame, before: Sequence[Root]) -> DataFrame:
+        """Nodes under the roots that were moved down, with levels counted from there."""
+        top_level = self.per_column(lambda r: r.level)
+        size = F.element_at(F.array(*[F.lit(r.size) for r in before]), F.col("combo") + 1)
+        depth_in = F.col("level") - top_level
+        top = cell_number(F.col("mn1"), cells_from_zero(F.col("mn1"), size, top_level), top_level)
+        inside = nodes.where((depth_in >= 0) & (top == self.per_column(lambda r: r.cell).cast("bigint")))
+        number = F.when(depth_in == 0, zero()).otherwise(F.col("c1"))
+        return inside.withColumn("c1", number).withColumn("level", depth_in)
+
+    def _outlying_rows(self, nodes: DataFrame, outliers: DataFrame) -> DataFrame:
+        """Rows per entity outside the roots, for every node that holds the end value on their side."""
+        at_low, at_high = F.col("mn1") == self.per_column(lambda r: r.amin), F.col("mx1") == self.per_column(lambda r: r.amax)
+        ends = nodes.select("combo", "level", "c1", "mn1", F.explode(F.array_compact(F.array(
+            F.when(at_low, "low"), F.when(at_high, "high")))).alias("end"))
+        # At most two nodes of a level hold an end value, and the outlying halves have fewer entities than any node shown.
+        return outliers.select("combo", "end", "kind", "entity", "rows").join(F.broadcast(ends), ["combo", "end"]).select(
+            "combo", "level", "c1", "kind", "entity", "rows", "mn1")
+
+    def _entity_rows(self, k: int) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.entity_rows[k])
+
     def _attach_outliers(self, nodes: DataFrame, facts: dict) -> DataFrame:
         """Adds outlying rows to the nodes on the left or right edge: those holding the end value of the root."""
         def constant(mark: str, field: str) -> Column:
@@ -389,12 +521,11 @@ class Forest:
 
         ends = {"low": self.per_column(lambda r: r.amin), "high": self.per_column(lambda r: r.amax)}
         touches = {"low": F.col("mn1") == ends["low"], "high": F.col("mx1") == ends["high"]}
-        zero = F.lit(0).cast("bigint")
         out = nodes
         for field in ("rows", "n0"):
-            extra = [F.when(touches[m], constant(m, field)).otherwise(zero) for m in ("low", "high")]
+            extra = [F.when(touches[m], constant(m, field)).otherwise(zero()) for m in ("low", "high")]
             out = out.withColumn(field, F.col(field) + extra[0] + extra[1])
-        seeds = [F.when(touches[m], constant(m, "s0")).otherwise(zero) for m in ("low", "high")]
+        seeds = [F.when(touches[m], constant(m, "s0")).otherwise(zero()) for m in ("low", "high")]
         out = out.withColumn("s0", F.col("s0").bitwiseXOR(seeds[0]).bitwiseXOR(seeds[1]))
         return out.withColumn("strength", self._strength("n", "s"))
 
@@ -407,18 +538,17 @@ class Forest:
         """Tree seed plus the distinct midpoint labels of the node.
 
         A midpoint is written in units of 2^-40 root sizes: an exact integer, so
-        no floating-point text enters the seed.
+        no floating-point text enters the seed. Deeper ones have their own exponent.
         """
         names = [c.name for c in self.data.columns]
         seeds = [F.lit(combo_seed(self.config, [names[c] for c in combo])) for combo in combos]
         seed = F.element_at(F.array(*seeds), F.col("combo") + 1)
-        lo = self.per_combo(k, combos, lambda c: self.roots[c].lo)
-        size = self.per_combo(k, combos, lambda c: self.roots[c].size)
         labels = []
         for d in range(1, k + 1):
-            start, end = cell_bounds(F.col(f"c{d}"), F.col("level"), lo[d - 1], size[d - 1])
+            start, end = self.bounds(k, combos, d)
             mid = F.when(F.col(f"mn{d}") == F.col(f"mx{d}"), F.col(f"mn{d}")).otherwise((start + end) / 2)
-            labels.append(midpoint_label(mid, size[d - 1]))
+            deep = F.col("level") > LABEL_LEVELS
+            labels.append(F.when(deep, exact_label(mid)).otherwise(midpoint_label(mid, self.roots_of(k, combos, d, "size"))))
         return combine_texts(seed, labels)
 
     def _unique_noisy(self, k: int, combos: Sequence[tuple[int, ...]], nodes: DataFrame) -> Column:
@@ -429,30 +559,23 @@ class Forest:
     def _count_rows(self, trees: Trees) -> Trees:
         """Flattened noisy row counts of every node for tables with repeating entities.
 
-        Rows meet the nodes at every level they pass. Values of one-column trees
-        are clamped to the span of the root, which sends outlying rows to the
-        outermost leaves; their entity counts are renewed at the same time.
+        The rows per cell and entity that the batches counted are met with the nodes;
+        no row is read again. The entity counts of one-column trees are renewed
+        here, because outlying rows count in the nodes at the ends.
         """
         if self.data.unique_ids:
             return trees
         k, combos, nodes = trees.k, trees.combos, trees.nodes
         keys = ["combo", "level", *cell_names(k)]
-        rows = self._by_kind(self._exploded_rows(k, combos, trees.depth, clamp=k == 1))
-        fine = rows.groupBy("combo", *[f"f{d}" for d in range(1, k + 1)], "kind", "entity").agg(
-            F.count(F.lit(1)).alias("contribution"))
-        spread = fine.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees.depth))).alias("level"))
-        spread = spread.select(
-            "combo", "level", *[F.call_function("shiftright", F.col(f"f{d}"), F.lit(trees.depth) - F.col("level"))
-                                .alias(f"c{d}") for d in range(1, k + 1)], "kind", "entity", "contribution")
-        contributions = (spread.join(nodes.select(*keys), keys, "left_semi")
-                         .groupBy(*keys, "kind", "entity").agg(F.sum("contribution").alias("contribution")))
+        contributions = (self._entity_rows(k).join(nodes.select(*keys), keys, "left_semi")
+                         .groupBy(*keys, "kind", "entity").agg(F.sum("rows").alias("contribution")))
         contributions = self.ws.cut(contributions, f"contributions{k}")
-        real, zero = F.col("entity") != 0, F.lit(0).cast("bigint")
+        real = F.col("entity") != 0
         totals = contributions.groupBy(*keys, "kind").agg(
             F.count_if(real).alias("entities"),
-            F.coalesce(F.bit_xor(F.when(real, F.col("entity"))), zero).alias("seed"),
-            F.coalesce(F.sum(F.when(real, F.col("contribution"))), zero).alias("accounted"),
-            F.coalesce(F.sum(F.when(~real, F.col("contribution"))), zero).alias("unaccounted"))
+            F.coalesce(F.bit_xor(F.when(real, F.col("entity"))), zero()).alias("seed"),
+            F.coalesce(F.sum(F.when(real, F.col("contribution"))), zero()).alias("accounted"),
+            F.coalesce(F.sum(F.when(~real, F.col("contribution"))), zero()).alias("unaccounted"))
         heavy = heaviest(contributions, keys, self.config)
         spans = [f"{n}{d}" for d in range(1, k + 1) for n in ("mn", "mx")]
         totals = totals.join(heavy, [*keys, "kind"], "left").join(nodes.select(*keys, *spans), keys)

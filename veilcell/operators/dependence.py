@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import cell_of, column_combinations
+from ..functions.geometry import column_combinations
 from .cells import Forest
 
 
@@ -23,12 +23,13 @@ def column_entropy(forest: Forest) -> DataFrame:
             .groupBy(F.col("combo").alias("col")).agg(F.sum(-share * F.log2(share)).alias("entropy")))
 
 
-def reachable_nodes(nodes: DataFrame, threshold: int) -> DataFrame:
+def reachable_nodes(forest: Forest, threshold: int) -> DataFrame:
     """One-column nodes that count at least ``threshold`` along their whole path."""
-    heavy = nodes.where(F.col("noisy") >= threshold).select("combo", "level", "c1", "noisy", "mn1", "mx1")
+    trees = forest.trees[1]
+    heavy = trees.nodes.where(F.col("noisy") >= threshold).select("combo", "level", "c1", "noisy", "mn1", "mx1")
     above = heavy.where("level > 0").select(
-        "combo", "level", "c1", F.explode(F.sequence(F.lit(0), F.col("level") - 1)).alias("a_level"))
-    above = above.withColumn("a_c1", F.expr("shiftright(c1, level - a_level)"))
+        "combo", "level", "c1", "mn1", F.explode(F.sequence(F.lit(0), F.col("level") - 1)).alias("a_level"))
+    above = forest.with_cells(above, 1, trees.combos, F.col("a_level"), "a_c")
     held = heavy.select("combo", F.col("level").alias("a_level"), F.col("c1").alias("a_c1"))
     whole = (above.join(held, ["combo", "a_level", "a_c1"], "left_semi").groupBy("combo", "level", "c1")
              .agg(F.count(F.lit(1)).alias("found")).where("found = level").select("combo", "level", "c1"))
@@ -42,13 +43,13 @@ def walk_nodes(forest: Forest, threshold: int) -> DataFrame:
     levels, in the cell of its value.
     """
     trees = forest.trees[1]
-    nodes = reachable_nodes(trees.nodes, threshold)
+    nodes = reachable_nodes(forest, threshold)
     own = nodes.select(F.col("combo").alias("col"), "level", F.col("c1").alias("cell"),
                        F.col("noisy").alias("weight"), F.lit(False).alias("carried"))
     single = nodes.where((F.col("mn1") == F.col("mx1")) & (F.col("level") < trees.depth)).select(
         "combo", "mn1", "noisy", F.explode(F.sequence(F.col("level") + 1, F.lit(trees.depth))).alias("level"))
-    cell = cell_of(F.col("mn1"), forest.per_column(lambda r: r.lo), forest.per_column(lambda r: r.size), F.col("level"))
-    carried = single.select(F.col("combo").alias("col"), "level", cell.alias("cell"),
+    single = forest.with_cells(single, 1, trees.combos, F.col("level"))
+    carried = single.select(F.col("combo").alias("col"), "level", F.col("c1").alias("cell"),
                             F.col("noisy").alias("weight"), F.lit(True).alias("carried"))
     return own.unionByName(carried)
 

@@ -30,6 +30,10 @@ KEPT_RUNS = 32  # runs of equal counts remembered from the front of a node's buc
 ALL_EXACT = 2**63 - 1
 
 
+def least_names(k: int) -> list[str]:
+    return [f"mn{d}" for d in range(1, k + 1)]
+
+
 def node_name(k: int) -> Column:
     return F.concat_ws(":", "combo", "level", *cell_names(k)).alias("node")
 
@@ -161,9 +165,11 @@ def harvested_totals(forest: Forest, trees: Trees) -> DataFrame:
         levels = min(step, max(trees.depth - base, 1))
         members = nodes.where((F.col("level") > base) & (F.col("level") <= base + levels)
                               | (F.col("level") == base) & (F.col("split") | F.lit(base == 0)))
-        tops = [F.expr(f"shiftright({c}, level - {base})").alias(f"t{d}") for d, c in enumerate(cells, 1)]
-        mask = F.lit((1 << step) - 1).cast("bigint")
-        wide = child_code([F.expr(f"shiftleft({c}, {base + step} - level)").bitwiseAND(mask) for c in cells], step)
+        dims = range(1, k + 1)
+        members = forest.with_cells(members, k, trees.combos, F.lit(base), "t")
+        members = forest.with_places(members, k, trees.combos, base, F.col("level"))
+        tops = [f"t{d}" for d in dims]
+        wide = child_code([F.call_function("shiftleft", F.col(f"p{d}"), F.lit(base + step) - F.col("level")) for d in dims], step)
         path = F.call_function("shiftright", wide, (F.lit(base + step) - F.col("level")) * k)
         slab = members.select(*keys, "noisy", "split", "live", F.expr("true" if k == 1 else point).alias("whole"), *tops, path.alias("path"))
         if known is None:
@@ -204,13 +210,13 @@ def interval_at(prefix: Column, level: Column) -> Column:
     return F.when(steps == 0, prefix).otherwise(mapped - last)
 
 
-def with_chains(bearers: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def with_chains(forest: Forest, trees: Trees, bearers: DataFrame, nodes: DataFrame) -> DataFrame:
     """Adds the ancestor chain: one join on (combo, level, cells), at most one row per ancestor level."""
-    cells = cell_names(k)
+    k, cells = trees.k, cell_names(trees.k)
     keys = ["combo", "level", *cells]
     up = bearers.where("level > 0").select(
-        *keys, F.expr("explode(sequence(0, level - 1))").alias("a_level"))
-    up = up.select("*", *[F.expr(f"shiftright({c}, level - a_level)").alias(f"a_{c}") for c in cells])
+        *keys, *least_names(k), F.expr("explode(sequence(0, level - 1))").alias("a_level"))
+    up = forest.with_cells(up, k, trees.combos, F.col("a_level"), "a_c").drop(*least_names(k))
     gap = "2 * inner < noisy"
     rule = f"named_struct('target', {0 if k == 1 else 1}L, 'total', 1L, 'lead', lead)"
     maps = nodes.where("split").select(
@@ -262,9 +268,9 @@ class Harvest:
         bearers = nodes.where(F.expr("(not split and live)") | gap)
         first = F.when(gap, F.col("inner")).otherwise(F.lit(0).cast("bigint")) if k > 1 else F.lit(0).cast("bigint")
         bearers = bearers.withColumn("first", first).withColumn("end", F.col("noisy"))
-        bearers = self.forest.with_ranges(with_chains(bearers, nodes, k), k, trees.combos)
+        bearers = self.forest.with_ranges(with_chains(self.forest, trees, bearers, nodes), k, trees.combos)
         ranges = [f"{n}{d}" for d in range(1, k + 1) for n in ("lo", "hi")]
-        columns = ["combo", "level", *cell_names(k), *ranges, "first", "end", "before", "chain"]
+        columns = ["combo", "level", *cell_names(k), *least_names(k), *ranges, "first", "end", "before", "chain"]
         if k == 1:
             return self.ws.cut(bearers.select(*columns), "buckets1")
         bearers = self.ws.cut(bearers, f"bearers{k}")
@@ -327,9 +333,9 @@ def refine(harvest: Harvest, trees: Trees, nodes: DataFrame) -> DataFrame:
     facts = [f"{n}s{s}" for s in range(k) for n in "wn"] + [f"{n}d{d}" for d in dims for n in "wn"]
     turns = f"(end - first + {k - 1}) div {k}"
     ready = nodes.join(widths, "node").select(
-        "node", "combo", "level", *cell_names(k), "first", "end", "before", "chain", *facts, F.expr(turns).alias("turns"))
+        "node", "combo", "level", *cell_names(k), *least_names(k), "first", "end", "before", "chain", *facts, F.expr(turns).alias("turns"))
     plain = nodes.join(widths.select("node"), "node", "left_anti").select(
-        "combo", "level", *cell_names(k), *sub_ranges, "first", "end", "before", "chain")
+        "combo", "level", *cell_names(k), *least_names(k), *sub_ranges, "first", "end", "before", "chain")
 
     units = expand_counts(ready, ["node"], "first", "end", "at").withColumn("turn", F.expr("at - first"))
     units = units.withColumn("slot", F.expr(f"cast(turn % {k} as int)")).withColumn("dim", F.expr(f"{k} - slot"))
@@ -338,7 +344,7 @@ def refine(harvest: Harvest, trees: Trees, nodes: DataFrame) -> DataFrame:
     for name, (weight, entries) in sizes.items():
         units = units.withColumn(f"{name}_draw", index_draw(weight, F.col("node"), F.col("turn"), F.lit(name)))
         units = units.withColumn(f"{name}_bin", F.call_function("div", F.col(f"{name}_draw"), bin_width(weight, entries)))
-    units = units.select("node", "combo", "level", *cell_names(k), F.col("at").alias("first"),
+    units = units.select("node", "combo", "level", *cell_names(k), *least_names(k), F.col("at").alias("first"),
                          (F.col("at") + 1).alias("end"), "before", "chain", "slot", "dim",
                          "slot_draw", "slot_bin", "dim_draw", "dim_bin")
 
@@ -347,7 +353,7 @@ def refine(harvest: Harvest, trees: Trees, nodes: DataFrame) -> DataFrame:
     dim_pool = dim_pool.withColumnsRenamed({"lo": "d_lo", "hi": "d_hi"})
     matched = _pick(matched, dim_pool, bins, "dim", bin_width(*sizes["dim"]), ["d_lo", "d_hi"])
     ranges = [F.expr(f"if(dim = {d}, d_{n}, {n}{d})").alias(f"{n}{d}") for d in dims for n in ("lo", "hi")]
-    refined = matched.select("combo", "level", *cell_names(k), *ranges, "first", "end", "before", "chain")
+    refined = matched.select("combo", "level", *cell_names(k), *least_names(k), *ranges, "first", "end", "before", "chain")
     return plain.unionByName(refined)
 
 
@@ -377,16 +383,14 @@ def _pick(units: DataFrame, pool: DataFrame, bins: DataFrame, name: str, width:
 def _with_halved_ranges(nodes: DataFrame, forest: Forest, trees: Trees) -> DataFrame:
     """Cell ranges, without the low-count half for stub leaves."""
     k = trees.k
-    lo = forest.per_combo(k, trees.combos, lambda c: forest.roots[c].lo)
-    size = forest.per_combo(k, trees.combos, lambda c: forest.roots[c].size)
-    out = nodes.withColumn("__lo", lo).withColumn("__size", size)
+    out = nodes
     for d in range(1, k + 1):
-        width = f"(__size[{d - 1}] / pow(2D, level))"
-        start = f"(__lo[{d - 1}] + c{d} * {width})"
-        halved = f"not split and stub and half{d}"
-        out = (out.withColumn(f"hlo{d}", F.expr(f"if({halved} = 1, {start} + {width} / 2, {start})"))
-               .withColumn(f"hhi{d}", F.expr(f"if({halved} = 0, {start} + {width} / 2, {start} + {width})")))
-    return out.drop("__lo", "__size")
+        start, end = forest.bounds(k, trees.combos, d)
+        middle = (start + end) / 2
+        half = F.when(F.expr("not split and stub"), F.col(f"half{d}")).otherwise(-1)
+        out = (out.withColumn(f"hlo{d}", F.when(half == 1, middle).otherwise(start))
+               .withColumn(f"hhi{d}", F.when(half == 0, middle).otherwise(end)))
+    return out
 
 
 def _sub_buckets(harvest: Harvest, trees: Trees, nodes: DataFrame) -> DataFrame:
@@ -404,13 +408,13 @@ def _sub_buckets(harvest: Harvest, trees: Trees, nodes: DataFrame) -> DataFrame:
     asked = slots.where(f"not ({own})").select("node", "slot", "omit", "sub_combo", "level", *[f"s{d}" for d in subs])
     asked_keys = ["sub_combo", "level", *[f"s{d}" for d in subs]]
     wanted = asked.select(*asked_keys).distinct()
-    offers = lower.select(F.col("combo").alias("sub_combo"), F.col("level").alias("own_level"), *cell_names(k - 1),
+    offers = lower.select("combo", F.col("level").alias("own_level"), *least_names(k - 1),
                           *[F.col(f"{n}{d}").alias(f"b{n}{d}") for d in subs for n in ("lo", "hi")],
                           "first", "end", "before", "chain",
                           F.expr("explode(sequence(0, level))").alias("target"))
-    offers = offers.select("*", *[F.expr(f"shiftright({c}, own_level - target)").alias(f"s{d}")
-                                  for d, c in enumerate(cell_names(k - 1), 1)])
-    offers = offers.withColumnRenamed("target", "at_level").join(
+    below = forest.trees[k - 1].combos
+    offers = forest.with_cells(offers, k - 1, below, F.col("target"), "s").drop(*least_names(k - 1))
+    offers = offers.withColumnsRenamed({"target": "at_level", "combo": "sub_combo"}).join(
         wanted.withColumnRenamed("level", "at_level"), ["sub_combo", "at_level", *[f"s{d}" for d in subs]], "left_semi")
     offers = offers.withColumnRenamed("own_level", "level")
     weight = interval_at(F.col("end"), F.col("at_level")) - interval_at(F.col("first"), F.col("at_level"))

@@ -268,6 +268,25 @@ def tree_nodes_by_entity(spark, folder):
                                         F.col("noisy").alias("noisy_count"))
 
 
+def _deep_tree(spark, folder, value):
+    """Nodes of a tree over part sizes that needs far more levels than a number of 64 bits has."""
+    parts = load(spark, folder, "part").select("p_partkey", value.alias("x"))
+    ws = Workspace(spark)
+    forest = Forest(ws, encoding.encode_table(ws, parts, ["x"], ["p_partkey"], CONFIG, unique_ids=True), CONFIG)
+    return forest.trees[1].nodes.select("level", "c1", "rows", F.col("n0").alias("entities"), (F.col("mn1") == F.col("mx1")).alias("single"),
+                                        "split", F.col("noisy").alias("noisy_count"))
+
+
+def tree_nodes_far(spark, folder):
+    """One value of 1e30 beside sizes from 1 to 50."""
+    return _deep_tree(spark, folder, F.when(F.col("p_partkey") == 1, 1e30).otherwise(F.col("p_size").cast("double")))
+
+
+def tree_nodes_fine(spark, folder):
+    """Sizes in units of 1e-300 beside 1."""
+    return _deep_tree(spark, folder, F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") * 1e-300).otherwise(1.0))
+
+
 def root_facts(spark, folder):
     forest = _order_forest(spark, folder, ["o_totalprice"])
     return inspection.column_table(forest)
@@ -450,7 +469,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     value_parsing, seed_texts, noise_values, row_limits, rounding, range_tests, text_ranges, numeric_codes,
     decoded_fields, string_codes, root_ranges, cell_counts, content_digests, csv_texts, csv_round_trip, csv_inferred,
     entity_counts, low_count_groups, noisy_unique_counts, entity_contributions, flattened_counts, private_groups,
-    tree_nodes_1d, tree_nodes_2d, tree_nodes_by_entity, root_facts, harvest_1d, node_totals_2d, refined_buckets, inspected_nodes,
+    tree_nodes_1d, tree_nodes_2d, tree_nodes_by_entity, tree_nodes_far, tree_nodes_fine, root_facts, harvest_1d, node_totals_2d, refined_buckets, inspected_nodes,
     synthetic_rows, column_entropies, pair_dependence, total_dependences, plan_quality, sampled_rows, dependence_report,
     cluster_search, feature_ranking, column_roles, complete_rows, patch_join, stitch_join, stitch_bin_sizes, synthesize_single, synthesize_events,
     synthesize_manual, synthesize_independent, synthesize_target)}

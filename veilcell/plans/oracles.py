@@ -207,6 +207,57 @@ def tree_ctes(name: str, table: str, column: str, ident: str, p: str, config: Sy
     {p}counted as materialized (select *, greatest({noisy_unique('n', 's', f"xor({seed}, {h(label('mid', 'size'))})")}, {low}) as noisy from {p}nodes)"""
 
 
+def exact_label(v: str) -> str:
+    guess = f"greatest(floor(log2(abs({v}))), -1022)"
+    e = (f"greatest(-1022, case when pow(2e0, {guess}) > abs({v}) then {guess} - 1 when pow(2e0, {guess}) * 2 <= abs({v}) then {guess} + 1 "
+         f"else {guess} end)::int")
+    return (f"(case when {v} = 0 then '0' else (case when {v} < 0 then '-' else '' end) || ({e})::varchar || ':' || "
+            f"(abs({v}) / pow(2e0, ({e}) - 52))::bigint::varchar end)")
+
+
+def deep_tree_sql(value: str, levels: int) -> str:
+    """Tree of part sizes, ``levels`` deep: cells are whole numbers in doubles, which halve without an end."""
+    cfg, low = CONFIG, CONFIG.low_threshold
+    seed = combo_seed(cfg, ["x"])
+
+    def width(size: str, level: str) -> str:
+        return f"({size} / pow(2e0, ({level}) // 2) / pow(2e0, ({level}) - ({level}) // 2))"
+
+    def up(cell: str, by: str) -> str:
+        return f"floor(({cell}) / pow(2e0, {by}))"
+
+    named = f"case when level > 40 then {exact_label('mid')} else {label('mid', 'size')} end"
+    return f"""with base as materialized (select {entity('p_partkey')} as e, ({value})::double as x from part),
+      ext as (select *, {NULL_CODE} as nc from (select min(x) as lo, max(x) as hi from base)),
+      snap as materialized ({snapped('ext', 'least(lo, nc)', 'greatest(hi, nc)', 'nc')}),
+      cells as materialized (select e, x, l::int as level, case when l = 0 then 0e0 else floor(x / {width('root_size', 'l')}) end as cell
+        from base, snap, generate_series(0, {levels}) t(l)),
+      flag as materialized (select *, mn < mx and strength >= {low} and (level <= {cfg.depth_threshold} or n - 1 >= lim) as split
+        from (select *, {tree_strength('n', 's')} as strength, {row_limit(str(seed), '(select count(*) from base)', cfg.depth_row_fraction)} as lim
+          from (select level, cell, count(*) as n, bit_xor(e) as s, min(x) as mn, max(x) as mx from cells group by 1, 2))),
+      opened as materialized (select level, cell from flag where split),
+      real as materialized (select n.* from flag n where n.level = (select count(*) from opened a
+        where a.level < n.level and a.cell = {up('n.cell', 'n.level - a.level')})),
+      side as (select level - 1 as level, {up('cell', '1')} as cell,
+          coalesce(bool_and(not split and strength < {low}) filter (where cell % 2 = 0), true) as w0,
+          coalesce(bool_and(not split and strength < {low}) filter (where cell % 2 = 1), true) as w1 from real where level > 0 group by 1, 2),
+      pass as materialized (select level, cell, w0::int as go, cell * 2 + w0::int as child from side where w0 <> w1),
+      way as (select e.level + 1 as level, e.child as cell from pass e where e.level + 1 = (select count(*) from pass a
+        where a.level <= e.level and a.child = {up('e.child', 'e.level - a.level')})),
+      top as materialized (select coalesce(max(level), 0) as tl, coalesce(arg_max(cell, level), 0e0) as tc from way),
+      root as materialized (select tc * {width('root_size', 'tl')} as lo, {width('root_size', 'tl')} as size, tl, tc, r.mn as amin, r.mx as amax
+        from snap, top, real r where r.level = tl and r.cell = tc),
+      far as materialized (select coalesce(sum((cell < tc)::int), 0)::bigint as ln, coalesce(bit_xor(e) filter (where cell < tc), 0) as ls,
+          coalesce(sum((cell > tc)::int), 0)::bigint as hn, coalesce(bit_xor(e) filter (where cell > tc), 0) as hs from cells, root where level = tl),
+      nodes as materialized (select level - tl as level, case when level = tl then 0e0 else cell end as cell, mn, mx, split, size,
+          n + (mn = amin)::int * ln + (mx = amax)::int * hn as n,
+          xor(xor(s, case when mn = amin then ls else 0 end), case when mx = amax then hs else 0 end) as s,
+          case when mn = mx then mn when level = tl then lo + size / 2 else (cell * 2 + 1) * {width('size', 'level - tl')} / 2 end as mid
+        from real, root, far where level >= tl and {up('cell', 'level - tl')} = tc)
+      select level, cell::bigint as c1, n as rows, n as entities, mn = mx as single, split,
+        greatest({noisy_unique('n', 's', f'xor({seed}, {h(named)})')}, {low}) as noisy_count from nodes"""
+
+
 def order_tree(column: str = "o_totalprice", p: str = "") -> str:
     return tree_ctes(column, "orders", column, "o_orderkey", p)
 
@@ -497,6 +548,8 @@ def oracle_queries() -> dict[str, str]:
     out["tree_nodes_1d"] = f"""with {order_tree()}
       select level, cell as c1, rows_ as rows, n as entities, s as seed, mn as mn1, mx as mx1, {micro('strength')} as strength, split,
         noisy as noisy_count from counted"""
+    out["tree_nodes_far"] = deep_tree_sql("case when p_partkey = 1 then 1e30 else p_size end", 115)
+    out["tree_nodes_fine"] = deep_tree_sql("case when p_partkey % 3 = 0 then p_size * 1e-300 else 1e0 end", 1005)
     out["root_facts"] = f"""with {order_tree()}
       select 'o_totalprice' as name, 'real' as kind, nc as null_code, lo as root_lo, lo + size as root_hi from root"""
     out["tree_nodes_2d"] = f"""with {tree_2d()}
