@@ -24,8 +24,8 @@ from ..workspace import Workspace
 from .texts import mix, slices
 from .tokens import _byte_letters, _tokenizer
 
-SLICE = 2 << 20  # bytes of text tokenised at once
-REMEMBERED = 300_000  # windows that a task keeps, half of them older ones
+SLICE = 1 << 20  # bytes of text tokenised at once
+REMEMBERED = 200_000  # windows that a task keeps, half of them older ones
 WINDOW_TOKENS = 64  # longer windows are not kept
 BROADCAST_PAIRS = 1_000_000
 SALTS = 64
@@ -191,7 +191,7 @@ class Aligner:
         occur more than once among them are looked up once.
         """
         sizes = np.cumsum([len(x) for x in a])
-        all_a, all_b = np.concatenate(a).astype(np.int32), np.concatenate(b).astype(np.int32)
+        all_a, all_b = np.concatenate(a).astype(np.int32, copy=False), np.concatenate(b).astype(np.int32, copy=False)
         (offsets_a, stops_a), (offsets_b, stops_b) = self.a.anchors(all_a), self.b.anchors(all_b)
         _, in_a, in_b = np.intersect1d(offsets_a, offsets_b, assume_unique=True, return_indices=True)
         sides = [Side(ids, stops) for ids, stops in ((all_a, stops_a[in_a]), (all_b, stops_b[in_b]))]
@@ -256,16 +256,16 @@ def _align(shared):
                 ids_b = pieces.encode(texts, num_threads=1)
                 spelled = [(" " + t).encode() for t in texts]
                 good = [i for i, t in enumerate(texts) if t and aligner.a.spells(ids_a[i], spelled[i]) and aligner.b.spells(ids_b[i], spelled[i])]
-                counts, groups, links = [(0, 0, 0, 0)] * len(texts), [""] * len(texts), [[] for _ in texts]
-                sides = [[np.array(ids[i], np.int64) for i in good] for ids in (ids_a, ids_b)]
-                for i, (text, pairs) in zip(good, aligner.texts(*sides) if good else []):
-                    codes, times = np.unique(pairs, return_counts=True)
+                none = np.zeros(0, np.int64)
+                counts, groups, codes, times = [(0, 0, 0, 0)] * len(texts), [""] * len(texts), [none] * len(texts), [none] * len(texts)
+                sides = [[np.array(ids[i], np.int32) for i in good] for ids in (ids_a, ids_b)]
+                for i, (groups[i], pairs) in zip(good, aligner.texts(*sides) if good else []):
+                    codes[i], times[i] = np.unique(pairs, return_counts=True)
                     counts[i] = (len(ids_a[i]), len(ids_b[i]), len(pairs), len(pairs))
-                    groups[i] = text
-                    links[i] = list(zip((codes >> 32).tolist(), (codes & 0xFFFFFFFF).tolist(), times.tolist(), strict=True))
-                flat = list(chain.from_iterable(links))
-                columns = [pa.array(c, t) for c, t in zip(zip(*flat) if flat else ((), (), ()), (pa.int32(), pa.int32(), pa.int64()), strict=True)]
-                bounds = pa.array(np.cumsum([0, *map(len, links)]), pa.int32())
+                bounds = pa.array(np.cumsum([0, *map(len, codes)]), pa.int32())
+                flat = np.concatenate(codes)
+                columns = [pa.array(flat >> 32, pa.int64()).cast(pa.int32()), pa.array(flat & 0xFFFFFFFF, pa.int64()).cast(pa.int32()),
+                           pa.array(np.concatenate(times), pa.int64())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[first:end], *[pa.array(c, pa.int64()) for c in zip(*counts, strict=True)], pa.array(groups, pa.string()),
                      pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays(columns, names=["a", "b", "times"])).cast(_LINK_TYPE)],
