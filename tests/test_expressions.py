@@ -7,7 +7,7 @@ from veilcell import Interval, SynthConfig
 from veilcell.functions import geometry as geo
 from veilcell.functions import hashing as hs
 from veilcell.functions import values as val
-from veilcell.operators.harvest import joined_runs, scaled_runs
+from veilcell.operators.harvest import joined_fronts, scaled_front
 from veilcell.operators.counting import shrunk_intervals
 
 
@@ -57,7 +57,7 @@ def test_rescaling_equals_carried_remainders(spark):
     for case, (counts, target) in enumerate(cases):
         total = sum(counts)
         target = target or rng.randint(2, 2 * total)
-        lead, out = scaled_runs(joined_runs([[(c, 1)] for c in counts]), total, target)
+        lead, (out, _) = scaled_front(joined_fronts([([(c, 1)], False) for c in counts], 10_000), total, target, 10_000)
         assert [c for c, n in out for _ in range(n)] == [c for c in carried(counts, target) if c]
         run = 0
         for c, want in zip(counts, carried(counts, target)):

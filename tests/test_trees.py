@@ -154,3 +154,51 @@ def test_three_columns_keep_their_relation(spark, ws):
     assert abs(len(got) - 600) < 60
     kept = [r for r in got if r[1] == r[0] * 10 and r[2] == r[0] % 2]
     assert len(kept) > 0.9 * len(got)
+
+
+def far_apart():
+    """(value, level below which it shares no cell) for columns whose trees outgrow a 64-bit number."""
+    return [[float(v) for v in range(50)] * 4 + [1e30], [v * 1e-300 for v in range(40)] * 4 + [1.0] * 30,
+            [1e300 + v * 1e285 for v in range(30)] * 4 + [-1e-300] * 9]
+
+
+@pytest.mark.parametrize("column", range(3))
+def test_trees_have_no_depth_limit(spark, ws, column):
+    rows = far_apart()[column]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "id bigint, v double")
+    for ids in ([], ["id"]):
+        leaves = forest_of(ws, df, ["v"], ids, fx.NOISELESS).trees[1].nodes.where("not split and strength >= 3").collect()
+        assert sorted({x.mn1 for x in leaves}) == sorted({v for v in rows if rows.count(v) > 2}) and all(x.mn1 == x.mx1 for x in leaves)
+
+
+def test_pairs_have_no_depth_limit(spark, ws):
+    df = spark.createDataFrame([(v * 1e-300 if v % 2 else 1.0, 1 + v % 3) for v in range(40)] * 6, "x double, y bigint")
+    forest = forest_of(ws, df, ["x", "y"], [], replace(fx.NOISELESS, range_threshold=3, singularity_threshold=3))
+    leaves = forest.dimension(2, [(0, 1)]).nodes.where("not split and strength >= 3 and mn1 = mx1 and mn2 = mx2").collect()
+    assert sorted((x.mn1, x.mn2, x.rows) for x in leaves if x.mn1 < 1) == sorted((v * 1e-300, 1.0 + v % 3, 6) for v in range(1, 40, 2))
+
+
+def test_forty_alternating_buckets_scale_exactly(monkeypatch):
+    from veilcell.operators import harvest as hv
+    runs = [(4, 1), (2, 1)] * 20
+    assert hv.scaled_front((runs, False), 120, 180, 32) == (120, ([(6, 1), (3, 1)] * 20, False))
+    front = hv.joined_fronts([(runs, False)], 32)
+    assert front == (runs[:32], True) and hv.scaled_front(front, 120, 180, 32)[0] is None
+    assert hv.scaled_front(front, 120, 180, 32, 120) == (120, ([(6, 1), (3, 1)] * 16, True))
+    assert hv.scaled_front(([(4, 1), (3, 5)], False), 19, 20, 32)[0] == 0
+
+
+@pytest.mark.parametrize("columns", [["x"], ["x", "y"]])
+def test_open_fronts_are_settled_by_all_buckets(spark, ws, monkeypatch, columns):
+    from veilcell.operators import harvest as hv
+    df = spark.range(900).selectExpr("id * 31 % 97 as x", "id % 4 as y")
+    forest = forest_of(ws, df, columns, [], fx.NOISY)
+    if len(columns) > 1:
+        forest.grow_for([range(2)])
+    keys = ["level", *[f"c{d}" for d in range(1, len(columns) + 1)], "total", "inner", "before"]
+    found, asked, exact_leads = [], [], hv.exact_leads
+    monkeypatch.setattr(hv, "exact_leads", lambda *a: asked.append(limit) or exact_leads(*a))
+    for limit in (10_000, 0):
+        monkeypatch.setattr(hv, "FRONT_RUNS", limit)
+        found.append(sorted(tuple(r) for r in hv.harvested_totals(forest, forest.trees[len(columns)]).select(*keys).collect()))
+    assert found[0] == found[1] and len(found[0]) > 60 and set(asked) == {0}

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ POOL_CHUNKS = 1024
 BIN_DRAWS = 65_536  # draws per weight bin, roughly
 
 SLAB_BATCH = 200_000  # nodes per call of the totals function
-KEPT_RUNS = 32  # runs of equal counts remembered from the front of a node's buckets
+FRONT_RUNS = 32  # runs of equal counts that travel up with a node; what they leave open, all buckets are asked
 ALL_EXACT = 2**63 - 1
 
 
@@ -52,59 +53,61 @@ def expand_counts(df: DataFrame, keys: Sequence[str], first: str, end: str, name
 # -- node totals ----------------------------------------------------------------
 
 Runs = list[tuple[int, int]]  # (count, times) of buckets in order, from the front
+Front = tuple[Runs, bool]  # the first runs of a node's buckets, and whether more follow
 
+NOTHING: Front = ([], False)
 
-def joined_runs(parts: Sequence[Runs]) -> Runs:
-    out: Runs = []
-    for count, times in (run for part in parts for run in part):
-        if out and out[-1][0] == count:
-            out[-1] = (count, out[-1][1] + times)
-        elif len(out) < KEPT_RUNS:
-            out.append((count, times))
-        else:
-            break
-    return out
 
-
-def scaled_runs(runs: Runs, total: int, target: int) -> tuple[int, Runs]:
-    """The part of ``total`` in front that scales to ``target`` exactly, and the scaled buckets.
+def joined_fronts(parts: Sequence[Front], limit: int) -> Front:
+    out: Runs = []
+    for runs, more in parts:
+        for count, times in runs:
+            if out and out[-1][0] == count:
+                out[-1] = (count, out[-1][1] + times)
+            elif len(out) == limit:
+                return out, True
+            else:
+                out.append((count, times))
+        if more:
+            return out, True
+    return out, False
+
+
+def scaled_front(front: Front, total: int, target: int, limit: int, lead: int | None = None) -> tuple[int | None, Front]:
+    """How much of ``total`` in front scales to ``target`` exactly, and the scaled front; None where the front does not tell.
 
     A count scales exactly if it is a multiple of total / gcd(total, target).
     Behind the first one that does not, a count becomes the difference of the
-    carried running totals.
+    carried running totals. ``lead`` is the answer for a front that does not tell.
     """
+    runs, more = front
     unit = total // math.gcd(total, target)
-    if unit == 1:  # also what lies behind the remembered front
-        return total, [(count * target // total, times) for count, times in runs]
-    exact, lead = [], 0
-    for i, (count, times) in enumerate(runs):
-        if count % unit:
-            break
-        exact.append((count * target // total, times))
-        lead += count * times
-    else:
-        return lead, exact
-    carried: Runs = []
-    before, below = lead, lead * target // total
-    for count, times in runs[i:]:
-        for _ in range(min(times, KEPT_RUNS)):
+    bad = len(runs) if unit == 1 else next((i for i, (count, _) in enumerate(runs) if count % unit), len(runs))
+    exact = [(count * target // total, times) for count, times in runs[:bad]]
+    if bad == len(runs):
+        return (total if unit == 1 or not more else lead), (exact, more)
+    found = before = sum(count * times for count, times in runs[:bad])
+    below, carried = found * target // total, []
+    for count, times in runs[bad:]:
+        for _ in range(times):
+            if len(carried) > limit:
+                return found, joined_fronts([(exact, False), (carried, True)], limit)
             before += count
             now = max(-(-before * target // total) - 1, 0)
             if now > below:
                 carried.append((now - below, 1))
             below = now
-        if times > KEPT_RUNS or len(carried) >= KEPT_RUNS:
-            break
-    return lead, joined_runs([exact, carried])
+    return found, joined_fronts([(exact, False), (carried, more)], limit)
 
 
-def slab_totals(k: int, base: int, levels: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def slab_totals(k: int, base: int, levels: int, limit: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Function giving harvested totals inside slabs of trees, deepest level first.
 
     A slab is a few levels below one node; a call takes a batch of whole slabs.
     The front of each node's bucket list travels up with its total, because it
-    decides how far the counts scale exactly. Leaves of several columns that are
-    no points count as refined to single rows.
+    decides how far the counts scale exactly; ``open`` is 1 for nodes it leaves
+    undecided, 2 for those above them. Leaves of several columns that are no points
+    count as refined to single rows.
     """
     cells = [f"c{d}" for d in range(1, k + 1)]
     tops = [f"t{d}" for d in range(1, k + 1)]
@@ -119,9 +122,11 @@ def slab_totals(k: int, base: int, levels: int) -> Callable[[pd.DataFrame], pd.D
         inner = np.where(split, batch["known_inner"].to_numpy(), 0)
         lead = np.where(split, batch["known_lead"].to_numpy(), 0)
         before = np.zeros(len(batch), dtype=np.int64)
+        open_ = np.zeros(len(batch), dtype=np.int64)
+        told = [None if pd.isna(x) else int(x) for x in batch["told"]]
         bucket = [[(int(n), 1)] if one else [(1, int(n))] for n, one in zip(noisy, whole)]
-        runs = [list(zip(c, t)) if inside and c is not None else own if alive and not inside else []
-                for c, t, own, alive, inside in zip(batch["known_counts"], batch["known_times"], bucket, live, split)]
+        fronts = [(list(zip(c, t)), bool(m)) if inside and c is not None else (own, False) if alive and not inside else NOTHING
+                  for c, t, m, own, alive, inside in zip(batch["known_counts"], batch["known_times"], batch["known_more"], bucket, live, split)]
         bounds = np.searchsorted(level, np.arange(levels + 2))
         for depth in range(levels - 1, -1, -1):
             mine, below = slice(bounds[depth], bounds[depth + 1]), slice(bounds[depth + 1], bounds[depth + 2])
@@ -133,20 +138,28 @@ def slab_totals(k: int, base: int, levels: int) -> Callable[[pd.DataFrame], pd.D
             edges = np.searchsorted(owner, np.arange(len(sums) + 1))
             for i in np.flatnonzero(split[mine]):
                 at, target = bounds[depth] + i, int(noisy[bounds[depth] + i])
-                children = runs[bounds[depth + 1] + edges[i]:bounds[depth + 1] + edges[i + 1]]
+                under = slice(bounds[depth + 1] + edges[i], bounds[depth + 1] + edges[i + 1])
+                if open_[under].any():
+                    open_[at] = 2
+                    continue
+                children = fronts[under]
                 if 2 * sums[i] < target:
                     total[at], lead[at] = target, ALL_EXACT
                     rest = target - int(sums[i])
-                    runs[at] = [(target, 1)] if k == 1 else joined_runs([*children, [(rest, 1)] if whole[at] else [(1, rest)]])
+                    fronts[at] = ([(target, 1)], False) if k == 1 else joined_fronts(
+                        [*children, ([(rest, 1)] if whole[at] else [(1, rest)], False)], limit)
+                    continue
+                found, fronts[at] = scaled_front(joined_fronts(children, limit), int(sums[i]), target, limit, told[at])
+                if found is None:
+                    open_[at] = 1
                 else:
-                    lead[at], runs[at] = scaled_runs(joined_runs(children), int(sums[i]), target)
-                    total[at] = target if lead[at] == sums[i] else target - 1
+                    lead[at], total[at] = found, target if found == sums[i] else target - 1
             inner[mine] = np.where(split[mine], sums, inner[mine])
         top = level == 0  # only these are asked for by the slab above
         return pd.DataFrame({
             "combo": batch["combo"], "level": batch["level"], **{c: batch[c] for c in cells}, "total": total, "inner": inner,
-            "before": before, "lead": lead, "counts": [[c for c, _ in r] if t else None for r, t in zip(runs, top)],
-            "times": [[n for _, n in r] if t else None for r, t in zip(runs, top)]})
+            "before": before, "lead": lead, "open": open_, "counts": [[c for c, _ in f[0]] if t else None for f, t in zip(fronts, top)],
+            "times": [[n for _, n in f[0]] if t else None for f, t in zip(fronts, top)], "more": [f[1] for f in fronts]})
 
     return totals
 
@@ -173,26 +186,80 @@ def harvested_totals(forest: Forest, trees: Trees) -> DataFrame:
         path = F.call_function("shiftright", wide, (F.lit(base + step) - F.col("level")) * k)
         slab = members.select(*keys, "noisy", "split", "live", F.expr("true" if k == 1 else point).alias("whole"), *tops, path.alias("path"))
         if known is None:
-            slab = slab.selectExpr("*", "0L as known_total", "0L as known_inner", "0L as known_lead",
-                                   "cast(null as array<bigint>) as known_counts", "cast(null as array<bigint>) as known_times")
+            slab = slab.selectExpr("*", "0L as known_total", "0L as known_inner", "0L as known_lead", "cast(null as array<bigint>) as known_counts",
+                                   "cast(null as array<bigint>) as known_times", "false as known_more")
         else:
-            slab = slab.join(known, keys, "left").fillna(0, ["known_total", "known_inner", "known_lead"])
-        schema = ", ".join(["combo int", "level int", *[f"{c} bigint" for c in cells],
-                            "total bigint", "inner bigint", "before bigint", "lead bigint", "counts array<bigint>", "times array<bigint>"])
+            slab = slab.join(known, keys, "left").fillna(0, ["known_total", "known_inner", "known_lead"]).fillna(False, ["known_more"])
+        schema = ", ".join(["combo int", "level int", *[f"{c} bigint" for c in cells], "total bigint", "inner bigint", "before bigint",
+                            "lead bigint", "open bigint", "counts array<bigint>", "times array<bigint>", "more boolean"])
 
         # A slab has fewer than 2^(BATCH_BITS + 1) nodes; small slabs share a call.
         spread = max(1, members.count() // SLAB_BATCH + 1) if base else len(trees.combos)
         slab = slab.withColumn("batch", F.pmod(F.xxhash64("combo", *[f"t{d}" for d in range(1, k + 1)]), F.lit(spread)))
-        result = slab.groupBy("batch").applyInPandas(slab_totals(k, base, levels), schema)
-        result = forest.ws.cut(result, f"totals{k}")
+        told = None
+        while True:
+            asked = slab.withColumn("told", F.lit(None).cast("bigint")) if told is None else slab.join(told, keys, "left")
+            result = forest.ws.cut(asked.groupBy("batch").applyInPandas(slab_totals(k, base, levels, FRONT_RUNS), schema), f"totals{k}")
+            undecided = result.where("open = 1")
+            if undecided.isEmpty():
+                break
+            # The lowest undecided nodes learn from all their buckets; then those above them can be told.
+            settled = reduce(DataFrame.unionByName, [*parts, result.where("open = 0")])
+            more = forest.ws.cut(exact_leads(forest, trees, nodes.join(settled.drop("counts", "times", "more", "open"), keys), undecided), f"leads{k}")
+            told = more if told is None else told.unionByName(more)
         # The lowest branches of the slab above learn here what their children yield.
         known = result.where(F.col("level") == base).select(
-            *keys, *[F.col(c).alias(f"known_{c}") for c in ("total", "inner", "lead", "counts", "times")])
+            *keys, *[F.col(c).alias(f"known_{c}") for c in ("total", "inner", "lead", "counts", "times", "more")])
         parts.append(result.where(F.col("level") > base) if base else result)
-    totals = parts[0]
-    for part in parts[1:]:
-        totals = totals.unionByName(part)
-    return nodes.join(totals.drop("counts", "times"), keys)
+    totals = reduce(DataFrame.unionByName, parts)
+    return nodes.join(totals.drop("counts", "times", "more", "open"), keys)
+
+
+def exact_leads(forest: Forest, trees: Trees, nodes: DataFrame, undecided: DataFrame) -> DataFrame:
+    """(combo, level, cells, told): where the first bucket of each undecided node begins that does not scale exactly.
+
+    ``nodes`` are settled below the undecided ones. Every bucket is mapped to the
+    level below its undecided ancestor and tested there; the answer is a minimum,
+    so no task sees all buckets of a node.
+    """
+    k, cells = trees.k, cell_names(trees.k)
+    keys = ["combo", "level", *cells]
+    levels = [r["level"] for r in undecided.select("level").distinct().collect()]  # at most those of a batch
+    asked = undecided.select("combo", F.col("level").alias("at_level"), *[F.col(c).alias(f"at_{c}") for c in cells], "inner").join(
+        nodes_targets(trees).withColumnsRenamed({c: f"at_{c}" for c in ("level", *cells)}), ["combo", "at_level", *[f"at_{c}" for c in cells]])
+    bearers = bucket_bearers(with_chains(forest, trees, nodes, nodes), k)
+    under = bearers.withColumn("at_level", F.explode(F.array(*[F.lit(x) for x in levels]))).where("level > at_level")
+    under = forest.with_cells(under, k, trees.combos, F.col("at_level"), "at_c")
+    under = under.join(asked.withColumnRenamed("inner", "at_inner"), ["combo", "at_level", *[f"at_{c}" for c in cells]])
+    if k > 1:
+        point = " and ".join(f"mn{d} = mx{d}" for d in range(1, k + 1))
+        units = expand_counts(under.where(f"not ({point})"), keys, "first", "end", "at").withColumn("first", F.col("at"))
+        units = units.withColumn("end", F.col("at") + 1).drop("at")
+        under = under.where(point).unionByName(units)
+    steps = F.col("level") - F.col("at_level") - 1
+    inside = F.when(steps == 0, F.col("before")).otherwise(F.get("chain", steps - 1)["before"])
+    below = F.col("at_level") + 1
+    placed = under.withColumn("start", interval_at(F.col("first"), below) + inside).withColumn(
+        "count", interval_at(F.col("end"), below) + inside - F.col("start"))
+    bad = F.expr("(cast(count as decimal(19,0)) * target) % at_inner <> 0")
+    told = placed.groupBy("combo", "at_level", *[f"at_{c}" for c in cells]).agg(
+        F.coalesce(F.min(F.when(bad, F.col("start"))), F.max("at_inner")).alias("told"))
+    return told.select("combo", F.col("at_level").alias("level"), *[F.col(f"at_{c}").alias(c) for c in cells], "told")
+
+
+def nodes_targets(trees: Trees) -> DataFrame:
+    return trees.nodes.select("combo", "level", *cell_names(trees.k), F.col("noisy").alias("target"))
+
+
+def bucket_bearers(nodes: DataFrame, k: int) -> DataFrame:
+    """Nodes with buckets of their own: leaves that are shown, and branches whose children yield less than half.
+
+    ``first`` and ``end`` are the running counts of these buckets inside the node.
+    """
+    gap = F.expr("split and 2 * inner < noisy")
+    own = nodes.where(F.expr("(not split and live)") | gap)
+    first = F.when(gap, F.col("inner")).otherwise(F.lit(0).cast("bigint")) if k > 1 else F.lit(0).cast("bigint")
+    return own.withColumn("first", first).withColumn("end", F.col("noisy"))
 
 
 # -- intervals ------------------------------------------------------------------
@@ -264,10 +331,7 @@ class Harvest:
     def _harvest(self, trees: Trees) -> DataFrame:
         k = trees.k
         nodes = self.ws.cut(harvested_totals(self.forest, trees), f"harvest{k}")
-        gap = F.expr("split and 2 * inner < noisy")
-        bearers = nodes.where(F.expr("(not split and live)") | gap)
-        first = F.when(gap, F.col("inner")).otherwise(F.lit(0).cast("bigint")) if k > 1 else F.lit(0).cast("bigint")
-        bearers = bearers.withColumn("first", first).withColumn("end", F.col("noisy"))
+        bearers = bucket_bearers(nodes, k)
         bearers = self.forest.with_ranges(with_chains(self.forest, trees, bearers, nodes), k, trees.combos)
         ranges = [f"{n}{d}" for d in range(1, k + 1) for n in ("lo", "hi")]
         columns = ["combo", "level", *cell_names(k), *least_names(k), *ranges, "first", "end", "before", "chain"]

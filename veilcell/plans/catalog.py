@@ -21,6 +21,7 @@ from .synthesis import Synthesizer, synthesize, synthesize_for_target
 
 SALT = "demo-salt"
 CONFIG = SynthConfig(salt=SALT, table_name="demo")
+BLOCKS = replace(CONFIG, low_threshold=61, low_layer_sd=0.0, low_mean_gap=0.0, noise_sd=0.0)
 SOFT = replace(CONFIG, low_layer_sd=0.5, low_mean_gap=1.0)
 
 # Fixed plan for the quality query: (cluster, columns).
@@ -297,6 +298,19 @@ def harvest_1d(spark, folder):
     return inspection.bucket_table(harvest.Harvest(forest), (0,)).select("level", "c1", "lo1", "hi1", "count")
 
 
+def harvest_fronts(spark, folder):
+    """Buckets of blocks of 3,780 orders: 40 values with 124 and 62 orders by turns beside a weak one with 60.
+
+    Every block scales from 3,720 to 3,780 orders exactly, bucket for bucket.
+    """
+    place = F.expr("o_orderkey % 3780")
+    value = F.when(place < 3720, F.expr("o_orderkey % 3780 div 186 * 2 + int(o_orderkey % 3780 % 186 >= 124)")).otherwise(F.lit(64))
+    orders = load(spark, folder, "orders").select("o_orderkey", (F.expr("o_orderkey div 3780 * 128") + value).cast("double").alias("x"))
+    ws = Workspace(spark)
+    forest = Forest(ws, encoding.encode_table(ws, orders, ["x"], ["o_orderkey"], BLOCKS, unique_ids=True), BLOCKS)
+    return inspection.bucket_table(harvest.Harvest(forest), (0,)).select("level", "c1", "lo1", "hi1", "count")
+
+
 def node_totals_2d(spark, folder):
     """Rows every node of a two-column tree yields, what its children yield, and its offset in its parent."""
     forest = _order_forest(spark, folder, ["o_totalprice", "o_custkey"])
@@ -469,7 +483,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     value_parsing, seed_texts, noise_values, row_limits, rounding, range_tests, text_ranges, numeric_codes,
     decoded_fields, string_codes, root_ranges, cell_counts, content_digests, csv_texts, csv_round_trip, csv_inferred,
     entity_counts, low_count_groups, noisy_unique_counts, entity_contributions, flattened_counts, private_groups,
-    tree_nodes_1d, tree_nodes_2d, tree_nodes_by_entity, tree_nodes_far, tree_nodes_fine, root_facts, harvest_1d, node_totals_2d, refined_buckets, inspected_nodes,
+    tree_nodes_1d, tree_nodes_2d, tree_nodes_by_entity, tree_nodes_far, tree_nodes_fine, root_facts, harvest_1d, harvest_fronts, node_totals_2d, refined_buckets, inspected_nodes,
     synthetic_rows, column_entropies, pair_dependence, total_dependences, plan_quality, sampled_rows, dependence_report,
     cluster_search, feature_ranking, column_roles, complete_rows, patch_join, stitch_join, stitch_bin_sizes, synthesize_single, synthesize_events,
     synthesize_manual, synthesize_independent, synthesize_target)}

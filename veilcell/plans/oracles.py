@@ -7,7 +7,7 @@ from math import pi
 from ..config import SynthConfig
 from ..functions.hashing import text_seed
 from ..operators.cells import combo_seed
-from .catalog import CONFIG, MEASURES, QUALITY_PLAN, SALT
+from .catalog import BLOCKS, CONFIG, MEASURES, QUALITY_PLAN, SALT
 
 LEVELS = 26  # deeper than any tree of the order and event columns
 
@@ -50,8 +50,8 @@ def strength(n: str, seed: str, config: SynthConfig = CONFIG) -> str:
     return f"({n} - greatest(0e0, {config.low_layer_sd}::double * ({config.low_mean_gap}::double + {noise})))"
 
 
-def noisy_unique(n: str, seed: str, bucket: str) -> str:
-    total = f"({n} + ({layer(bucket, 'noise')} + {layer(seed, 'noise')}) * 1e0)"
+def noisy_unique(n: str, seed: str, bucket: str, config: SynthConfig = CONFIG) -> str:
+    total = f"({n} + ({layer(bucket, 'noise')} + {layer(seed, 'noise')}) * {config.noise_sd}::double)"
     return round_away(total)
 
 
@@ -204,7 +204,7 @@ def tree_ctes(name: str, table: str, column: str, ident: str, p: str, config: Sy
                size, case when mn = mx then mn else lo + cell * size / pow(2e0, level) end as rlo,
                case when mn = mx then mx else lo + (cell + 1) * size / pow(2e0, level) end as rhi
              from {p}sub, {p}out)),
-    {p}counted as materialized (select *, greatest({noisy_unique('n', 's', f"xor({seed}, {h(label('mid', 'size'))})")}, {low}) as noisy from {p}nodes)"""
+    {p}counted as materialized (select *, greatest({noisy_unique('n', 's', f"xor({seed}, {h(label('mid', 'size'))})", config)}, {low}) as noisy from {p}nodes)"""
 
 
 def exact_label(v: str) -> str:
@@ -319,9 +319,9 @@ def rescaled_buckets(buckets: str, node: str, order: str) -> str:
           select *, (sum(n) over (partition by {node} order by {order}))::bigint as p1 from {buckets}))"""
 
 
-def harvest_ctes() -> str:
+def harvest_ctes(tree: str | None = None, config: SynthConfig = CONFIG) -> str:
     """CTEs b<level>: bucket lists of all nodes, from the deepest level up to the root."""
-    ctes = [order_tree()]
+    ctes = [tree or order_tree()]
     ctes.append(f"b{LEVELS + 1} as (select 0::bigint as cell, 0 as blevel, 0::bigint as bcell, 0::bigint as ord, 0::bigint as n where false)")
     for lv in range(LEVELS, -1, -1):
         ctes.append(f"""below{lv} as materialized (select cell >> 1 as cell, blevel, bcell, ord, n from b{lv + 1})""")
@@ -330,13 +330,13 @@ def harvest_ctes() -> str:
           from counted c left join sums{lv} k on c.cell = k.cell where c.level = {lv})""")
         ctes.append(f"""kids{lv} as (select b.*, h.s, h.t from below{lv} b join here{lv} h on b.cell = h.cell where split and 2 * h.s >= h.t)""")
         ctes.append(f"""b{lv} as materialized (select cell, {lv} as blevel, cell as bcell, cell << {LEVELS - lv} as ord, t::bigint as n from here{lv}
-            where (not split and strength >= {CONFIG.low_threshold}) or (split and 2 * s < t)
+            where (not split and strength >= {config.low_threshold}) or (split and 2 * s < t)
           union all select cell, blevel, bcell, ord, n from ({rescaled_buckets(f'kids{lv}', 'cell', 'ord')}) where n > 0)""")
     return ",\n".join(ctes)
 
 
-def harvest_sql() -> str:
-    return (f"with {harvest_ctes()}" + """
+def harvest_sql(tree: str | None = None, config: SynthConfig = CONFIG) -> str:
+    return (f"with {harvest_ctes(tree, config)}" + """
       select b.blevel as level, b.bcell as c1, c.rlo as lo1, c.rhi as hi1, b.n as count
       from b0 b join counted c on c.level = b.blevel and c.cell = b.bcell""")
 
@@ -561,6 +561,9 @@ def oracle_queries() -> dict[str, str]:
           from main.orders), {tree_2d(("o_totalprice", "o_orderstatus"))}
       select level, c1, c2, {bounds}, stub, split, noisy as noisy_count from dnodes, xroot, yroot"""
     out["harvest_1d"] = harvest_sql()
+    block = ("(select o_orderkey, o_orderkey // 3780 * 128 + case when o_orderkey % 3780 < 3720 then o_orderkey % 3780 // 186 * 2 "
+             "+ (o_orderkey % 3780 % 186 >= 124)::int else 64 end as x from orders)")
+    out["harvest_fronts"] = harvest_sql(tree_ctes("x", block, "x", "o_orderkey", "", BLOCKS), BLOCKS)
     out["synthesize_single"] = single_sql()
     out["column_entropies"] = f"""with {order_tree()},
         e as (select sum(-(noisy / total) * log2(noisy / total)) as entropy from (select noisy::double as noisy,
