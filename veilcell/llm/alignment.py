@@ -24,7 +24,7 @@ from ..workspace import Workspace
 from .texts import mix, slices
 from .tokens import _byte_letters, _tokenizer
 
-SLICE = 1 << 20  # bytes of text tokenised at once
+SLICE = 2 << 20  # bytes of text tokenised at once
 REMEMBERED = 200_000  # windows that a task keeps, half of them older ones
 WINDOW_TOKENS = 64  # longer windows are not kept
 BROADCAST_PAIRS = 1_000_000
@@ -130,7 +130,14 @@ class Vocabulary:
         return ends[stops - 1], stops
 
 
-Window = tuple[str, tuple[int, ...]]  # groups as text, links as a * 2^32 + b
+Window = tuple[str, list[int]]  # groups as text, links as a * 2^32 + b
+
+
+def shared(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in both of the numbers they share; both rise and end alike."""
+    at = np.searchsorted(ends_b, ends_a)
+    same = ends_b[at] == ends_a
+    return np.flatnonzero(same), at[same]
 
 
 class Aligner:
@@ -138,51 +145,46 @@ class Aligner:
 
     def __init__(self, a: Vocabulary, b: Vocabulary, remembered: int = REMEMBERED):
         self.a, self.b, self.half = a, b, max(1, remembered // 2)
-        self.lengths = a.lengths.tolist(), b.lengths.tolist()
-        self.names = list(map(str, range(max(len(a.entries), len(b.entries)))))
+        names = [str(i) for i in range(max(len(a.entries), len(b.entries)))]
+        self.names = np.array([[n + after for n in names] for after in ",|;\n"], object)
         self.windows: dict[tuple[bytes, bytes], Window] = {}
         self.older: dict[tuple[bytes, bytes], Window] = {}
 
-    def window(self, a: Sequence[int], b: Sequence[int]) -> Window:
-        """The groups of one window as text, and the pairs of tokens that end together, one for each group.
+    def aligned(self, windows: Sequence[tuple[bytes, bytes]]) -> list[Window]:
+        """Groups and links of windows given by their token ids: one link for each group, between its last tokens.
 
         Tokens are never empty, so no two of one side end at the same byte.
         """
-        (in_a, in_b), names = self.lengths, self.names
-        if len(a) == 1 or len(b) == 1:
-            return f"{','.join([names[t] for t in a])}|{','.join([names[t] for t in b])}", ((a[-1] << 32) + b[-1],)
-        groups, links, x, y, i, j = [], [], 0, 0, 1, 1
-        end_a, end_b = in_a[a[0]], in_b[b[0]]
-        while True:
-            if end_a < end_b:
-                end_a += in_a[a[i]]
-                i += 1
-            elif end_b < end_a:
-                end_b += in_b[b[j]]
-                j += 1
-            else:
-                left = names[a[x]] if i - x == 1 else ",".join([names[t] for t in a[x:i]])
-                right = names[b[y]] if j - y == 1 else ",".join([names[t] for t in b[y:j]])
-                groups.append(left + "|" + right)
-                links.append((a[i - 1] << 32) + b[j - 1])
-                if i == len(a):
-                    return ";".join(groups), tuple(links)
-                x, y = i, j
-                end_a += in_a[a[i]]
-                end_b += in_b[b[j]]
-                i += 1
-                j += 1
-
-    def _known(self, a: np.ndarray, b: np.ndarray) -> Window:
-        key = (a.tobytes(), b.tobytes())
-        got = self.windows.get(key)
-        if got is None:
-            got = self.older.get(key) or self.window(a.tolist(), b.tolist())
-            if len(a) + len(b) <= WINDOW_TOKENS:
+        a, b = (np.frombuffer(b"".join([w[side] for w in windows]), np.int32).astype(np.int64) for side in (0, 1))
+        last_a, last_b = shared(np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b]))
+        after = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        after[0][last_a], after[1][last_b] = 1, 2
+        after[1][np.cumsum([len(w[1]) // 4 for w in windows]) - 1] = 3
+        sizes = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        begins = np.cumsum(sizes[0] + sizes[1]) - sizes[0] - sizes[1]
+        told = np.empty(len(a) + len(b), object)
+        for ids, mark, size, last, first in ((a, after[0], sizes[0], last_a, begins), (b, after[1], sizes[1], last_b, begins + sizes[0])):
+            told[np.arange(len(ids)) + np.repeat(first - (last - size + 1), size)] = self.names[mark, ids]
+        links = ((a[last_a] << 32) + b[last_b]).tolist()
+        stops = np.searchsorted(last_a, np.cumsum([len(w[0]) // 4 for w in windows])).tolist()
+        texts = "".join(told.tolist()).split("\n")
+        return [(text, links[x:y]) for text, x, y in zip(texts, [0, *stops[:-1]], stops)]
+
+    def _known(self, keys: Sequence[tuple[bytes, bytes]]) -> list[Window]:
+        found = list(map(self.windows.get, keys))
+        missing = [i for i, w in enumerate(found) if w is None]
+        for i in missing:
+            found[i] = self.older.get(keys[i])
+        new = [i for i in missing if found[i] is None]
+        if new:
+            for i, w in zip(new, self.aligned([keys[i] for i in new]), strict=True):
+                found[i] = w
+        for i in missing:
+            if len(keys[i][0]) + len(keys[i][1]) <= 4 * WINDOW_TOKENS:
                 if len(self.windows) >= self.half:
                     self.windows, self.older = {}, self.windows
-                self.windows[key] = got
-        return got
+                self.windows[keys[i]] = found[i]
+        return found
 
     def texts(self, a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> list[tuple[str, np.ndarray]]:
         """Groups and links of texts, each given by two token lists that spell the same bytes and begin with a space.
@@ -193,20 +195,20 @@ class Aligner:
         sizes = np.cumsum([len(x) for x in a])
         all_a, all_b = np.concatenate(a).astype(np.int32, copy=False), np.concatenate(b).astype(np.int32, copy=False)
         (offsets_a, stops_a), (offsets_b, stops_b) = self.a.anchors(all_a), self.b.anchors(all_b)
-        _, in_a, in_b = np.intersect1d(offsets_a, offsets_b, assume_unique=True, return_indices=True)
-        sides = [Side(ids, stops) for ids, stops in ((all_a, stops_a[in_a]), (all_b, stops_b[in_b]))]
+        in_a, in_b = shared(offsets_a, offsets_b)
+        one, other = (Side(ids, stops) for ids, stops in ((all_a, stops_a[in_a]), (all_b, stops_b[in_b])))
         with np.errstate(over="ignore"):
-            names = mix(sides[0].names * np.uint64(0x9E3779B97F4A7C15) + sides[1].names)
+            names = mix(one.names * np.uint64(0x9E3779B97F4A7C15) + other.names)
         _, first, kind = np.unique(names, return_index=True, return_inverse=True)
-        if not all(side.same_as(first[kind]) for side in sides):  # two windows of one name
+        if not one.same_as(first[kind]) or not other.same_as(first[kind]):  # two windows of one name
             first = kind = np.arange(len(names))
-        found = [self._known(*[side.ids[side.starts[w]:side.stops[w]] for side in sides]) for w in first.tolist()]
+        found = self._known(list(zip(one.parts(first), other.parts(first), strict=True)))
         groups = np.array([g for g, _ in found] + [None], object)[:-1][kind].tolist()
         many = np.array([len(links) for _, links in found], np.int64)
         flat = np.fromiter(chain.from_iterable([links for _, links in found]), np.int64, int(many.sum()))
         begins, times = (np.cumsum(many) - many)[kind], many[kind]
         links = flat[np.repeat(begins - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
-        last = np.searchsorted(sides[0].stops, sizes, side="right")  # windows up to the end of each text
+        last = np.searchsorted(one.stops, sizes, side="right")  # windows up to the end of each text
         upto = np.append(0, np.cumsum(times))
         return [(";".join(groups[x:y]), links[upto[x]:upto[y]]) for x, y in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)]
 
@@ -222,6 +224,11 @@ class Side:
             mixed = mix(ids.astype(np.uint64) + self.place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
             self.names = mix(np.add.reduceat(mixed, self.starts) + self.sizes.astype(np.uint64))
 
+    def parts(self, some: np.ndarray) -> list[bytes]:
+        """The ids of some windows, as bytes."""
+        data = self.ids.tobytes()
+        return [data[x:y] for x, y in zip((4 * self.starts[some]).tolist(), (4 * self.stops[some]).tolist())]
+
     def same_as(self, other: np.ndarray) -> bool:
         """Whether every window holds the same ids as the window ``other`` names for it."""
         return bool((self.sizes == self.sizes[other]).all()
