@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SynthConfig
-from ..functions.geometry import (EXACT_CELLS, cell_bounds, cell_number, cells_from_zero, child_code, column_combinations,
+from ..functions.geometry import (EXACT_CELLS, cell_bounds, cell_number, cell_width, cells_from_zero, child_code, column_combinations,
                                   exact_label, parent_cell, shared_levels)
 from ..functions.hashing import combine_texts, noisy_row_limit, text_seed
 from ..workspace import Workspace
@@ -67,6 +67,12 @@ def zero() -> Column:
     return F.lit(0).cast("bigint")
 
 
+def by_combo(values: Sequence) -> Column:
+    """The value of each row's subset: literals, or columns that depend on no row."""
+    columns = [v if isinstance(v, Column) else F.lit(v) for v in values]
+    return F.get(F.array(*columns), F.col("combo")) if len(columns) > 1 else columns[0]
+
+
 def conj(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
@@ -122,11 +128,6 @@ class Forest:
 
     # -- node keys and ranges -------------------------------------------------
 
-    def per_combo(self, k: int, combos: Sequence[tuple[int, ...]], value) -> Column:
-        """Constant per (combo, dimension) as an array column indexed by dimension."""
-        rows = [F.array(*[F.lit(value(c)) for c in combo]) for combo in combos]
-        return F.element_at(F.array(*rows), F.col("combo") + 1) if len(rows) > 1 else rows[0]
-
     def with_ranges(self, nodes: DataFrame, k: int, combos: Sequence[tuple[int, ...]]) -> DataFrame:
         """Adds bucket ranges lo1, hi1, ..: the value itself where a dimension has one value, else the cell."""
         for d in range(1, k + 1):
@@ -144,7 +145,8 @@ class Forest:
         return F.when(exact, start).otherwise(F.col(f"mn{d}")), F.when(exact, end).otherwise(F.col(f"mx{d}"))
 
     def roots_of(self, k: int, combos: Sequence[tuple[int, ...]], d: int, field: str) -> Column:
-        return self.per_combo(k, combos, lambda c: getattr(self.roots[c], field))[d - 1]
+        """A number of the root of dimension ``d``, which depends on the subset."""
+        return by_combo([getattr(self.roots[combo[d - 1]], field) for combo in combos])
 
     def inside(self, k: int, combos: Sequence[tuple[int, ...]], d: int, value: str) -> Column:
         """A value of dimension ``d``, moved to the nearest end where it lies outside the root."""
@@ -330,7 +332,7 @@ class Forest:
         above = (Window.partitionBy("combo", *[f"t{d}" for d in dims]).orderBy("level")
                  .rowsBetween(Window.unboundedPreceding, -1))
         kept = flagged.withColumn("__open", F.coalesce(F.min("split").over(above), F.lit(True))).where("__open")
-        return self._with_noise(k, combos, kept.drop("__open", *[f"t{d}" for d in dims]))
+        return self._with_noise(k, combos, kept.drop("__open", *[f"t{d}" for d in dims]), ahead)
 
     def _by_kind(self, rows: DataFrame) -> DataFrame:
         kinds = self.data.id_kinds
@@ -364,7 +366,7 @@ class Forest:
         if k == 1:
             limits = [noisy_row_limit(F.lit(combo_seed(cfg, [self.data.columns[c].name])), F.lit(self.data.n_rows),
                                       cfg.depth_row_fraction, cfg.salt or "") for (c,) in combos]
-            limit = F.element_at(F.array(*limits), F.col("combo") + 1)
+            limit = by_combo(limits)
             deep_enough = (F.col("level") <= cfg.depth_threshold) | (F.col("rows") - 1 >= limit)
             return stats.withColumn("stub", F.lit(False)).withColumn("split", may_split & deep_enough)
         stubs = self._stubs(k, combos, stats.where(F.col("strength") >= cfg.low_threshold))
@@ -387,12 +389,12 @@ class Forest:
                  .rowsBetween(Window.unboundedPreceding, -1))
         reach = F.coalesce(F.max("__closed").over(above), F.lit(0).cast("bigint"))
         kept = coded.withColumn("__reach", reach).where(F.col("__reach") <= F.col("__start"))
-        return self._with_noise(k, combos, kept.drop("__start", "__closed", "__reach", *[f"{n}{d}" for d in dims for n in "tp"]))
+        return self._with_noise(k, combos, kept.drop("__start", "__closed", "__reach", *[f"{n}{d}" for d in dims for n in "tp"]), base + levels)
 
-    def _with_noise(self, k: int, combos: Sequence[tuple[int, ...]], nodes: DataFrame) -> DataFrame:
+    def _with_noise(self, k: int, combos: Sequence[tuple[int, ...]], nodes: DataFrame, depth: int) -> DataFrame:
         if k == 1 or not self.data.unique_ids:  # counted later, on the flattened tree or per entity
             return nodes
-        return nodes.withColumn("noisy", self._unique_noisy(k, combos, nodes))
+        return self._with_unique_noise(nodes, k, combos, depth)
 
     def _stubs(self, k: int, combos: Sequence[tuple[int, ...]], nodes: DataFrame) -> DataFrame:
         """stub = every subnode is missing, a stub itself, or too weak to be refined further."""
@@ -416,7 +418,7 @@ class Forest:
             subs = [F.lit(ids[tuple(c for d, c in enumerate(combo, 1) if d != omit)]) for combo in combos]
             kept = [d for d in range(1, k + 1) if d != omit]
             parts.append(F.struct(F.lit(slot).alias("slot"),
-                                  F.element_at(F.array(*subs), F.col("combo") + 1).alias("sub_combo"),
+                                  by_combo(subs).alias("sub_combo"),
                                   *[F.col(f"c{d}").alias(f"s{i}") for i, d in enumerate(kept, 1)]))
         return nodes.select("*", F.inline(F.array(*parts)))
 
@@ -481,7 +483,7 @@ class Forest:
                 weak_rows = marked.where("mark <> 'root'").withColumnRenamed("mark", "end")
                 outliers = self._entity_rows(1).join(F.broadcast(weak_rows), ["combo", "level", "c1"])
         if self.data.unique_ids:
-            rebased = rebased.withColumn("noisy", self._unique_noisy(1, trees.combos, rebased))
+            rebased = self._with_unique_noise(rebased, 1, trees.combos, trees.depth)
         rebased = self.ws.cut(rebased, "nodes1")
         depth = rebased.agg(F.max("level")).first()[0]
         flat = replace(trees, nodes=rebased, depth=depth)
@@ -494,7 +496,7 @@ class Forest:
     def _below_roots(self, nodes: DataFrame, before: Sequence[Root]) -> DataFrame:
         """Nodes under the roots that were moved down, with levels counted from there."""
         top_level = self.per_column(lambda r: r.level)
-        size = F.element_at(F.array(*[F.lit(r.size) for r in before]), F.col("combo") + 1)
+        size = by_combo([r.size for r in before])
         depth_in = F.col("level") - top_level
         top = cell_number(F.col("mn1"), cells_from_zero(F.col("mn1"), size, top_level), top_level)
         inside = nodes.where((depth_in >= 0) & (top == self.per_column(lambda r: r.cell).cast("bigint")))
@@ -517,7 +519,7 @@ class Forest:
         """Adds outlying rows to the nodes on the left or right edge: those holding the end value of the root."""
         def constant(mark: str, field: str) -> Column:
             values = [facts[(c.index, mark)][field] if (c.index, mark) in facts else 0 for c in self.data.columns]
-            return F.element_at(F.array(*[F.lit(v).cast("bigint") for v in values]), F.col("combo") + 1)
+            return by_combo([F.lit(v).cast("bigint") for v in values])
 
         ends = {"low": self.per_column(lambda r: r.amin), "high": self.per_column(lambda r: r.amax)}
         touches = {"low": F.col("mn1") == ends["low"], "high": F.col("mx1") == ends["high"]}
@@ -530,31 +532,37 @@ class Forest:
         return out.withColumn("strength", self._strength("n", "s"))
 
     def per_column(self, value) -> Column:
-        return F.element_at(F.array(*[F.lit(value(r)) for r in self.roots]), F.col("combo") + 1)
+        return by_combo([value(r) for r in self.roots])
 
     # -- noisy row counts -----------------------------------------------------
 
-    def bucket_seed(self, k: int, combos: Sequence[tuple[int, ...]], nodes: DataFrame) -> Column:
-        """Tree seed plus the distinct midpoint labels of the node.
+    def with_bucket_seed(self, nodes: DataFrame, k: int, combos: Sequence[tuple[int, ...]], depth: int) -> DataFrame:
+        """Adds ``bucket``: tree seed plus the distinct midpoint labels of the node.
 
         A midpoint is written in units of 2^-40 root sizes: an exact integer, so
-        no floating-point text enters the seed. Deeper ones have their own exponent.
+        no floating-point text enters the seed. Deeper ones, which only trees of
+        more than ``LABEL_LEVELS`` levels have, get an exponent of their own.
         """
+        dims = range(1, k + 1)
+        sizes = {d: self.roots_of(k, combos, d, "size") for d in dims}
+        nodes = nodes.withColumns({f"__w{d}": cell_width(sizes[d], F.col("level")) for d in dims})
+        middle = {d: F.when(F.col("level") == 0, self.roots_of(k, combos, d, "lo")).otherwise(F.col(f"c{d}") * F.col(f"__w{d}")) + F.col(f"__w{d}") / 2
+                  for d in dims}
+        single = {d: (F.col(f"mn{d}") == F.col(f"mx{d}")) | (F.abs(F.col(f"c{d}")) > int(EXACT_CELLS)) for d in dims}
+        nodes = nodes.withColumns({f"__m{d}": F.when(single[d], F.col(f"mn{d}")).otherwise(middle[d]) for d in dims})
+        texts = {d: midpoint_label(F.col(f"__m{d}"), sizes[d]) for d in dims}
+        if depth > LABEL_LEVELS:
+            texts = {d: F.when(F.col("level") > LABEL_LEVELS, exact_label(F.col(f"__m{d}"))).otherwise(texts[d]) for d in dims}
+        nodes = nodes.withColumns({f"__t{d}": texts[d] for d in dims})
         names = [c.name for c in self.data.columns]
-        seeds = [F.lit(combo_seed(self.config, [names[c] for c in combo])) for combo in combos]
-        seed = F.element_at(F.array(*seeds), F.col("combo") + 1)
-        labels = []
-        for d in range(1, k + 1):
-            start, end = self.bounds(k, combos, d)
-            mid = F.when(F.col(f"mn{d}") == F.col(f"mx{d}"), F.col(f"mn{d}")).otherwise((start + end) / 2)
-            deep = F.col("level") > LABEL_LEVELS
-            labels.append(F.when(deep, exact_label(mid)).otherwise(midpoint_label(mid, self.roots_of(k, combos, d, "size"))))
-        return combine_texts(seed, labels)
+        seed = by_combo([combo_seed(self.config, [names[c] for c in combo]) for combo in combos])
+        seeded = nodes.withColumn("bucket", combine_texts(seed, [F.col(f"__t{d}") for d in dims]))
+        return seeded.drop(*[f"__{n}{d}" for n in "wmt" for d in dims])
 
-    def _unique_noisy(self, k: int, combos: Sequence[tuple[int, ...]], nodes: DataFrame) -> Column:
-        seed = self.bucket_seed(k, combos, nodes)
-        noisy = noisy_unique_count(F.col("n0"), self._set_seed("n0", "s0"), seed, self.config)
-        return F.greatest(noisy, F.lit(self.config.low_threshold).cast("bigint"))
+    def _with_unique_noise(self, nodes: DataFrame, k: int, combos: Sequence[tuple[int, ...]], depth: int) -> DataFrame:
+        nodes = self.with_bucket_seed(nodes, k, combos, depth)
+        noisy = noisy_unique_count(F.col("n0"), self._set_seed("n0", "s0"), F.col("bucket"), self.config)
+        return nodes.withColumn("noisy", F.greatest(noisy, F.lit(self.config.low_threshold).cast("bigint"))).drop("bucket")
 
     def _count_rows(self, trees: Trees) -> Trees:
         """Flattened noisy row counts of every node for tables with repeating entities.
@@ -579,7 +587,8 @@ class Forest:
         heavy = heaviest(contributions, keys, self.config)
         spans = [f"{n}{d}" for d in range(1, k + 1) for n in ("mn", "mx")]
         totals = totals.join(heavy, [*keys, "kind"], "left").join(nodes.select(*keys, *spans), keys)
-        per_kind = flattened(totals, self.bucket_seed(k, combos, totals), self.config)
+        totals = self.with_bucket_seed(totals, k, combos, trees.depth)
+        per_kind = flattened(totals, F.col("bucket"), self.config)
         counted = combined_count(per_kind, keys).select(
             *keys, F.greatest(F.col("noisy_count"), F.lit(self.config.low_threshold).cast("bigint")).alias("noisy"))
         if k == 1:

@@ -26,6 +26,8 @@ SOFT = replace(CONFIG, low_layer_sd=0.5, low_mean_gap=1.0)
 
 # Fixed plan for the quality query: (cluster, columns).
 QUALITY_PLAN = ([0, 2], [([0], [1, 3])])
+THREE_COLUMNS = ("o_totalprice", "o_custkey", "o_orderstatus")
+FOUR_COLUMNS = ("o_orderstatus", "o_orderpriority", "o_totalprice", "o_custkey")
 MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
@@ -261,6 +263,25 @@ def tree_nodes_2d(spark, folder):
         F.col("noisy").alias("noisy_count"))
 
 
+def _tree_nodes(spark, folder, columns):
+    """Nodes of the tree over all of these columns; the trees of their subsets are grown on the way."""
+    k = len(columns)
+    forest = _order_forest(spark, folder, list(columns))
+    forest.grow_for([range(k)])
+    dims = range(1, k + 1)
+    return forest.trees[k].nodes.select("level", *[f"c{d}" for d in dims], "rows", *[f"{n}{d}" for d in dims for n in ("mn", "mx")],
+                                        F.expr("strength >= 3 and stub").alias("stub"), "split", *[f"half{d}" for d in dims],
+                                        F.col("noisy").alias("noisy_count"))
+
+
+def tree_nodes_3d(spark, folder):
+    return _tree_nodes(spark, folder, THREE_COLUMNS)
+
+
+def tree_nodes_4d(spark, folder):
+    return _tree_nodes(spark, folder, FOUR_COLUMNS)
+
+
 def tree_nodes_by_entity(spark, folder):
     ws = Workspace(spark)
     data = encoding.encode_table(ws, load(spark, folder, "events"), ["value"], ["user_id"], CONFIG)
@@ -483,7 +504,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     value_parsing, seed_texts, noise_values, row_limits, rounding, range_tests, text_ranges, numeric_codes,
     decoded_fields, string_codes, root_ranges, cell_counts, content_digests, csv_texts, csv_round_trip, csv_inferred,
     entity_counts, low_count_groups, noisy_unique_counts, entity_contributions, flattened_counts, private_groups,
-    tree_nodes_1d, tree_nodes_2d, tree_nodes_by_entity, tree_nodes_far, tree_nodes_fine, root_facts, harvest_1d, harvest_fronts, node_totals_2d, refined_buckets, inspected_nodes,
+    tree_nodes_1d, tree_nodes_2d, tree_nodes_3d, tree_nodes_4d, tree_nodes_by_entity, tree_nodes_far, tree_nodes_fine, root_facts, harvest_1d, harvest_fronts, node_totals_2d, refined_buckets, inspected_nodes,
     synthetic_rows, column_entropies, pair_dependence, total_dependences, plan_quality, sampled_rows, dependence_report,
     cluster_search, feature_ranking, column_roles, complete_rows, patch_join, stitch_join, stitch_bin_sizes, synthesize_single, synthesize_events,
     synthesize_manual, synthesize_independent, synthesize_target)}

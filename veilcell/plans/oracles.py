@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
 from math import pi
 
 from ..config import SynthConfig
 from ..functions.hashing import text_seed
 from ..operators.cells import combo_seed
-from .catalog import BLOCKS, CONFIG, MEASURES, QUALITY_PLAN, SALT
+from .catalog import BLOCKS, CONFIG, FOUR_COLUMNS, MEASURES, QUALITY_PLAN, SALT, THREE_COLUMNS
 
 LEVELS = 26  # deeper than any tree of the order and event columns
 
@@ -306,6 +307,77 @@ def tree_2d(columns: tuple[str, str] = ("o_totalprice", "o_custkey")) -> str:
         greatest({noisy_unique('n', 's', bucket)}, {cfg.low_threshold}) as noisy from dmid)"""
 
 
+def subset_tree(name: str, subset: tuple[int, ...], columns: tuple[str, ...], levels: int) -> list[str]:
+    """CTEs of the tree over some columns of orders, level by level; ``name`` holds its nodes.
+
+    Trees of one column fewer are there already, as n<columns>.
+    """
+    cfg, k = CONFIG, len(subset)
+    dims = range(1, k + 1)
+
+    def cell(c: int, level: str) -> str:
+        return (f"greatest(0, least(floor(({columns[c]}::double - x{c}root.lo) / x{c}root.size * pow(2e0, {level})), "
+                f"pow(2e0, {level}) - 1))::bigint")
+
+    cells = ", ".join(f"{columns[c]}::double as v{d}, {cell(c, 'l')} as c{d}, {cell(c, 'l + 1')} & 1 as b{d}" for d, c in enumerate(subset, 1))
+    roots = ", ".join(f"x{c}root" for c in subset)
+    keys = ", ".join(f"c{d}" for d in dims)
+    spans = ", ".join(f"min(v{d}) as mn{d}, max(v{d}) as mx{d}" for d in dims)
+    halves = ", ".join(f"count(*) filter (where b{d} = {b}) as h{d}{b}n, coalesce(bit_xor(e) filter (where b{d} = {b}), 0) as h{d}{b}s"
+                       for d in dims for b in (0, 1))
+    live = []
+    for omit in range(k):
+        kept = [d for d in dims if d != omit + 1]
+        sub = "n" + "_".join(str(subset[d - 1]) for d in kept)
+        same = " and ".join(f"s.c{i} = f.c{d}" for i, d in enumerate(kept, 1))
+        point = " and ".join(f"s.mn{i} = s.mx{i}" for i in range(1, k))
+        live.append(f"exists (select 1 from {sub} s where s.level = f.level and {same} and not s.stub and s.strength >= "
+                    f"case when {point} then {cfg.singularity_threshold} else {cfg.range_threshold} end)")
+    varied = " or ".join(f"mn{d} < mx{d}" for d in dims)
+    ctes = [f"""{name}cells as materialized (select {entity('o_orderkey')} as e, l::int as level, {cells}
+        from orders, {roots}, generate_series(0, {levels}) t(l))""",
+            f"""{name}stats as materialized (select *, {tree_strength('n', 's')} as strength from (
+        select level, {keys}, count(*) as n, bit_xor(e) as s, {spans}, {halves} from {name}cells group by level, {keys}))"""]
+    for level in range(levels + 1):
+        above = "" if not level else (f"join {name}l{level - 1} p on p.split and " + " and ".join(f"p.c{d} = f.c{d} >> 1" for d in dims))
+        ctes.append(f"""{name}l{level} as materialized (select *, ({varied}) and strength >= {cfg.low_threshold} and not stub as split from (
+            select f.*, f.strength < {cfg.low_threshold} or not ({' or '.join(live)}) as stub
+            from (select f.* from {name}stats f {above} where f.level = {level}) f))""")
+    return [*ctes, f"{name} as materialized ({' union all '.join(f'select * from {name}l{level}' for level in range(levels + 1))})"]
+
+
+def subset_nodes_sql(columns: tuple[str, ...], levels: int) -> str:
+    """Nodes of the tree over all columns; text columns of orders count by the rank of their value."""
+    cfg, k = CONFIG, len(columns)
+    texts = [c for c in columns if c in ("o_orderstatus", "o_orderpriority")]
+    ranks = ", ".join(f"dense_rank() over (order by {c}) - 1 as {c}" for c in texts)
+    ctes = [f"orders as materialized (select * replace ({ranks}) from main.orders)"]
+    for i, c in enumerate(columns):
+        ctes.append(order_tree(c, f"x{i}"))
+        ctes.append(f"n{i} as materialized (select level, cell as c1, mn as mn1, mx as mx1, strength, false as stub from x{i}nodes)")
+    for size in range(2, k + 1):
+        for subset in combinations(range(k), size):
+            ctes += subset_tree("n" + "_".join(map(str, subset)), subset, columns, levels)
+    dims = range(1, k + 1)
+
+    def half(d: int) -> str:
+        ok = [f"{tree_strength(f'h{d}{b}n', f'h{d}{b}s')} >= {cfg.low_threshold}" for b in (0, 1)]
+        return f"case when {ok[0]} and not ({ok[1]}) then 0 when {ok[1]} and not ({ok[0]}) then 1 else -1 end as half{d}"
+
+    mids = ", ".join(f"case when mn{d} = mx{d} then mn{d} else x{d - 1}root.lo + (2 * c{d} + 1) * x{d - 1}root.size / pow(2e0, level + 1) end as m{d}, "
+                     f"x{d - 1}root.size as z{d}" for d in dims)
+    labels = ", ".join(f"{label(f'm{d}', f'z{d}')} as t{d}" for d in dims)
+    bucket = str(combo_seed(cfg, columns))
+    for d in dims:
+        repeated = " or ".join(f"t{d} = t{e}" for e in range(1, d)) or "false"
+        bucket = f"xor({bucket}, case when {repeated} then 0 else {h(f't{d}')} end)"
+    shown = ", ".join([*[f"c{d}" for d in dims], *[f"{n}{d}" for d in dims for n in ("mn", "mx")]])
+    return f"""with {', '.join(ctes)}
+      select level, {shown}, n as rows, strength >= {cfg.low_threshold} and stub as stub, split, {', '.join(half(d) for d in dims)},
+        greatest({noisy_unique('n', 's', bucket)}, {cfg.low_threshold}) as noisy_count
+      from (select *, {labels} from (select n.*, {mids} from n{'_'.join(map(str, range(k)))} n, {', '.join(f'x{i}root' for i in range(k))}))"""
+
+
 def rescaled_buckets(buckets: str, node: str, order: str) -> str:
     """Rows of a bucket table (node columns, s, t, n) with n scaled from s to t by carrying remainders over one unit.
 
@@ -548,6 +620,8 @@ def oracle_queries() -> dict[str, str]:
     out["tree_nodes_1d"] = f"""with {order_tree()}
       select level, cell as c1, rows_ as rows, n as entities, s as seed, mn as mn1, mx as mx1, {micro('strength')} as strength, split,
         noisy as noisy_count from counted"""
+    out["tree_nodes_3d"] = subset_nodes_sql(THREE_COLUMNS, 16)
+    out["tree_nodes_4d"] = subset_nodes_sql(FOUR_COLUMNS, 16)
     out["tree_nodes_far"] = deep_tree_sql("case when p_partkey = 1 then 1e30 else p_size end", 115)
     out["tree_nodes_fine"] = deep_tree_sql("case when p_partkey % 3 = 0 then p_size * 1e-300 else 1e0 end", 1005)
     out["root_facts"] = f"""with {order_tree()}
