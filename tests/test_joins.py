@@ -121,3 +121,16 @@ def test_running_totals_by_chunks(spark):
     for g in range(3):
         spans = sorted((r.start, r.start + r.w) for r in got if r.g == g)
         assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_positions_are_permuted(spark):
+    from veilcell.functions.hashing import shuffled_position
+    for size in (1, 2, 3, 10, 1000, 4096):
+        got = [r.x for r in spark.range(size).select(shuffled_position(F.col("id"), size, "a", 3).alias("x")).collect()]
+        assert sorted(got) == list(range(size))
+    again = [r.x for r in spark.range(4096).select(shuffled_position(F.col("id"), 4096, "b", 3).alias("x")).collect()]
+    assert sum(a == b for a, b in zip(got, again)) < 20 and sum(a == i for i, a in enumerate(got)) < 20
+    near = sum(abs(a - b) < 400 for a, b in zip(got, got[1:])) / 4095  # neighbours end up far apart, as by chance
+    assert abs(near - 0.186) < 0.04
+    ranks, places = sum(i * a for i, a in enumerate(got)) / 4096, (4095 / 2) ** 2
+    assert abs(ranks - places) < 0.03 * places

@@ -95,3 +95,33 @@ def unit_draw(*keys: Column) -> Column:
 def index_draw(size: Column, *keys: Column) -> Column:
     """Repeatable draw from 0 .. size-1."""
     return draw_key(*keys) % size
+
+
+# Fixed value: the prime 2^31 - 1, below which products of two numbers fit a bigint.
+_PRIME = (1 << 31) - 1
+SHUFFLE_ROUNDS = 40
+
+
+def shuffle_rounds(size: int, *keys: object) -> list[tuple[int, int, int]]:
+    """The constants of each round of :func:`shuffled_position`: where positions are mirrored, and which are."""
+    def number(round_: int, name: str) -> int:
+        return text_seed("|".join([name, str(round_), *map(str, keys)]))
+
+    return [(number(i, "mirror") % size, number(i, "factor") % (_PRIME - 1) + 1, number(i, "shift") % _PRIME) for i in range(SHUFFLE_ROUNDS)]
+
+
+def shuffled_position(position: Column, size: int, *keys: object) -> Column:
+    """A keyed permutation of 0 .. size-1: every position gets one of its own, without sorting or seeing the others.
+
+    Each round mirrors the positions at a point and swaps some of the pairs, told
+    by a number both of a pair share, so each round is a permutation of any size.
+    """
+    rounds = F.array(*[F.struct(*[F.lit(x).cast("bigint").alias(n) for x, n in zip(r, ("mirror", "factor", "shift"), strict=True)])
+                       for r in shuffle_rounds(size, *keys)])
+
+    def turned(at: Column, r: Column) -> Column:
+        other = F.pmod(r["mirror"] - at, F.lit(size).cast("bigint"))
+        mixed = F.greatest(at, other) % _PRIME * r["factor"] % _PRIME + r["shift"]
+        return F.when((mixed % _PRIME * (mixed % _PRIME) % _PRIME).bitwiseAND(F.lit(1 << 13).cast("bigint")) != 0, other).otherwise(at)
+
+    return F.aggregate(rounds, position.cast("bigint"), turned)

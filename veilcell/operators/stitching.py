@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import STITCH_MIN_RATIO
 from ..functions.geometry import cell_of
-from ..functions.hashing import draw_key, index_draw
+from ..functions.hashing import draw_key, index_draw, shuffled_position
 from ..workspace import Workspace
 from .harvest import expand_counts
 from .ranking import group_ranks
@@ -57,12 +57,13 @@ def patch(ws: Workspace, left: MicroTable, right: MicroTable) -> MicroTable:
     """Pairs the left rows in order with the right rows in shuffled order."""
     if right.count == 0 or left.count == 0:
         raise ValueError("a cluster has no rows")
-    tag = F.lit(",".join(map(str, right.columns)))
-    shuffled = right.rows.withColumn("__key", draw_key(F.col("pos"), tag))
-    shuffled = group_ranks(ws, shuffled, [], ["__key", "pos"], "__slot")
+    name = ",".join(map(str, right.columns))
+    rights = (right.rows.withColumn("__index", F.col("pos").cast("bigint")) if right.dense
+              else group_ranks(ws, right.rows, [], ["pos"], "__index"))
+    shuffled = rights.withColumn("__slot", shuffled_position(F.col("__index"), right.count, name))
     lefts = (left.rows.withColumn("__index", F.col("pos").cast("bigint")) if left.dense
              else group_ranks(ws, left.rows, [], ["pos"], "__index"))
-    lefts = lefts.withColumn("__slot", aligned_index(F.col("__index"), right.count, left.count, tag))
+    lefts = lefts.withColumn("__slot", aligned_index(F.col("__index"), right.count, left.count, F.lit(name)))
     joined = lefts.join(shuffled.select("__slot", *fields(right.columns)), "__slot")
     columns = tuple(sorted({*left.columns, *right.columns}))
     rows = joined.select(F.col("__index").alias("pos"), *fields(columns))

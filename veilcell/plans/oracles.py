@@ -6,7 +6,7 @@ from itertools import combinations
 from math import pi
 
 from ..config import SynthConfig
-from ..functions.hashing import text_seed
+from ..functions.hashing import SHUFFLE_ROUNDS, text_seed
 from ..operators.cells import combo_seed
 from .catalog import BLOCKS, CONFIG, FOUR_COLUMNS, MEASURES, QUALITY_PLAN, SALT, THREE_COLUMNS
 
@@ -506,6 +506,19 @@ def stitch_bins_sql() -> str:
         and u.cell = n.cell >> (n.level - u.level))"""
 
 
+def shuffled_sql(rows: str, key: str) -> str:
+    """Rows (.., spot, size) with spot moved by a keyed permutation: mirrored pairs are swapped, round by round."""
+    for i in range(SHUFFLE_ROUNDS):
+        mirror, factor, shift = (text_seed(f"{name}|{i}|{key}") for name in ("mirror", "factor", "shift"))
+        prime = 2147483647
+        rows = f"""select * replace (case when ((mixed % {prime}) * (mixed % {prime}) % {prime}) & 8192 <> 0 then other else spot end as spot)
+          from (select * exclude (mixed), greatest(spot, other) % {prime} * {factor % (prime - 1) + 1} % {prime} + {shift % prime} as mixed
+            from (select *, 0 as mixed, (({mirror} % size - spot) % size + size) % size as other
+              from ({rows})))"""
+        rows = f"select * exclude (mixed, other) from ({rows})"
+    return rows
+
+
 def corr(i: int, j: int) -> str:
     return f"abs(corr({MEASURES[i]}, {MEASURES[j]}))"
 
@@ -672,8 +685,8 @@ def oracle_queries() -> dict[str, str]:
     out["stitch_bin_sizes"] = stitch_bins_sql()
     out["patch_join"] = f"""
       with n as (select (select count(*) from customer) as have, (select count(*) from orders) as wanted),
-        r as (select c_acctbal as balance, row_number() over (order by {h("c_custkey || '|1'")}, c_custkey) - 1 as slot from customer),
+        r as ({shuffled_sql("select c_acctbal as balance, c_custkey as spot, have as size from customer, n", "1")}),
         l as (select o_orderkey as pos, o_totalprice as price, case when have >= wanted or o_orderkey < have then o_orderkey
             else {h("o_orderkey || '|1'")} % have end as slot from orders, n)
-      select pos, price, balance from l join r using (slot)"""
+      select pos, price, balance from l join r on l.slot = r.spot"""
     return out
