@@ -59,8 +59,9 @@ def test_near_copies_and_odd_rows(spark, ws):
     check(spark, ws, rows)
 
 
-def test_one_large_group_in_many_blocks(spark, ws):
+def test_one_large_group_in_many_blocks(spark, ws, monkeypatch):
     """More near copies than a block holds, and more sharers of a passage than a leaf."""
+    monkeypatch.setattr(nj, "BLOCK", 70)
     rng = random.Random(2)
     base = [f"b{i}" for i in range(100)]
     rows = []
@@ -73,6 +74,29 @@ def test_one_large_group_in_many_blocks(spark, ws):
     check(spark, ws, rows)
 
 
+def test_rows_without_ids(spark, ws):
+    """600 texts under no id, 40 more under one repeated id: each is told by its text."""
+    rng = random.Random(3)
+    rows = [(None if d < 600 else 7, " ".join(f"n{d // 2}-{i}" if i != rng.randrange(60) or d % 2 else "x" for i in range(60)), "s")
+            for d in range(640)]
+    check(spark, ws, rows + rows[:3])
+
+
+def test_nodes_are_split_until_they_are_small(spark, ws, monkeypatch):
+    """Texts that share half of their words meet in deep nodes; coordinates of several runs are used."""
+    monkeypatch.setattr(nj, "LEAF", 3)
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for d in range(150):
+        text = common + [f"o{d // 2}-{i}" for i in range(60)]
+        text[rng.randrange(60, 120)] = f"x{d}"
+        rows.append((d, " ".join(text), "s"))
+    got = nj.NgramJoin(ws, documents(spark, rows), recall=0.999, levels=1).documents
+    want = {r[0]: r[4] for r in expected(rows)}
+    assert sum(r.n_links for r in got.collect()) >= 0.99 * sum(want.values()) > 0
+
+
 def test_empty_table(spark, ws):
     check(spark, ws, [])
     check(spark, ws, [(1, None, None), (2, "", None)])

@@ -4,19 +4,21 @@ Every distinct set of n-grams starts at the root of each of several runs. A node
 samples coordinates, one always and a second with the probability that makes up
 for the similarity searched; a coordinate is a random order of all n-grams, and a
 set moves to the child named by its first n-gram in that order, so sets meet in
-a child exactly when the sampled n-gram is shared. Nodes with few sets, and all
-nodes at the last level, are compared by brute force.
+a child exactly when the sampled n-gram is shared. Nodes are split until they hold
+few sets, or until a split leaves most of a node together: then its sets share
+most n-grams, and they are compared with each other as they are.
 
 A pair at the threshold has on average one common child per node, and the chance
 that no path survives follows from that branching process; the number of runs is
-the smallest that pushes the loss of all runs below 1 - recall. Closer pairs are
-lost less often.
+the smallest that pushes the loss of all runs below 1 - recall at the depth at
+which nodes are small as a rule. Closer pairs are lost less often.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,11 @@ from .texts import gram_hashes, groups, mix, slices, word_hashes
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.999
-LEVELS = 4
+LEVELS = 4  # splits that most nodes need; a run's own coordinates last for them, then it goes on with those of the next run
 LEAF = 64  # sets below which a node is no longer split
-BLOCK = 128  # sets compared with each other in one step
+WHOLE = 0.6  # share of a node that stays together in a child of sets alike
+BLOCK = 2048  # sets compared with each other in one step
+SALTS = 16  # keys over which the rows of one path are spread
 BLOCK_GRAMS = 2_000_000  # n-grams of one side of a comparison
 
 
@@ -103,36 +107,42 @@ def _sketch(k: int, runs: int, levels: int):
     return run
 
 
+def _of_paths(rows: DataFrame, paths: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Joins rows to facts of their path; one that holds many rows is spread over several tasks."""
+    salt = F.pmod(F.xxhash64("name", F.lit("salt")), F.lit(SALTS)).cast("int").alias("__salt")
+    spread = paths.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.select("*", salt).join(spread, [key, "__salt"], how).drop("__salt")
+
+
 def _paths(sets: DataFrame, runs: int, levels: int, similarity: float, ws: Workspace) -> DataFrame:
     """(name, leaf, members, grams) of all leaves with at least two sets."""
-    half = 2 * levels
-    roots = sets.where("n_grams > 0").select(
+    width = 2 * levels
+    rows = sets.where("n_grams > 0").select(
         "name", "n_grams", F.explode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(
-            F.xxhash64(F.lit("run"), r).alias("path"), F.slice("firsts", r * half + 1, half).alias("own")))).alias("run"))
-    rows = roots.select("name", "n_grams", "run.path", "run.own")
+            r.alias("run"), F.xxhash64(F.lit("run"), r).alias("path"), F.slice("firsts", r * width + 1, width).alias("own")))).alias("at"))
+    rows = rows.select("name", "n_grams", "at.run", "at.path", "at.own", F.lit(None).cast("bigint").alias("above"))
     share = int(second_share(similarity) * 10_000)
-    leaves = []
-    for level in range(levels):
+    leaves, level = [], 0
+    while True:
+        if level and level % levels == 0:
+            start = F.pmod(F.col("run") + level // levels, F.lit(runs)) * width + 1
+            rows = rows.drop("own").join(sets.select("name", "firsts"), "name").withColumn("own", F.slice("firsts", start, width)).drop("firsts")
         # Which coordinates a node samples depends on its path only, so all its sets agree.
         two = F.pmod(F.xxhash64(F.lit("two"), "path"), F.lit(10_000)) < share
         picks = F.when(two, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-        rows = (rows.select("name", "n_grams", "own", "path", F.explode(picks).alias("pick"))
-                .select("name", "n_grams", "own",
-                        F.xxhash64("path", "pick", F.element_at("own", F.col("pick") + 2 * level)).alias("path")))
+        rows = rows.withColumn("pick", F.explode(picks))
+        path = F.xxhash64("path", "pick", F.element_at("own", F.col("pick") + 2 * (level % levels)))
+        rows = rows.select("name", "n_grams", "run", "own", "above", path.alias("path"))
         sizes = (rows.groupBy("path").agg(F.count(F.lit(1)).alias("members"), F.sum("n_grams").alias("grams"))
                  .where("members > 1"))
-        met = ws.cut(rows.join(sizes, "path"), f"level{level}")
-        last = level == levels - 1
-        leaves.append((met if last else met.where(F.col("members") <= LEAF)).select("name", "path", "members", "grams"))
-        if last:
-            break
-        rows = met.where(F.col("members") > LEAF).select("name", "n_grams", "own", "path")
+        met = ws.cut(_of_paths(rows, sizes, "path"), f"level{level}")
+        done = F.expr(f"members <= {LEAF} or coalesce(members > {WHOLE}D * above, false)")
+        leaves.append(met.where(done).select("name", "path", "members", "grams"))
+        rows = met.where(~done).withColumn("above", F.col("members")).select("name", "n_grams", "run", "own", "above", "path")
         if rows.isEmpty():
             break
-    out = leaves[0]
-    for more in leaves[1:]:
-        out = out.unionByName(more)
-    return out.withColumnRenamed("path", "leaf")
+        level += 1
+    return reduce(DataFrame.unionByName, leaves).withColumnRenamed("path", "leaf")
 
 
 def _distinct_leaves(leaves: DataFrame) -> DataFrame:
@@ -140,7 +150,7 @@ def _distinct_leaves(leaves: DataFrame) -> DataFrame:
     content = leaves.groupBy("leaf").agg(F.first("members").alias("members"), F.bit_xor(F.xxhash64("name")).alias("x"),
                                          F.bit_xor(F.xxhash64("name", F.lit(1))).alias("y"))
     kept = content.groupBy("members", "x", "y").agg(F.min("leaf").alias("leaf")).select("leaf")
-    return leaves.join(kept, "leaf", "left_semi")
+    return _of_paths(leaves, kept, "leaf", "left_semi")
 
 
 def _with_grams(k: int):
@@ -195,16 +205,7 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray] | None, similarity:
 
 def _earlier_shared(leaf: int, left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Whether two sets also meet in a leaf before this one, which then counts the pair."""
-    a, b = ([x[x < leaf] for x in side] for side in (left, right))
-    names, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
-    if not len(names):
-        return np.zeros((len(a), len(b)), bool)
-    tables = []
-    for side, at in ((a, at[:sum(map(len, a))]), (b, at[sum(map(len, a)):])):
-        table = np.zeros((len(side), len(names)), np.float32)
-        table[np.repeat(np.arange(len(side)), [len(x) for x in side]), at] = 1
-        tables.append(table)
-    return tables[0] @ tables[1].T > 0.5
+    return common_counts([x[x < leaf] for x in left], [x[x < leaf] for x in right]) > 0
 
 
 def _compare(similarity: float):
@@ -264,12 +265,13 @@ class NgramJoin:
                                         f"doc_id {kind}, text_hash bigint, name string, n_grams bigint, firsts array<int>"), "sketch")
         self.names = sketch.select("doc_id", "text_hash", "name")
         # Equal sets have equal coordinates: min() takes any of them with map-side aggregation.
-        sets = ws.cut(sketch.groupBy("name").agg(F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("n_copies"),
+        sets = ws.cut(sketch.groupBy("name").agg(F.min("doc_id").alias("set_id"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.count(F.lit(1)).alias("n_copies"),
                                                  F.first("n_grams").alias("n_grams"), F.first("firsts").alias("firsts")), "sets")
         leaves = ws.cut(_distinct_leaves(_paths(sets, runs, levels, similarity, ws)), "leaves")
         members = leaves.groupBy("name").agg(F.collect_list(F.struct("leaf", "members", "grams")).alias("leaves"))
-        wanted = members.join(sets.select("name", "set_id"), "name").withColumnRenamed("set_id", "__id")
-        texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "name", "leaves")
+        # One row stands for each set; ids alone may be null or repeated, and repeated rows change nothing.
+        wanted = members.join(sets.select("name", F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash")), "name")
+        texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("text", "name", "leaves")
         grams = texts.mapInArrow(_with_grams(words), "name string, grams binary, leaves " + wanted.schema["leaves"].dataType.simpleString())
         links = ws.cut(self._blocks(grams).mapInArrow(_compare(similarity), "name string, root string, links bigint"), "links")
         counts = links.groupBy("name").agg(F.sum("links").alias("n_links"))
