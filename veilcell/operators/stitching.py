@@ -218,9 +218,8 @@ def merge_bins(ws: Workspace, left: DataFrame, right: DataFrame, left_columns: S
     return pairs.select(F.concat_ws(":", "bin", F.col("__row").cast("string")).alias("pos"), *chosen)
 
 
-def stitch(ws: Workspace, left: MicroTable, right: MicroTable, columns: Sequence[StitchColumn],
-           owner: str) -> MicroTable:
-    """Joins two tables that share the given columns."""
+def binned_sides(ws: Workspace, left: MicroTable, right: MicroTable, columns: Sequence[StitchColumn]) -> tuple[DataFrame, DataFrame]:
+    """The rows of both tables with the bin each falls into."""
     if not columns or not left.count or not right.count:
         raise ValueError("a stitch needs shared columns and rows on both sides")
     keys = [f"n{c.index}" for c in columns]
@@ -232,6 +231,12 @@ def stitch(ws: Workspace, left: MicroTable, right: MicroTable, columns: Sequence
         mine = bins.where(F.col("side") == tag).drop("side")
         return table.rows.withColumn("pos", F.col("pos").cast("string")).join(mine, "pos")
 
-    merged = ws.cut(merge_bins(ws, binned(left, "l"), binned(right, "r"), left.columns, right.columns,
-                               [c.index for c in columns], owner), "stitched")
+    return binned(left, "l"), binned(right, "r")
+
+
+def stitch(ws: Workspace, left: MicroTable, right: MicroTable, columns: Sequence[StitchColumn],
+           owner: str) -> MicroTable:
+    """Joins two tables that share the given columns."""
+    sides = binned_sides(ws, left, right, columns)
+    merged = ws.cut(merge_bins(ws, *sides, left.columns, right.columns, [c.index for c in columns], owner), "stitched")
     return MicroTable(merged, tuple(sorted({*left.columns, *right.columns})), merged.count(), False)

@@ -455,6 +455,22 @@ def stitch_join(spark, folder):
         F.col("s0").alias("price"), F.col("s1").alias("customer"), F.col("s2").alias("quantity"))
 
 
+def stitch_owners(spark, folder):
+    """Orders and the same orders with a surcharge, refined by price and customer in turn and paired, once for each owner."""
+    ws = Workspace(spark)
+    orders = load(spark, folder, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("customer"),
+                                                  F.col("o_orderkey").cast("double").alias("number"))
+    raised = orders.withColumn("o_totalprice", F.col("o_totalprice") + 500 * (F.col("customer") % 7)).where("o_orderkey % 5 <> 0")
+    left = _micro_table(ws, orders, {0: "o_totalprice", 1: "customer", 2: "number"}, "o_orderkey")
+    right = _micro_table(ws, raised, {0: "o_totalprice", 1: "customer", 3: "number"}, "o_orderkey")
+    columns = [stitching.StitchColumn(0, 0.0, float(1 << 19), False), stitching.StitchColumn(1, 0.0, float(1 << 20), True)]
+    sides = [ws.cut(side, "side") for side in stitching.binned_sides(ws, left, right, columns)]
+    merged = [stitching.merge_bins(ws, *sides, left.columns, right.columns, [0, 1], owner).select(
+        F.lit(owner).alias("owner"), F.col("s0").alias("price"), F.col("s1").alias("customer"), F.col("s2").alias("number"), F.col("s3").alias("raised_number"))
+        for owner in ("left", "right", "shared")]
+    return reduce(DataFrame.unionByName, merged)
+
+
 def stitch_bin_sizes(spark, folder):
     """Final price ranges of order prices against the same prices with a customer surcharge, and their merged length."""
     ws = Workspace(spark)
@@ -506,5 +522,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     entity_counts, low_count_groups, noisy_unique_counts, entity_contributions, flattened_counts, private_groups,
     tree_nodes_1d, tree_nodes_2d, tree_nodes_3d, tree_nodes_4d, tree_nodes_by_entity, tree_nodes_far, tree_nodes_fine, root_facts, harvest_1d, harvest_fronts, node_totals_2d, refined_buckets, inspected_nodes,
     synthetic_rows, column_entropies, pair_dependence, total_dependences, plan_quality, sampled_rows, dependence_report,
-    cluster_search, feature_ranking, column_roles, complete_rows, patch_join, stitch_join, stitch_bin_sizes, synthesize_single, synthesize_events,
+    cluster_search, feature_ranking, column_roles, complete_rows, patch_join, stitch_join, stitch_owners, stitch_bin_sizes, synthesize_single, synthesize_events,
     synthesize_manual, synthesize_independent, synthesize_target)}

@@ -506,6 +506,54 @@ def stitch_bins_sql() -> str:
         and u.cell = n.cell >> (n.level - u.level))"""
 
 
+def stitch_owners_sql() -> str:
+    """Bins by the recursion itself, a step of every open bin at a time; then draws, ranks and pairs inside the bins."""
+    def now(low: str, high: str) -> str:
+        return f"case when turn = 0 then {low} else {high} end"
+
+    step = f"""select side, pos, x, y, num, bin || case when split then up::int::varchar else '' end as bin,
+          case when turn = 0 and (split and up or empty_low) then mid else lo0 end as lo0,
+          case when turn = 0 and (split and not up or empty_high) then mid else hi0 end as hi0,
+          case when turn = 1 and (split and up or empty_low) then mid else lo1 end as lo1,
+          case when turn = 1 and (split and not up or empty_high) then mid else hi1 end as hi1,
+          1 - turn as turn, case when split then 2 else attempts - 1 end as attempts, false as done
+        from (select *, open and least(l1, r1) > 0 and least(l1, r1)::double / greatest(l1, r1) >= 0.7e0
+              and least(l0, r0) > 0 and least(l0, r0)::double / greatest(l0, r0) >= 0.7e0 as split,
+            open and l0 + r0 = 0 as empty_low, open and l1 + r1 = 0 as empty_high
+          from (select *, turn = 0 or hi1 - lo1 > 1 or (hi1 = 1048576 and hi1 - lo1 >= 1) as open,
+              count(*) filter (where side = 'l' and up) over w as l1, count(*) filter (where side = 'r' and up) over w as r1,
+              count(*) filter (where side = 'l' and not up) over w as l0, count(*) filter (where side = 'r' and not up) over w as r0
+            from (select *, ({now('lo0 + hi0', 'lo1 + hi1')}) / 2 as mid, {now('x', 'y')} >= ({now('lo0 + hi0', 'lo1 + hi1')}) / 2 as up from b where not done)
+            window w as (partition by bin)))
+        """
+    marked = """select * replace (attempts = 0 or count(*) filter (where side = 'l') over (partition by bin) = 1
+          or count(*) filter (where side = 'r') over (partition by bin) = 1 as done) from"""
+
+    def side(tag: str, owner: str) -> str:
+        again = h(f"pos || '|' || copy || '|{tag}2'")
+        return f"""(select bin, x, y, num, row_number() over (partition by bin order by x, y, {again}, pos, copy) - 1 as i from (
+            select k.bin, k.pos, k.x, k.y, k.num, 0::bigint as copy from ranked k join sized z on k.bin = z.bin and z.owner = '{owner}' where k.side = '{tag}' and k.at < z.m
+            union all select k.bin, k.pos, k.x, k.y, k.num, e.copy from (select bin, copy, {h(f"bin || '|' || copy || '|{tag}'")} % n as at from (
+                select bin, {tag} as n, unnest(generate_series({tag}, m - 1)) as copy from sized where owner = '{owner}' and m > {tag})) e
+              join ranked k on k.side = '{tag}' and k.bin = e.bin and k.at = e.at))"""
+
+    def pairs(owner: str, ours: str) -> str:
+        return f"""select '{owner}' as owner, case when {ours} then a.x else b.x end as price, case when {ours} then a.y else b.y end as customer,
+          a.num as number, b.num as raised_number from {side('l', owner)} a join {side('r', owner)} b on a.bin = b.bin and a.i = b.i"""
+
+    ranking = "row_number() over (partition by side, bin order by " + h("pos || '|' || side") + ", pos) - 1 as at"
+    return f"""with recursive v as (select 'l' as side, o_orderkey::varchar as pos, o_totalprice as x, o_custkey::double as y, o_orderkey::double as num from orders
+          union all select 'r', o_orderkey::varchar, o_totalprice + 500 * (o_custkey::double % 7), o_custkey::double, o_orderkey::double
+            from orders where o_orderkey % 5 <> 0),
+        b as ({marked} (select *, 'b' as bin, 0e0 as lo0, 524288e0 as hi0, 0e0 as lo1, 1048576e0 as hi1, 0 as turn, 2 as attempts, false as done from v)
+          union all {marked} ({step})),
+        ranked as materialized (select side, pos, x, y, num, bin, {ranking} from b where done),
+        sizes as (select bin, count(*) filter (where side = 'l') as l, count(*) filter (where side = 'r') as r from ranked group by 1),
+        sized as materialized (select 'left' as owner, *, l as m from sizes union all select 'right', *, r from sizes
+          union all select 'shared', *, round_even((l + r) / 2, 0)::bigint from sizes)
+      {pairs('left', 'true')} union all {pairs('right', 'false')} union all {pairs('shared', 'a.i % 2 = 0')}"""
+
+
 def shuffled_sql(rows: str, key: str) -> str:
     """Rows (.., spot, size) with spot moved by a keyed permutation: mirrored pairs are swapped, round by round."""
     for i in range(SHUFFLE_ROUNDS):
@@ -682,6 +730,7 @@ def oracle_queries() -> dict[str, str]:
       select code, substr(lo, 1, ok) || '*' || code as shown from s where ok = top"""
     out["tree_nodes_by_entity"] = entity_tree_sql()
     out["node_totals_2d"] = node_totals_sql()
+    out["stitch_owners"] = stitch_owners_sql()
     out["stitch_bin_sizes"] = stitch_bins_sql()
     out["patch_join"] = f"""
       with n as (select (select count(*) from customer) as have, (select count(*) from orders) as wanted),
