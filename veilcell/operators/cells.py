@@ -33,6 +33,7 @@ from .encoding import Encoded
 
 BATCH_BITS = 16  # cells per node and batch stay below 2^16
 FRONT_ROWS = 500_000  # nodes of a front that are sent to all tasks
+SET_PRIME = 8_388_593  # largest prime below 2^23: sums of entities fit a bigint up to 2^40 rows
 LABEL_LEVELS = 40  # deeper midpoints are no multiples of 2^-40 roots
 
 
@@ -264,7 +265,7 @@ class Forest:
         if self.data.unique_ids:
             fine_stats = rows.groupBy("combo", *fine).agg(
                 F.count(F.lit(1)).alias("rows"), F.count_if(F.col("e0") != 0).alias("n0"),
-                F.bit_xor("e0").alias("s0"), *spans)
+                F.sum(F.col("e0") % SET_PRIME).alias("s0"), *spans)
             spread = fine_stats.select("*", levels_up).select(
                 *at_level, *halves, "rows", "n0", "s0", *[f"{n}{d}" for d in dims for n in ("mn", "mx")])
             low = []
@@ -272,9 +273,9 @@ class Forest:
                 for b in (0, 1):
                     inside = F.col(f"b{d}") == b
                     low += [F.coalesce(F.sum(F.when(inside, F.col("n0"))), zero()).alias(f"h{d}_{b}_n0"),
-                            F.coalesce(F.bit_xor(F.when(inside, F.col("s0"))), zero()).alias(f"h{d}_{b}_s0")]
+                            F.coalesce(F.sum(F.when(inside, F.col("s0"))), zero()).alias(f"h{d}_{b}_s0")]
             stats = spread.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.sum("n0").alias("n0"),
-                                              F.bit_xor("s0").alias("s0"), *merge_spans, *low)
+                                              F.sum("s0").alias("s0"), *merge_spans, *low)
         else:
             rows = self._by_kind(rows)
             fine_stats = rows.groupBy("combo", *fine, "kind", "entity").agg(F.count(F.lit(1)).alias("rows"), *spans)
@@ -342,13 +343,16 @@ class Forest:
         others = [c for c in rows.columns if not c.startswith("e")]
         return rows.select(*others, F.inline(F.array(*parts)))
 
-    def _set_seed(self, count: str, seed: str) -> Column:
-        """Seed of an entity set. Equal rows without ids cancel in the XOR, so their number joins in."""
-        xor = F.col(seed)
-        return xor.bitwiseXOR(F.col(count)) if self.data.implicit_ids else xor
+    def _set_seed(self, seed: Column) -> Column:
+        """Seed of an entity set: the XOR of different entities, or, where every row is an entity, the sum modulo a prime.
+
+        Rows without ids are known by their values alone; equal ones add up where
+        an XOR would cancel them.
+        """
+        return seed % SET_PRIME if self.data.unique_ids else seed
 
     def _strength(self, count: str, seed: str) -> Column:
-        parts = [self._kind_strength(F.col(f"{count}{a}"), self._set_seed(f"{count}{a}", f"{seed}{a}"))
+        parts = [self._kind_strength(F.col(f"{count}{a}"), self._set_seed(F.col(f"{seed}{a}")))
                  for a in range(self.data.id_kinds)]
         return (F.least(*parts) if len(parts) > 1 else parts[0]).cast("double")
 
@@ -464,7 +468,7 @@ class Forest:
         facts = nodes.join(F.broadcast(marked), ["combo", "level", "c1"]).groupBy("combo", "mark").agg(
             F.min("mn1").alias("mn"), F.max("mx1").alias("mx"), F.sum("rows").alias("rows"),
             *[F.sum(f"n{a}").alias(f"n{a}") for a in range(self.data.id_kinds)],
-            *[F.bit_xor(f"s{a}").alias(f"s{a}") for a in range(self.data.id_kinds)]).collect()
+            *[(F.sum if self.data.unique_ids else F.bit_xor)(f"s{a}").alias(f"s{a}") for a in range(self.data.id_kinds)]).collect()
         by_mark = {(r["combo"], r["mark"]): r for r in facts}
 
         roots = []
@@ -524,11 +528,9 @@ class Forest:
         ends = {"low": self.per_column(lambda r: r.amin), "high": self.per_column(lambda r: r.amax)}
         touches = {"low": F.col("mn1") == ends["low"], "high": F.col("mx1") == ends["high"]}
         out = nodes
-        for field in ("rows", "n0"):
+        for field in ("rows", "n0", "s0"):
             extra = [F.when(touches[m], constant(m, field)).otherwise(zero()) for m in ("low", "high")]
             out = out.withColumn(field, F.col(field) + extra[0] + extra[1])
-        seeds = [F.when(touches[m], constant(m, "s0")).otherwise(zero()) for m in ("low", "high")]
-        out = out.withColumn("s0", F.col("s0").bitwiseXOR(seeds[0]).bitwiseXOR(seeds[1]))
         return out.withColumn("strength", self._strength("n", "s"))
 
     def per_column(self, value) -> Column:
@@ -561,7 +563,7 @@ class Forest:
 
     def _with_unique_noise(self, nodes: DataFrame, k: int, combos: Sequence[tuple[int, ...]], depth: int) -> DataFrame:
         nodes = self.with_bucket_seed(nodes, k, combos, depth)
-        noisy = noisy_unique_count(F.col("n0"), self._set_seed("n0", "s0"), F.col("bucket"), self.config)
+        noisy = noisy_unique_count(F.col("n0"), self._set_seed(F.col("s0")), F.col("bucket"), self.config)
         return nodes.withColumn("noisy", F.greatest(noisy, F.lit(self.config.low_threshold).cast("bigint"))).drop("bucket")
 
     def _count_rows(self, trees: Trees) -> Trees:

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 
 from ..config import SynthConfig
-from ..functions.geometry import snap_range
-from ..functions.hashing import entity_hash
+from ..functions.geometry import exact_label, snap_range
+from ..functions.hashing import entity_hash, hash_text
 from ..functions.values import kind_of, numeric_code
 from ..workspace import Workspace
 from .ranking import global_positions
@@ -48,7 +48,6 @@ class Encoded:
     n_rows: int
     id_kinds: int
     unique_ids: bool
-    implicit_ids: bool
 
     def with_rows(self, rows: DataFrame, n_rows: int) -> "Encoded":
         return replace(self, rows=rows, n_rows=n_rows)
@@ -87,6 +86,11 @@ def string_ranks(ws: Workspace, df: DataFrame, columns: Sequence[str]) -> DataFr
         "name", "text", (F.col("position") - F.col("first")).alias("code"))
 
 
+def row_hash(texts: Sequence[Column]) -> Column:
+    """Hash of a row's values; NULL differs from every text."""
+    return hash_text(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), t), F.lit("~")) for t in texts]))
+
+
 def encode_table(ws: Workspace, df: DataFrame, columns: Sequence[str], ids: Sequence[str], config: SynthConfig,
                  unique_ids: bool | None = None) -> Encoded:
     """Encodes a table once for all later passes.
@@ -117,8 +121,8 @@ def encode_table(ws: Workspace, df: DataFrame, columns: Sequence[str], ids: Sequ
     if ids:
         entities = [entity_hash(F.col(c)).alias(f"e{i}") for i, c in enumerate(ids)]
     else:
-        # Equal rows share a hash; counts tell them apart, see the set seed in the tree builder.
-        entities = [F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in columns]), 4).alias("e0")]
+        # Equal rows share a hash; the set seed of the tree builder counts each of them.
+        entities = [row_hash([F.col(c) if kinds[c] == "string" else exact_label(numeric_code(kinds[c], F.col(c))) for c in columns]).alias("e0")]
     direct = [numeric_code(kinds[c], F.col(c)).alias(f"v{i}") if kinds[c] != "string" else F.col(c).alias(f"__t{i}")
               for i, c in enumerate(columns)]
     coded = source.select(*entities, *direct)
@@ -145,4 +149,4 @@ def encode_table(ws: Workspace, df: DataFrame, columns: Sequence[str], ids: Sequ
     filled = coded.select(*[c for c in coded.columns if c.startswith("e")],
                           *[F.coalesce(F.col(f"v{i}"), F.lit(info.null_code)).alias(f"v{i}")
                             for i, info in enumerate(infos)])
-    return Encoded(filled, tuple(infos), dictionary, n_rows, max(len(ids), 1), unique, not ids)
+    return Encoded(filled, tuple(infos), dictionary, n_rows, max(len(ids), 1), unique)

@@ -14,7 +14,7 @@ from ..functions import geometry as geo
 from ..functions import hashing as hs
 from ..functions import values as val
 from ..operators import clustering, counting, dependence, encoding, features, harvest, microdata, sampling, stitching
-from ..operators.cells import Forest
+from ..operators.cells import SET_PRIME, Forest
 from ..sources import inspection, salt, tables
 from ..workspace import Workspace
 from .synthesis import Synthesizer, synthesize, synthesize_for_target
@@ -250,7 +250,7 @@ def _order_forest(spark, folder, columns, config=CONFIG):
 
 def tree_nodes_1d(spark, folder):
     forest = _order_forest(spark, folder, ["o_totalprice"])
-    return forest.trees[1].nodes.select("level", "c1", "rows", F.col("n0").alias("entities"), F.col("s0").alias("seed"),
+    return forest.trees[1].nodes.select("level", "c1", "rows", F.col("n0").alias("entities"), (F.col("s0") % SET_PRIME).alias("seed"),
                                         "mn1", "mx1", micro(F.col("strength")).alias("strength"), "split",
                                         F.col("noisy").alias("noisy_count"))
 
@@ -290,6 +290,15 @@ def tree_nodes_by_entity(spark, folder):
                                         F.col("noisy").alias("noisy_count"))
 
 
+def tree_nodes_no_ids(spark, folder):
+    """Tree of line item quantities whose rows have no ids and repeat."""
+    ws = Workspace(spark)
+    data = encoding.encode_table(ws, load(spark, folder, "lineitem"), ["l_quantity"], [], CONFIG)
+    return Forest(ws, data, CONFIG).trees[1].nodes.select(
+        "level", "c1", "rows", (F.col("s0") % SET_PRIME).alias("seed"), "mn1", "mx1", micro(F.col("strength")).alias("strength"), "split",
+        F.col("noisy").alias("noisy_count"))
+
+
 def _deep_tree(spark, folder, value):
     """Nodes of a tree over part sizes that needs far more levels than a number of 64 bits has."""
     parts = load(spark, folder, "part").select("p_partkey", value.alias("x"))
@@ -520,7 +529,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     value_parsing, seed_texts, noise_values, row_limits, rounding, range_tests, text_ranges, numeric_codes,
     decoded_fields, string_codes, root_ranges, cell_counts, content_digests, csv_texts, csv_round_trip, csv_inferred,
     entity_counts, low_count_groups, noisy_unique_counts, entity_contributions, flattened_counts, private_groups,
-    tree_nodes_1d, tree_nodes_2d, tree_nodes_3d, tree_nodes_4d, tree_nodes_by_entity, tree_nodes_far, tree_nodes_fine, root_facts, harvest_1d, harvest_fronts, node_totals_2d, refined_buckets, inspected_nodes,
+    tree_nodes_1d, tree_nodes_2d, tree_nodes_3d, tree_nodes_4d, tree_nodes_by_entity, tree_nodes_no_ids, tree_nodes_far, tree_nodes_fine, root_facts, harvest_1d, harvest_fronts, node_totals_2d, refined_buckets, inspected_nodes,
     synthetic_rows, column_entropies, pair_dependence, total_dependences, plan_quality, sampled_rows, dependence_report,
     cluster_search, feature_ranking, column_roles, complete_rows, patch_join, stitch_join, stitch_owners, stitch_bin_sizes, synthesize_single, synthesize_events,
     synthesize_manual, synthesize_independent, synthesize_target)}

@@ -7,7 +7,7 @@ from math import pi
 
 from ..config import SynthConfig
 from ..functions.hashing import SHUFFLE_ROUNDS, text_seed
-from ..operators.cells import combo_seed
+from ..operators.cells import SET_PRIME, combo_seed
 from .catalog import BLOCKS, CONFIG, FOUR_COLUMNS, MEASURES, QUALITY_PLAN, SALT, THREE_COLUMNS
 
 LEVELS = 26  # deeper than any tree of the order and event columns
@@ -51,6 +51,11 @@ def strength(n: str, seed: str, config: SynthConfig = CONFIG) -> str:
     return f"({n} - greatest(0e0, {config.low_layer_sd}::double * ({config.low_mean_gap}::double + {noise})))"
 
 
+def added(e: str, where: str = "true") -> str:
+    """Seed of a set of rows that are entities of their own."""
+    return f"(coalesce(sum(({e}) % {SET_PRIME}) filter (where {where}), 0) % {SET_PRIME})::bigint"
+
+
 def noisy_unique(n: str, seed: str, bucket: str, config: SynthConfig = CONFIG) -> str:
     total = f"({n} + ({layer(bucket, 'noise')} + {layer(seed, 'noise')}) * {config.noise_sd}::double)"
     return round_away(total)
@@ -156,7 +161,7 @@ def tree_ctes(name: str, table: str, column: str, ident: str, p: str, config: Sy
     """
     low = config.low_threshold
     seed = combo_seed(config, [name])
-    stats = ("count(*) as rows_, count(*) filter (where e <> 0) as n, coalesce(bit_xor(e) filter (where e <> 0), 0) as s"
+    stats = (f"count(*) as rows_, count(*) filter (where e <> 0) as n, {added('e')} as s"
              if unique else
              "count(*) as rows_, count(distinct e) filter (where e <> 0) as n, "
              "coalesce((select bit_xor(u) from unnest(list_distinct(list(e))) t(u) where u <> 0), 0) as s")
@@ -167,7 +172,7 @@ def tree_ctes(name: str, table: str, column: str, ident: str, p: str, config: Sy
           join (select level, cell, count(*) as n, bit_xor(e) as s from (select distinct level, cell, e from {p}cells
                 where e <> 0) group by level, cell) d on g.level = d.level and g.cell = d.cell"""
     return f"""
-    {p}base as materialized (select {entity(ident)} as e, ({column})::double as x from {table}),
+    {p}base as materialized (select {ident if ident.startswith('greatest(') else entity(ident)} as e, ({column})::double as x from {table}),
     {p}ext as (select *, {NULL_CODE} as nc from (select min(x) as lo, max(x) as hi from {p}base)),
     {p}snap as materialized ({snapped(p + 'ext', 'least(lo, nc)', 'greatest(hi, nc)', 'nc')}),
     {p}cells as materialized (select e, x, l::int as level, least(floor((x - root_lo) / root_size * pow(2e0, l)), pow(2e0, l) - 1)::bigint as cell
@@ -192,15 +197,15 @@ def tree_ctes(name: str, table: str, column: str, ident: str, p: str, config: Sy
     {p}top as materialized (select coalesce(max(level), 0) as tl, coalesce(arg_max(cell, level), 0) as tc from {p}chain),
     {p}root as materialized (select root_lo + tc * (root_size / pow(2e0, tl)) as lo, root_size / pow(2e0, tl) as size, tl, tc,
                nc, r.mn as amin, r.mx as amax from {p}snap, {p}top, {p}real r where r.level = tl and r.cell = tc),
-    {p}out as materialized (select coalesce(sum((cell < tc)::int), 0)::bigint as ln, coalesce(bit_xor(e) filter (where cell < tc), 0) as ls,
-               coalesce(sum((cell > tc)::int), 0)::bigint as hn, coalesce(bit_xor(e) filter (where cell > tc), 0) as hs
+    {p}out as materialized (select coalesce(sum((cell < tc)::int), 0)::bigint as ln, {added('e', 'cell < tc')} as ls,
+               coalesce(sum((cell > tc)::int), 0)::bigint as hn, {added('e', 'cell > tc')} as hs
              from {p}cells, {p}root where level = tl),
     {p}sub as (select level - tl as level, cell - (tc << (level - tl)) as cell, rows_, n, s, mn, mx, split, lo, size, amin, amax
              from {p}real, {p}root where level >= tl and cell >> (level - tl) = tc),
     {p}nodes as materialized (select *, {tree_strength('n', 's', config)} as strength from (
              select level, cell, rows_ + (mn = amin)::int * ln + (mx = amax)::int * hn as rows_,
                n + (mn = amin)::int * ln + (mx = amax)::int * hn as n,
-               xor(xor(s, case when mn = amin then ls else 0 end), case when mx = amax then hs else 0 end) as s,
+               (s + case when mn = amin then ls else 0 end + case when mx = amax then hs else 0 end) % {SET_PRIME} as s,
                mn, mx, split, case when mn = mx then mn else lo + (2 * cell + 1) * size / pow(2e0, level + 1) end as mid,
                size, case when mn = mx then mn else lo + cell * size / pow(2e0, level) end as rlo,
                case when mn = mx then mx else lo + (cell + 1) * size / pow(2e0, level) end as rhi
@@ -235,7 +240,7 @@ def deep_tree_sql(value: str, levels: int) -> str:
         from base, snap, generate_series(0, {levels}) t(l)),
       flag as materialized (select *, mn < mx and strength >= {low} and (level <= {cfg.depth_threshold} or n - 1 >= lim) as split
         from (select *, {tree_strength('n', 's')} as strength, {row_limit(str(seed), '(select count(*) from base)', cfg.depth_row_fraction)} as lim
-          from (select level, cell, count(*) as n, bit_xor(e) as s, min(x) as mn, max(x) as mx from cells group by 1, 2))),
+          from (select level, cell, count(*) as n, {added('e')} as s, min(x) as mn, max(x) as mx from cells group by 1, 2))),
       opened as materialized (select level, cell from flag where split),
       real as materialized (select n.* from flag n where n.level = (select count(*) from opened a
         where a.level < n.level and a.cell = {up('n.cell', 'n.level - a.level')})),
@@ -248,11 +253,11 @@ def deep_tree_sql(value: str, levels: int) -> str:
       top as materialized (select coalesce(max(level), 0) as tl, coalesce(arg_max(cell, level), 0e0) as tc from way),
       root as materialized (select tc * {width('root_size', 'tl')} as lo, {width('root_size', 'tl')} as size, tl, tc, r.mn as amin, r.mx as amax
         from snap, top, real r where r.level = tl and r.cell = tc),
-      far as materialized (select coalesce(sum((cell < tc)::int), 0)::bigint as ln, coalesce(bit_xor(e) filter (where cell < tc), 0) as ls,
-          coalesce(sum((cell > tc)::int), 0)::bigint as hn, coalesce(bit_xor(e) filter (where cell > tc), 0) as hs from cells, root where level = tl),
+      far as materialized (select coalesce(sum((cell < tc)::int), 0)::bigint as ln, {added('e', 'cell < tc')} as ls,
+          coalesce(sum((cell > tc)::int), 0)::bigint as hn, {added('e', 'cell > tc')} as hs from cells, root where level = tl),
       nodes as materialized (select level - tl as level, case when level = tl then 0e0 else cell end as cell, mn, mx, split, size,
           n + (mn = amin)::int * ln + (mx = amax)::int * hn as n,
-          xor(xor(s, case when mn = amin then ls else 0 end), case when mx = amax then hs else 0 end) as s,
+          (s + case when mn = amin then ls else 0 end + case when mx = amax then hs else 0 end) % {SET_PRIME} as s,
           case when mn = mx then mn when level = tl then lo + size / 2 else (cell * 2 + 1) * {width('size', 'level - tl')} / 2 end as mid
         from real, root, far where level >= tl and {up('cell', 'level - tl')} = tc)
       select level, cell::bigint as c1, n as rows, n as entities, mn = mx as single, split,
@@ -268,7 +273,7 @@ def tree_2d(columns: tuple[str, str] = ("o_totalprice", "o_custkey")) -> str:
     cfg, (cx, cy) = CONFIG, columns
     seed = combo_seed(cfg, columns)
     halves = ",\n".join(
-        f"count(*) filter (where b{d} = {b}) as h{d}{b}n, coalesce(bit_xor(e) filter (where b{d} = {b}), 0) as h{d}{b}s"
+        f"count(*) filter (where b{d} = {b}) as h{d}{b}n, {added('e', f'b{d} = {b}')} as h{d}{b}s"
         for d in (1, 2) for b in (0, 1))
 
     def half(d: int) -> str:
@@ -289,7 +294,7 @@ def tree_2d(columns: tuple[str, str] = ("o_totalprice", "o_custkey")) -> str:
         {cell('x', cx + '::double', 'l')} as c1, {cell('y', cy + '::double', 'l')} as c2,
         {cell('x', cx + '::double', 'l + 1')} & 1 as b1, {cell('y', cy + '::double', 'l + 1')} & 1 as b2
       from orders, xroot, yroot, generate_series(0, 16) t(l)),
-    dstats as materialized (select level, c1, c2, count(*) as n, bit_xor(e) as s, min(x) as mn1, max(x) as mx1, min(y) as mn2,
+    dstats as materialized (select level, c1, c2, count(*) as n, {added('e')} as s, min(x) as mn1, max(x) as mx1, min(y) as mn2,
         max(y) as mx2, {halves} from dcells group by level, c1, c2),
     dlive as materialized (select *, {tree_strength('n', 's')} as strength from dstats),
     dflag as materialized (select *, (mn1 < mx1 or mn2 < mx2) and strength >= {cfg.low_threshold} and not stub as split from (
@@ -323,7 +328,7 @@ def subset_tree(name: str, subset: tuple[int, ...], columns: tuple[str, ...], le
     roots = ", ".join(f"x{c}root" for c in subset)
     keys = ", ".join(f"c{d}" for d in dims)
     spans = ", ".join(f"min(v{d}) as mn{d}, max(v{d}) as mx{d}" for d in dims)
-    halves = ", ".join(f"count(*) filter (where b{d} = {b}) as h{d}{b}n, coalesce(bit_xor(e) filter (where b{d} = {b}), 0) as h{d}{b}s"
+    halves = ", ".join(f"count(*) filter (where b{d} = {b}) as h{d}{b}n, {added('e', f'b{d} = {b}')} as h{d}{b}s"
                        for d in dims for b in (0, 1))
     live = []
     for omit in range(k):
@@ -337,7 +342,7 @@ def subset_tree(name: str, subset: tuple[int, ...], columns: tuple[str, ...], le
     ctes = [f"""{name}cells as materialized (select {entity('o_orderkey')} as e, l::int as level, {cells}
         from orders, {roots}, generate_series(0, {levels}) t(l))""",
             f"""{name}stats as materialized (select *, {tree_strength('n', 's')} as strength from (
-        select level, {keys}, count(*) as n, bit_xor(e) as s, {spans}, {halves} from {name}cells group by level, {keys}))"""]
+        select level, {keys}, count(*) as n, {added('e')} as s, {spans}, {halves} from {name}cells group by level, {keys}))"""]
     for level in range(levels + 1):
         above = "" if not level else (f"join {name}l{level - 1} p on p.split and " + " and ".join(f"p.c{d} = f.c{d} >> 1" for d in dims))
         ctes.append(f"""{name}l{level} as materialized (select *, ({varied}) and strength >= {cfg.low_threshold} and not stub as split from (
@@ -681,6 +686,10 @@ def oracle_queries() -> dict[str, str]:
     out["tree_nodes_1d"] = f"""with {order_tree()}
       select level, cell as c1, rows_ as rows, n as entities, s as seed, mn as mn1, mx as mx1, {micro('strength')} as strength, split,
         noisy as noisy_count from counted"""
+    row = h(f"'=' || {exact_label('l_quantity::double')}")
+    out["tree_nodes_no_ids"] = f"""with {tree_ctes('l_quantity', 'lineitem', 'l_quantity', row, '')}
+      select level, cell as c1, rows_ as rows, s as seed, mn as mn1, mx as mx1, {micro('strength')} as strength, split, noisy as noisy_count
+      from counted"""
     out["tree_nodes_3d"] = subset_nodes_sql(THREE_COLUMNS, 16)
     out["tree_nodes_4d"] = subset_nodes_sql(FOUR_COLUMNS, 16)
     out["tree_nodes_far"] = deep_tree_sql("case when p_partkey = 1 then 1e30 else p_size end", 115)
