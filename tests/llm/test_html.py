@@ -83,3 +83,13 @@ def test_query_reads_the_articles(spark):
         blocks = re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", article.replace("<br>", " ")))
         blocks = [re.sub(r"\s+", " ", html.unescape(b)).strip() for b in blocks]
         assert got[p.page_id] == "\n".join(b for b in blocks if b)
+
+
+def test_ids_of_headings_and_formulas_stay(spark, ws):
+    page = """<body><article><h1 id=top>Sorting</h1><p>Long first paragraph, with words, marks and an end.</p>
+<h2 id='search-algorithms'>Search algorithms</h2><p class=market-share>The share of x<math><mi>y</mi><mo>=</mo><mn>2</mn></math> is large, they say.</p>
+<h2 id=related-work>Related work</h2><ul><li id="login">Item one, of the list.</li></ul><p class="share">Tell your friends!</p>
+<div class=related>More of this, and that.</div><p>Last paragraph, with words, marks and an end.</p></article></body>"""
+    want = ("Sorting\nLong first paragraph, with words, marks and an end.\nSearch algorithms\nThe share of xy=2 is large, they say.\n"
+            "Related work\nItem one, of the list.\nLast paragraph, with words, marks and an end.")
+    assert [r.text for r in run(spark, ws, [(1, "http://b.example/1", page)])] == [want]

@@ -38,8 +38,9 @@ _MARKS = re.compile(r"[,.;:!?。，；：！？…]")
 
 # Element kinds of the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mrow msqrt mstyle msub msubsup msup mtext q rp rt ruby s samp small "
                     "span strike strong sub sup time tt u var wbr br".split())
+_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th tr pre blockquote figcaption caption".split())
 _RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
                       "h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
@@ -48,7 +49,7 @@ _SAME = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"
          "th": ("td th", "tr table"), "tbody": ("thead tbody tfoot tr td th", "table"), "thead": ("thead tbody tfoot tr td th", "table"),
          "tfoot": ("thead tbody tfoot tr td th", "table"), "option": ("option", "select datalist"), "optgroup": ("option optgroup", "select")}
 _SAME = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _SAME.items()}
-_NEVER = frozenset("head nav footer aside form script style noscript template svg math iframe button select textarea dialog menu object canvas "
+_NEVER = frozenset("head nav footer aside form script style noscript template svg iframe button select textarea dialog menu object canvas "
                    "audio video map title datalist".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 _WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent "
@@ -62,9 +63,17 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _label(tag: str, attributes: dict[str, str], inside_article: bool) -> tuple[str, bool, bool]:
-    """The step of a path, whether the element never holds article text, and whether its class or id only suggests so."""
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    words = sorted({w.lower() for w in _TOKEN.findall(names)})
+    """The step of a path, whether the element never holds article text, and whether its class or id only suggests so.
+
+    Headings and paragraphs get their ids from their own words, so an id says
+    nothing there, and a class only if it is one of the words as a whole.
+    """
+    if tag in _TEXT:
+        names = attributes.get("class", "").lower().split()
+        words = sorted(set(names) & _WORDS)
+    else:
+        names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+        words = sorted({w.lower() for w in _TOKEN.findall(names)})
     never = (tag in _NEVER or tag == "header" and not inside_article or attributes.get("role", "").lower() in _ROLES
              or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""))
     named = tag not in ("html", "body") and (not _WORDS.isdisjoint(words) or "header" in words and not inside_article)
