@@ -191,7 +191,7 @@ def test_forty_alternating_buckets_scale_exactly(monkeypatch):
 @pytest.mark.parametrize("columns", [["x"], ["x", "y"]])
 def test_open_fronts_are_settled_by_all_buckets(spark, ws, monkeypatch, columns):
     from veilcell.operators import harvest as hv
-    df = spark.range(900).selectExpr("id * 31 % 97 as x", "id % 4 as y")
+    df = spark.range(400).selectExpr("id * 31 % 53 as x", "id % 3 as y")
     forest = forest_of(ws, df, columns, [], fx.NOISY)
     if len(columns) > 1:
         forest.grow_for([range(2)])
