@@ -134,3 +134,28 @@ def test_positions_are_permuted(spark):
     assert abs(near - 0.186) < 0.04
     ranks, places = sum(i * a for i, a in enumerate(got)) / 4096, (4095 / 2) ** 2
     assert abs(ranks - places) < 0.03 * places
+
+
+def test_expansion_of_few_rows_is_spread_over_tasks(spark):
+    from veilcell.operators.harvest import UNIT_CHUNK, expand_counts
+    wide = spark.createDataFrame([(1, 0, 6 * UNIT_CHUNK)], "id long, first long, end long")
+    units = expand_counts(wide, ["id"], "first", "end", "at")
+    per_task = units.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per_task) == 6 * UNIT_CHUNK
+    assert len(per_task) > 1
+
+
+def test_cut_tables_are_read_by_several_tasks(spark, ws):
+    import glob
+    import pyarrow.parquet as pq
+    rows = spark.range(600_000, numPartitions=1).select("id", F.xxhash64("id").alias("x"))
+    stored = ws.cut(rows, "wide")
+    path = glob.glob(f"{ws.folder}/*-wide/*.parquet")
+    assert len(path) == 1 and pq.ParquetFile(path[0]).num_row_groups > 1
+    assert stored.count() == 600_000
+
+
+def test_a_missing_position_stays_missing(spark):
+    from veilcell.functions.hashing import shuffled_position
+    rows = spark.createDataFrame([(None,), (3,), (0,)], "id long").select("id", shuffled_position(F.col("id"), 5, "a").alias("x")).collect()
+    assert all((r.id is None) == (r.x is None) for r in rows)

@@ -40,11 +40,16 @@ def node_name(k: int) -> Column:
 
 
 def expand_counts(df: DataFrame, keys: Sequence[str], first: str, end: str, name: str) -> DataFrame:
-    """One row per integer in [first, end), spread so that a huge count is no single task's work."""
+    """One row per integer in [first, end), spread so that a huge count is no single task's work.
+
+    The number of partitions is given, because the rows before the expansion are so
+    few that partitions of some size would put all of them into one task.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last_chunk = f"({end} - 1 - {first}) div {UNIT_CHUNK}"
     chunks = (df.where(f"{end} > {first}")
               .select("*", F.expr(f"explode(sequence(0L, {last_chunk}))").alias("__chunk"))
-              .repartition(*keys, "__chunk"))
+              .repartition(tasks, *keys, "__chunk"))
     lo = f"{first} + __chunk * {UNIT_CHUNK}"
     return chunks.select("*", F.expr(f"explode(sequence({lo}, least({lo} + {UNIT_CHUNK}, {end}) - 1))")
                          .alias(name)).drop("__chunk")
