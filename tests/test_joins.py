@@ -159,3 +159,13 @@ def test_a_missing_position_stays_missing(spark):
     from veilcell.functions.hashing import shuffled_position
     rows = spark.createDataFrame([(None,), (3,), (0,)], "id long").select("id", shuffled_position(F.col("id"), 5, "a").alias("x")).collect()
     assert all((r.id is None) == (r.x is None) for r in rows)
+
+
+def test_bins_are_split_without_bringing_the_rows_of_a_bin_together(spark, ws, monkeypatch):
+    rows = spark.createDataFrame([(s, str(i), float(i)) for i in range(64) for s in "lr"], "side string, pos string, n0 double")
+    monkeypatch.setattr(st, "PASS_BITS", 2)
+    joins, cut = [], ws.cut
+    monkeypatch.setattr(ws, "cut", lambda df, name: (joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+                                                     if name == "binned" else None, cut(df, name))[1])
+    st.stitch_bins(ws, rows, [StitchColumn(0, 0.0, 64.0, False)]).count()
+    assert joins and max(joins) == 1  # the cells' new bins; the ranges come with the rows

@@ -151,15 +151,16 @@ def stitch_bins(ws: Workspace, rows: DataFrame, columns: Sequence[StitchColumn])
     state = ws.spark.createDataFrame(
         [("b", [c.lo for c in columns], [c.hi for c in columns], 0, size)],
         "bin string, lo array<double>, hi array<double>, turn int, attempts int")
-    active, finished = rows.withColumn("bin", F.lit("b")), []
+    # Every row carries the range of its bin: a join on the bin would send the rows of a large bin to one task.
+    active, finished = rows.select("*", F.lit("b").alias("bin"), *[
+        F.array(*[F.lit(getattr(c, n)) for c in columns]).cast("array<double>").alias(n) for n in ("lo", "hi")]), []
     cell_cols = [f"f{i}" for i in range(size)]
     schema = ("bin string, " + ", ".join(f"{c} bigint" for c in cell_cols)
               + ", new_bin string, lo array<double>, hi array<double>, turn int, attempts int, done boolean")
     while True:
-        ranged = active.join(state, "bin")
         cells = [cell_of(F.col(f"n{c.index}"), F.col("lo")[i], F.col("hi")[i] - F.col("lo")[i], bits).alias(f"f{i}")
                  for i, c in enumerate(columns)]
-        placed = ranged.select("side", "pos", "bin", *[f"n{c.index}" for c in columns], *cells)
+        placed = active.select("side", "pos", "bin", *[f"n{c.index}" for c in columns], *cells)
         counts = placed.groupBy("bin", *cell_cols).agg(F.count_if(F.col("side") == "l").alias("left_rows"),
                                                        F.count_if(F.col("side") == "r").alias("right_rows"))
         # A bin has at most 2^PASS_BITS cells; a few bins share a call.
@@ -167,8 +168,8 @@ def stitch_bins(ws: Workspace, rows: DataFrame, columns: Sequence[StitchColumn])
         batched = counts.join(state, "bin").withColumn("batch", F.pmod(F.xxhash64("bin"), F.lit(spread)))
         mapping = ws.cut(batched.groupBy("batch").applyInPandas(
             split_bins(limits, bits, STITCH_MIN_RATIO), schema), "binmap")
-        moved = placed.join(mapping.select("bin", *cell_cols, "new_bin", "done"), ["bin", *cell_cols]).select(
-            "side", "pos", F.col("new_bin").alias("bin"), "done", *[f"n{c.index}" for c in columns])
+        moved = placed.join(mapping.select("bin", *cell_cols, "new_bin", "lo", "hi", "done"), ["bin", *cell_cols]).select(
+            "side", "pos", F.col("new_bin").alias("bin"), "done", "lo", "hi", *[f"n{c.index}" for c in columns])
         state = mapping.where("not done").select(F.col("new_bin").alias("bin"), "lo", "hi", "turn", "attempts").distinct()
         if state.isEmpty():
             finished.append(moved.select("side", "pos", "bin"))
