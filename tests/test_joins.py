@@ -161,6 +161,20 @@ def test_a_missing_position_stays_missing(spark):
     assert all((r.id is None) == (r.x is None) for r in rows)
 
 
+def test_large_and_small_bins_are_paired_alike(spark, ws, monkeypatch):
+    rows = [(f"b{i % 3}", str(i), f"v{i}", float(i % 7), f"w{i}", float(i)) for i in range(60)]
+    left = spark.createDataFrame([r for i, r in enumerate(rows) if i % 3 != 1 or i < 10], "bin string, pos string, s0 string, n0 double, s1 string, n1 double")
+    right = spark.createDataFrame([r for i, r in enumerate(rows) if i % 3 or i > 40], "bin string, pos string, s0 string, n0 double, s2 string, n2 double")
+    for owner in ("left", "right", "shared"):
+        before = ws._tables
+        one = st.merge_bins(ws, left, right, [0, 1], [0, 2], [0], owner)
+        assert ws._tables == before + 1  # only the lengths are stored
+        monkeypatch.setattr(st, "BIN_ROWS", 8)
+        two = st.merge_bins(ws, left, right, [0, 1], [0, 2], [0], owner)
+        monkeypatch.undo()
+        assert one.count() and sorted(one.collect()) == sorted(two.collect())
+
+
 def test_bins_are_split_without_bringing_the_rows_of_a_bin_together(spark, ws, monkeypatch):
     rows = spark.createDataFrame([(s, str(i), float(i)) for i in range(64) for s in "lr"], "side string, pos string, n0 double")
     monkeypatch.setattr(st, "PASS_BITS", 2)

@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import STITCH_MIN_RATIO
@@ -20,6 +20,7 @@ from .ranking import group_ranks
 
 PASS_BITS = 16  # cells per bin and pass stay below 2^16
 BIN_BATCH = 32  # bins per call of the splitting function
+BIN_ROWS = 1 << 16  # rows of a side that are ranked by one task; larger bins are ranked by ranges
 
 
 @dataclass(frozen=True)
@@ -180,34 +181,80 @@ def stitch_bins(ws: Workspace, rows: DataFrame, columns: Sequence[StitchColumn])
     return reduce(DataFrame.unionByName, finished)
 
 
-def merge_bins(ws: Workspace, left: DataFrame, right: DataFrame, left_columns: Sequence[int],
-               right_columns: Sequence[int], stitch: Sequence[int], owner: str) -> DataFrame:
-    """Pairs the rows of both sides inside each bin, in the order of the stitch columns.
+def _draws(counts: DataFrame, n: str, tag: str) -> DataFrame:
+    """The repeats that a side with ``n`` rows needs: bin, __copy and the rank __at of the row repeated."""
+    short = counts.where(f"m > {n}").select("bin", n, "m")
+    return expand_counts(short, ["bin"], n, "m", "__copy").select(
+        "bin", "__copy", index_draw(F.col(n), F.col("bin"), F.col("__copy"), F.lit(tag)).alias("__at"))
 
-    Both sides are brought to the owner's length, or the rounded mean, by dropping
-    or repeating random rows. Shared columns come from the owner, or from the two
-    sides in turn. Input: bin, pos and the fields of each side.
-    """
-    counts = left.groupBy("bin").agg(F.count(F.lit(1)).alias("l")).join(
-        right.groupBy("bin").agg(F.count(F.lit(1)).alias("r")), "bin")
-    length = {"left": F.col("l"), "right": F.col("r")}.get(owner, F.bround((F.col("l") + F.col("r")) / 2, 0).cast("bigint"))
-    counts = ws.cut(counts.withColumn("m", length), "bins")
 
+def _pairs_in_task(left: DataFrame, right: DataFrame, counts: DataFrame, left_columns: Sequence[int], right_columns: Sequence[int],
+                   stitch: Sequence[int]) -> DataFrame:
+    """The pairs of bins of at most ``BIN_ROWS`` rows a side: bin, __row and the fields of both sides.
+
+    The rows of both sides, the repeats asked for and the lengths meet once by bin;
+    ranks, repeats and pairs come from there without another shuffle.
+    """
+    keys, parts = [f"n{c}" for c in stitch], []
+    for rows, columns, n, tag in ((left, left_columns, "l", "l"), (right, right_columns, "r", "r")):
+        side = F.lit(tag).alias("side")
+        own = F.struct("pos", F.struct(*[F.col(k) for k in keys]).alias("keys"))
+        parts += [rows.select("bin", side, F.lit(0).alias("kind"), draw_key(F.col("pos"), F.lit(tag)).alias("__key"), own.alias("own"),
+                              F.struct(*fields(columns)).alias(f"{tag}_row")),
+                  _draws(counts, n, tag).select("bin", side, F.lit(1).alias("kind"), "__copy", "__at"),
+                  counts.select("bin", side, F.lit(2).alias("kind"), "m")]
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).repartition("bin")
+    group = Window.partitionBy("bin", "side")
+    ranked = whole.withColumn("m", F.max("m").over(group)).withColumn("__rank", F.row_number().over(group.orderBy("kind", "__key", "own.pos")) - 1)
+    ranked = ranked.where("m is not null and kind < 2").withColumn("__at", F.expr("if(kind = 0, cast(__rank as bigint), __at)"))
+    # Behind each row stand its repeats.
+    behind = group.orderBy("__at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = ranked.withColumns({c: F.last(c, True).over(behind) for c in ("own", "l_row", "r_row")})
+    kept = filled.where("kind = 1 or __at < m").withColumn("__copy", F.coalesce("__copy", F.lit(0).cast("bigint")))
+    kept = kept.withColumn("__again", draw_key(F.col("own.pos"), F.col("__copy"), F.concat("side", F.lit("2"))))
+    order = group.orderBy(*[f"own.keys.{k}" for k in keys], "__again", "own.pos", "__copy")
+    placed = kept.withColumn("__row", (F.row_number().over(order) - 1).cast("bigint"))
+    pairs = placed.groupBy("bin", "__row").agg(*[F.first(f"{tag}_row", True).alias(f"{tag}_row") for tag in "lr"])
+    return pairs.select("bin", "__row", *[F.col(f"{tag}_row.{f}").alias(f"{tag}_{f}")
+                                          for tag, columns in (("l", left_columns), ("r", right_columns)) for f in fields(columns)])
+
+
+def _pairs_by_range(ws: Workspace, left: DataFrame, right: DataFrame, counts: DataFrame, left_columns: Sequence[int],
+                    right_columns: Sequence[int], stitch: Sequence[int]) -> DataFrame:
+    """The pairs of :func:`_pairs_in_task` for bins of any size: ranks by range partitions, so no task sees a whole bin."""
     def side(rows: DataFrame, columns: Sequence[int], n: str, tag: str) -> DataFrame:
         keyed = rows.withColumn("__key", draw_key(F.col("pos"), F.lit(tag)))
         ranked = ws.cut(group_ranks(ws, keyed, ["bin"], ["__key", "pos"], "__at"), f"side-{tag}")
         sized = ranked.join(counts.select("bin", "m"), "bin")
         kept = sized.where("__at < m").drop("m").withColumn("__copy", F.lit(0).cast("bigint"))
-        short = counts.where(f"m > {n}").select("bin", n, "m")
-        extra = expand_counts(short, ["bin"], n, "m", "__copy").select(
-            "bin", "__copy", index_draw(F.col(n), F.col("bin"), F.col("__copy"), F.lit(tag)).alias("__at"))
-        whole = kept.unionByName(ranked.join(extra, ["bin", "__at"]))
+        whole = kept.unionByName(ranked.join(_draws(counts, n, tag), ["bin", "__at"]))
         order = [f"n{c}" for c in stitch] + ["__again", "pos", "__copy"]
         whole = whole.withColumn("__again", draw_key(F.col("pos"), F.col("__copy"), F.lit(tag + "2")))
         paired = group_ranks(ws, whole, ["bin"], order, "__row")
         return paired.select("bin", "__row", *[F.col(f).alias(f"{tag}_{f}") for f in fields(columns)])
 
-    pairs = side(left, left_columns, "l", "l").join(side(right, right_columns, "r", "r"), ["bin", "__row"])
+    return side(left, left_columns, "l", "l").join(side(right, right_columns, "r", "r"), ["bin", "__row"])
+
+
+def merge_bins(ws: Workspace, left: DataFrame, right: DataFrame, left_columns: Sequence[int],
+               right_columns: Sequence[int], stitch: Sequence[int], owner: str) -> DataFrame:
+    """Pairs the rows of both sides inside each bin, in the order of the stitch columns.
+
+    Both sides are brought to the owner's length, or the rounded mean, by dropping
+    or repeating random rows. Shared columns come from the owner, or from the two
+    sides in turn. Input: bin, pos and the fields of each side.
+    """
+    counts = left.groupBy("bin").agg(F.count(F.lit(1)).alias("l")).join(
+        right.groupBy("bin").agg(F.count(F.lit(1)).alias("r")), "bin")
+    length = {"left": F.col("l"), "right": F.col("r")}.get(owner, F.bround((F.col("l") + F.col("r")) / 2, 0).cast("bigint"))
+    counts = ws.cut(counts.withColumn("m", length), "bins")
+    large = F.broadcast(counts.where((F.col("l") > BIN_ROWS) | (F.col("r") > BIN_ROWS)).select("bin"))  # few: each has many rows
+    if large.isEmpty():
+        pairs = _pairs_in_task(left, right, counts, left_columns, right_columns, stitch)
+    else:
+        sides = {how: [df.join(large, "bin", how) for df in (left, right, counts)] for how in ("left_anti", "left_semi")}
+        pairs = _pairs_in_task(*sides["left_anti"], left_columns, right_columns, stitch).unionByName(
+            _pairs_by_range(ws, *sides["left_semi"], left_columns, right_columns, stitch))
     from_left = {"left": F.lit(True), "right": F.lit(False)}.get(owner, F.col("__row") % 2 == 0)
     chosen = []
     for c in sorted({*left_columns, *right_columns}):
