@@ -143,3 +143,15 @@ def test_inferred_types(spark, tmp_path):
     df = tables.read_csv_inferred(spark, str(path))
     assert tables.column_types(df) == {"a": "i", "b": "r", "c": "t", "d": "s", "e": "b"}
     assert df.where("b is null").count() == 1 and df.where("d = 'NA'").count() == 1
+
+
+def test_row_hashes_compute_each_exponent_once(spark, ws, monkeypatch):
+    from pyspark.sql import functions as F
+    from veilcell.config import SynthConfig
+    from veilcell.operators.encoding import encode_table
+    plans, keep = [], ws.keep
+    monkeypatch.setattr(ws, "keep", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), keep(df))[1])
+    rows = spark.range(20).select((F.col("id") % 3).cast("double").alias("x"), F.col("id").cast("string").alias("t"))
+    assert encode_table(ws, rows, ["x"], [], SynthConfig(salt="s")).rows.select("e0").distinct().count() == 3
+    assert plans[0].upper().count("LOG2(") <= 5  # one exponent; a label that holds its expression has it twice
+    assert encode_table(ws, rows, ["t"], [], SynthConfig(salt="s")).rows.select("e0").distinct().count() == 20
