@@ -18,7 +18,7 @@ from ..workspace import Workspace
 
 GENERALISE = 0.8  # share of an entity's information from which a term is generalised
 REMOVE = 0.95
-BROADCAST_TERMS = 200_000
+COMMON_SHARE = 1_000  # terms of more than 1/1000 of the documents are common
 BLOCK = 256  # matches whose positions are summed in one list
 
 KINDS = ("email", "ip", "card", "phone", "general", "remove")
@@ -144,14 +144,16 @@ def told_terms(ws: Workspace, docs: DataFrame, found: DataFrame, text: str = "te
     terms = ws.cut(holders.select(F.explode("words.term").alias("term")).distinct(), "terms")
     each = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TERM), F.lit(0)), F.lower)
     words = docs.select(F.explode(F.array_distinct(each)).alias("term"))
-    if terms.count() <= BROADCAST_TERMS:
-        words = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    else:
-        words = words.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).join(terms, "term", "left_semi")
-    rare = ws.cut(words.where(F.col("with_term") <= n ** (1 - GENERALISE) * float(largest) ** GENERALISE * (1 + 1e-9)), "rare")
-    rare = F.broadcast(rare) if rare.count() <= BROADCAST_TERMS else rare
-
-    places = (holders.select(*key, "times", F.explode("words").alias("w")).select(*key, "times", "w.*").join(rare, "term")
+    # The same joins at any size, so that shuffles and disk grow with the input; the few terms of many documents, which cannot tell
+    # an entity, go before the places of the others are shuffled: at most 1,000 times the terms of an average document.
+    words = words.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).join(terms.hint("merge"), "term", "left_semi")
+    counted = ws.cut(words, "counted")
+    bound = n ** (1 - GENERALISE) * float(largest) ** GENERALISE * (1 + 1e-9)
+    rare = counted.where(F.col("with_term") <= bound)
+    common = counted.where(F.col("with_term") > max(bound, n / COMMON_SHARE)).select("term")
+
+    places = (holders.select(*key, "times", F.explode("words").alias("w")).select(*key, "times", "w.*")
+              .join(F.broadcast(common), "term", "left_anti").join(rare.hint("merge"), "term")
               .groupBy(*key, "times", "term", "with_term").agg(F.collect_list(F.struct("start", "end")).alias("at")))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
     owners = of_docs.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "sets")
@@ -161,8 +163,7 @@ def told_terms(ws: Workspace, docs: DataFrame, found: DataFrame, text: str = "te
     share = F.log(n * F.col("both") / (F.col("with_entity") * F.col("with_term"))) / F.log(n / F.col("with_entity"))
     told = pairs.groupBy(*pair, "with_term").agg(F.sum("times").alias("both")).select(*pair, F.least(share, F.lit(1.0)).alias("disclosed"))
     told = ws.cut(told.where(F.col("disclosed") >= GENERALISE), "told")
-    told = F.broadcast(told) if told.count() <= BROADCAST_TERMS else told
-    return pairs.join(told, pair).groupBy(*key, "term").agg(F.max("disclosed").alias("disclosed"), F.first("at").alias("at"))
+    return pairs.join(told.hint("merge"), pair).groupBy(*key, "term").agg(F.max("disclosed").alias("disclosed"), F.first("at").alias("at"))
 
 
 def sanitisation(ws: Workspace, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
