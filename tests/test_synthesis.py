@@ -155,3 +155,27 @@ def test_row_hashes_compute_each_exponent_once(spark, ws, monkeypatch):
     assert encode_table(ws, rows, ["x"], [], SynthConfig(salt="s")).rows.select("e0").distinct().count() == 3
     assert plans[0].upper().count("LOG2(") <= 5  # one exponent; a label that holds its expression has it twice
     assert encode_table(ws, rows, ["t"], [], SynthConfig(salt="s")).rows.select("e0").distinct().count() == 20
+
+
+def test_feature_trees_grow_on_rows_alike(spark, monkeypatch):
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    # 16 pairs of values, each many times, with other labels each time.
+    df = spark.range(960).selectExpr("id % 16 div 4 as a", "id % 4 as b", "id % 16 div 4 * 64 + id % 4 * 8 + id * 7 % 31 as number",
+                                     "if(id * 7 % 31 < 20, int(id % 16 >= 12), id % 2) as class")
+    wide = df.withColumn("number", F.col("number") + F.col("a") * 100)
+    for target, kind, judge in (("number", DecisionTreeRegressor, RegressionEvaluator(metricName="r2")),
+                                ("class", DecisionTreeClassifier, MulticlassClassificationEvaluator(metricName="accuracy"))):
+        rows = wide.select("a", "b", target)
+        fold = F.pmod(F.xxhash64("a", "b", target), F.lit(2))
+        single = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows.select("a", "b", F.col(target).cast("double").alias("label"), fold.alias("fold")))
+        plain = [judge.evaluate(kind(maxDepth=3, seed=1).fit(single.where(F.col("fold") != f)).transform(single.where(F.col("fold") == f))) for f in (0, 1)]
+        sizes, fit = [], kind.fit
+        monkeypatch.setattr(kind, "fit", lambda self, data, fit=fit, sizes=sizes: (sizes.append(data.count()), fit(self, data))[1])
+        ranking = select_features(rows, target, folds=2, depth=3)
+        assert max(sizes) <= 32  # pairs of values, times classes; hundreds of rows before
+        assert abs(ranking.encoded.scores[1] - sum(plain) / 2) < 1e-9
+        assert ranking.features[0] == "a"
