@@ -160,7 +160,6 @@ def test_row_hashes_compute_each_exponent_once(spark, ws, monkeypatch):
 def test_feature_trees_grow_on_rows_alike(spark, monkeypatch):
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import DecisionTreeRegressor
 
     # 16 pairs of values, each many times, with other labels each time.
@@ -171,7 +170,7 @@ def test_feature_trees_grow_on_rows_alike(spark, monkeypatch):
                                 ("class", DecisionTreeClassifier, MulticlassClassificationEvaluator(metricName="accuracy"))):
         rows = wide.select("a", "b", target)
         fold = F.pmod(F.xxhash64("a", "b", target), F.lit(2))
-        single = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows.select("a", "b", F.col(target).cast("double").alias("label"), fold.alias("fold")))
+        single = encode_features(rows, ["a", "b"], dict.fromkeys("ab", "categorical"))[0].withColumns({"label": F.col(target).cast("double"), "fold": fold})
         plain = [judge.evaluate(kind(maxDepth=3, seed=1).fit(single.where(F.col("fold") != f)).transform(single.where(F.col("fold") == f))) for f in (0, 1)]
         sizes, fit = [], kind.fit
         monkeypatch.setattr(kind, "fit", lambda self, data, fit=fit, sizes=sizes: (sizes.append(data.count()), fit(self, data))[1])
