@@ -202,3 +202,15 @@ def test_open_fronts_are_settled_by_all_buckets(spark, ws, monkeypatch, columns)
         monkeypatch.setattr(hv, "FRONT_RUNS", limit)
         found.append(sorted(tuple(r) for r in hv.harvested_totals(forest, forest.trees[len(columns)]).select(*keys).collect()))
     assert found[0] == found[1] and len(found[0]) > 60 and set(asked) == {0}
+
+
+def test_levels_of_entities_are_grouped_where_they_are(spark, ws, monkeypatch):
+    plans, cut = {}, ws.cut
+    monkeypatch.setattr(ws, "cut", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), cut(df, name))[1])
+    df = spark.range(600).selectExpr("id % 40 as person", "cast(id * 7 % 64 as double) as x")
+    forest = Forest(ws, encode_table(ws, df, ["x"], ["person"], fx.NOISELESS), fx.NOISELESS)
+    plan = plans["entities1"]
+    assert 0 < plan.index("Generate") < plan.index("Exchange")  # the rows of all levels were dealt out before
+    assert "outlying" in plans or "Aggregate" not in plans["contributions1"]  # pairs of cell and entity come once
+    root = forest.trees[1].nodes.where("level = 0").first()
+    assert (root.rows, root.n0) == (600, 40)
