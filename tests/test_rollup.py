@@ -58,3 +58,31 @@ def test_cells_below_weak_ones_are_not_carried(spark, ws):
     weak = {(r.level, r.c1, r.c2) for r in stats.where("n0 < 3").collect()}
     assert not [r for r in stats.where("level > 1").collect() if (r.level - 1, r.p1 >> 1, r.p2 >> 1) in {(w[0], w[1], w[2]) for w in weak}]
     assert stats.count() < 64 * 5
+
+
+def test_roots_of_one_hash_and_levels_below_the_deepest(monkeypatch):
+    rng = np.random.default_rng(7)
+    cells = fine_cells(rng, 2, 5, 6, 500)
+    mixed = cells.append_column("root", pa.array(np.zeros(len(cells), np.int64))).take(rng.permutation(len(cells)))
+
+    def found(table, deepest):
+        batches = rollup.rolled_up(2, 10, 1, 4, 1, 3, deepest)(iter(table.to_batches(50)))
+        return sorted(tuple(sorted(r.items())) for b in batches for r in b.to_pylist())
+
+    assert found(mixed, None) == found(cells, None)
+    assert found(mixed, [12]) == [r for r in found(cells, None) if dict(r)["level"] <= 13]
+
+
+def test_rows_below_small_roots_are_counted_at_once(spark, ws, monkeypatch):
+    names, cut = [], ws.cut
+    monkeypatch.setattr(ws, "cut", lambda df, name: (names.append(name), cut(df, name))[1])
+    df = spark.range(480).selectExpr("cast(id % 2 * 4090 + id * 7 % 13 as double) x", "cast(id * 5 % 2 * 4090 - id % 11 / 3 as double) y")
+    data, found = encode_table(ws, df, ["x", "y"], [], fx.NOISELESS), []
+    for small in (1 << 18, 100, 0):
+        monkeypatch.setattr("veilcell.operators.cells.SMALL_ROWS", small)
+        names.clear()
+        nodes = Forest(ws, data, fx.NOISELESS).dimension(2, [(0, 1)]).nodes
+        if small > 100:
+            assert names.count("stats2") == 2 and "rows2" not in names
+        found.append(sorted(map(tuple, nodes.select(sorted(set(nodes.columns))).collect())))
+    assert found[0] == found[1] == found[2] and nodes.where("level > 9").count()
